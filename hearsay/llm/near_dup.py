@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm import textops as tx
@@ -15,15 +16,18 @@ from hearsay.llm.components import connected_components
 from hearsay.llm.lineage import cut
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
+#: Bits kept of each signature value, pivots that a bucket's members meet in a round, and such rounds.
+BITS, PIVOTS, ROUNDS = 3, 8, 2
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of whole texts.
+    """(doc_id, n_shingles, set_a, set_b, bands, bits) of whole texts.
 
     Min-max hashing: each of rows * bands / 2 permutations yields the least and the greatest
     value of a document's shingles, two signature values for one evaluation. `bands` holds a
-    key for each band of `rows` values; set_a and set_b are a 128-bit digest of the set. A null
-    or empty text has no shingles and no bands.
+    key for each band of `rows` values; set_a and set_b are a 128-bit digest of the set, and bits
+    has BITS bits of each value, a plane of them after another. A null or empty text has no
+    shingles, no bands and no bits.
     """
     turns = (rows * bands + 1) // 2
 
@@ -42,18 +46,31 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     value[:, 2 * i] = np.minimum.reduceat(x, at[some])
                     value[:, 2 * i + 1] = np.maximum.reduceat(x, at[some])
                 keys = tx.mix((value[:, : rows * bands].reshape(len(some), bands, rows) * weight).sum(axis=2) + tag)
+                planes = _planes(value[:, : rows * bands])
                 n = np.zeros(len(ids), np.int64)
                 digest = np.zeros((len(ids), 2), np.uint64)
                 for i in some:
                     distinct = np.unique(own[at[i] : at[i + 1]])
                     n[i] = len(distinct)
                     digest[i] = np.frombuffer(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest(), np.uint64)
-                size = np.zeros(len(ids) + 1, np.int32)
-                size[some + 1] = bands
-                band = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), tx.signed(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), tx.signed(digest[:, 0].copy()), tx.signed(digest[:, 1].copy()), band], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                lists = []
+                for part_of in (keys, planes):
+                    size = np.zeros(len(ids) + 1, np.int32)
+                    size[some + 1] = part_of.shape[1]
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), tx.signed(part_of.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), tx.signed(digest[:, 0].copy()), tx.signed(digest[:, 1].copy()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
+
+
+def _planes(value: np.ndarray) -> np.ndarray:
+    """BITS bits of each value of a row, packed to longs plane by plane."""
+    mixed = tx.mix(value)
+    wide = -(-value.shape[1] // 64) * 64
+    bit = np.zeros((len(value), BITS, wide), np.uint8)
+    for k in range(BITS):
+        bit[:, k, : value.shape[1]] = (mixed >> np.uint64(k)) & np.uint64(1)
+    return np.packbits(bit.reshape(len(value), -1), axis=1).view(np.uint64).reshape(len(value), BITS * wide // 64)
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -85,6 +102,19 @@ def _linked(percent: int):
     return 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
 
+def _promising(x: str, y: str, values: int, percent: int) -> Column:
+    """Whether sizes and signature bits of two rows leave room for a similarity of percent / 100.
+
+    A differing value differs in half of its bits. The bound lies 4.3 standard deviations below
+    the threshold, so it loses a pair at the threshold with a probability of about 1e-5.
+    """
+    j = percent / 100
+    deviation = math.sqrt(4 * ((1 - j) / (4 * BITS) + j * (1 - j) / 4) / values)
+    most = math.floor((1 - j + 4.3 * deviation) / 2 * values * BITS)
+    differ = sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS * -(-values // 64)))
+    return (F.col(f"{x}.n") * percent <= F.col(f"{y}.n") * 100) & (F.col(f"{y}.n") * percent <= F.col(f"{x}.n") * 100) & (differ <= most)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -92,64 +122,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least percent / 100. component_id is the smallest doc_id reachable over links, and kept
     marks the document that has it.
 
-    Equal sets form one class first, so copies cost one row each however many there are. In
-    each bucket of equal band keys, all members are compared with the bucket's leader; then,
-    between members that are still in different components, every pair is compared that the
-    triangle inequality over the measured distances to the leader, or the sizes, can't rule
-    out. Nothing is capped. A pair at exactly 0.75 shares no bucket with probability 2e-5 at
-    40 bands of 5.
+    Equal sets form one class first, so copies cost one row each however many there are. Rows
+    that share a band key form a bucket. What is compared: first each member with its bucket's
+    hub, the document with most company in all its buckets; then, in buckets whose members still
+    belong to different components, members with a few pivots, in rounds; then all pairs of
+    members that are in different components by now. So a large group of near copies needs about
+    a comparison for each member, and no link between components is left untested. Before texts
+    are fetched, a pair's sizes and signature bits must leave room for the threshold; every link
+    is then confirmed on full sets. Nothing is capped. A pair at exactly the threshold is missed
+    with a probability of 3e-5 at 40 bands of 5, a closer one less.
 
     Nulls: a null text equals an empty one; both have no shingles and no links. A row with a
-    null doc_id has a null component_id and is kept. doc_id is a key: rows that share one
-    with different texts get the smallest of their components. Other columns are ignored.
+    null doc_id has a null component_id and is kept. doc_id is a key: of rows that share one
+    with different texts, each gets the component of its text. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = texts.where("doc_id is not null")
     sig = cut(signatures(texts, shingle=shingle, rows=rows, bands=bands))
     node = sig.where("doc_id is not null and n_shingles > 0")
-    classes = node.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    bucket = node.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("id"), F.col("n").alias("n"))
-    lead = bucket.groupBy("band").agg(F.min(order).alias("lead"), F.max(order).alias("other")).where("lead.id <> other.id")
-    member = cut(bucket.join(lead.select("band", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")), "band"))
-    close = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
-    text = texts.where("doc_id is not null")
-    spoke = member.where("doc_id <> leader").where(close).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = cut(similarities(spoke, text, shingle=shingle))
-    link = star.where(_linked(percent)).select("a", "b")
-    found = connected_components(link)
-
-    far = F.lit(1.0) - F.coalesce(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), F.lit(0.0))
-    named = member.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    split = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = named.join(split, "band", "left_semi").join(star.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), far.alias("far")), ["leader", "doc_id"], "left")
-    # no measured distance: the leader itself, or one whose size alone rules a link out, for which sizes bound the distance from below
-    least_far = F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.coalesce("far", 1 - F.least("n", "leader_n") / F.greatest("n", "leader_n")))
-    most_far = F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
-    apart = cut(apart.select("band", "doc_id", "n", "c", least_far.alias("near"), most_far.alias("most")))
-    group = apart.groupBy("band", "c").agg(F.min("near").alias("near"), F.max("most").alias("most"), F.min("n").alias("small"), F.max("n").alias("large"))
-    reach = (100 - percent) / 100 + 1e-9
-    x, y = group.alias("x"), group.alias("y")
-    meet = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.near") <= F.col("y.most") + reach) & (F.col("y.near") <= F.col("x.most") + reach) & (F.col("x.small") * percent <= F.col("y.large") * 100) & (F.col("y.small") * percent <= F.col("x.large") * 100))
-    meet = meet.select(F.col("x.band").alias("band"), F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-    left = meet.join(apart, ["band", "c"]).select("band", "d", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("near").alias("a_near"), F.col("most").alias("a_most"))
-    right = apart.select("band", F.col("c").alias("d"), F.col("doc_id").alias("b"), "n", "near", "most")
-    rest = left.join(right, ["band", "d"]).where((F.col("a_near") <= F.col("most") + reach) & (F.col("near") <= F.col("a_most") + reach) & (F.col("an") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("an") * 100))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(known, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        whole = found
-    else:
-        more = cut(similarities(rest, text, shingle=shingle).where(_linked(percent)).select("a", "b"))
-        whole = found if more.isEmpty() else connected_components(link.union(more))
-
-    # a doc_id on rows with different texts joins their classes
-    twice = node.select("doc_id", "set_a", "set_b").join(classes.where("rep <> last"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id"), "rep").distinct()
-    label = twice.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    label = label.union(whole.select(F.col("node").alias("doc_id"), "component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = sig.select("doc_id", "n_shingles").join(label, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = node.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    first = node.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    bucket = first.select("doc_id", F.explode("bands").alias("band"))
+    shared = bucket.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    member = cut(bucket.join(shared, "band"))
+    company = member.groupBy("doc_id").agg(F.sum("k").alias("company"))
+    own = company.join(first.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id")
+    member = cut(member.select("band", "doc_id").join(own, "doc_id"))
+
+    values = rows * bands
+    tested = link = found = None
+    for turn in range(ROUNDS + 2):
+        if found is None:
+            left = member.withColumn("c", F.col("doc_id"))
+            pick = left.groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"), "doc_id", "n", "bits", "c")).alias("y"))
+            pivot = pick.select("band", "y.doc_id", "y.n", "y.bits", "y.c")
+        else:
+            left = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+            mixed = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+            left = cut(left.join(mixed, "band", "left_semi").select("band", "doc_id", "n", "bits", "c"))
+            if left.isEmpty():
+                break
+            pivot = left
+            if turn <= ROUNDS:
+                picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + i)).alias("h"), F.struct("doc_id", "n", "bits", "c").alias("y"))).alias(f"p{i}") for i in range(PIVOTS)]
+                pick = left.groupBy("band").agg(*picks)
+                pivot = pick.select("band", F.explode(F.array_distinct(F.array(*(f"p{i}.y" for i in range(PIVOTS))))).alias("y")).select("band", "y.*")
+        apart = F.col("x.c") < F.col("y.c") if pivot is left else F.col("x.c") != F.col("y.c")
+        pair = left.alias("x").join(pivot.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _promising("x", "y", values, percent))
+        # the pivot comes first, so that its text is read once for all that it meets
+        pair = pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+        if tested is not None:
+            pair = pair.join(tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+        new = cut(similarities(pair.select("a", "b"), text, shingle=shingle))
+        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
+        good = new.where(_linked(percent)).select("a", "b")
+        if found is None or not good.isEmpty():
+            link = good if link is None else link.union(good)
+            found = connected_components(link)
+
+    # copies of a set get the component of the class
+    rep = classes.withColumnRenamed("doc_id", "rep")
+    label = rep.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    named = sig.join(label, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
