@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import toxicity
 from hearsay.llm.decontaminate import contamination
+from hearsay.llm.line_dedup import drop_repeated_lines
+from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
 
 
@@ -18,6 +20,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,11 +47,63 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
+QUERIES = {"op1_mix": op1_mix, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+_SPACE = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+_H = "CAST('0x' || substring(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
+
+
+def _shuffled(rounds: int) -> str:
+    """The swap-or-not rounds as nested selects from slot(shard, rank, blocks, pass, x)."""
+    out = "slot"
+    for r in range(rounds):
+        y = _H.format(f"'0k{r}', rank, pass")
+        bit = _H.format(f"'0b{r}', rank, pass, greatest(x, y)")
+        out = f"(SELECT rank, blocks, pass, CASE WHEN {bit} % 2 = 1 THEN y ELSE x END AS x FROM (SELECT *, ({y} % blocks + blocks - x) % blocks AS y FROM {out}))"
+    return out
+
+
 ORACLE_SQL = {
+    "op1_mix": f"""
+WITH size AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM size GROUP BY source),
+s2 AS (SELECT *, (rank - 1) % 3 + 1 AS weight, source_size * 3 AS most, CAST(source_size * 3 AS DOUBLE) / ((rank - 1) % 3 + 1) AS full_at FROM s1),
+s3 AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / CAST(sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS l FROM s2),
+s4 AS (SELECT *, max(CASE WHEN full_at > l THEN l END) OVER () AS level FROM s3),
+s5 AS (SELECT source, rank, source_size, CASE WHEN full_at > level THEN weight * level ELSE CAST(most AS DOUBLE) END AS target, CAST(ceil(source_size / 128) AS BIGINT) AS blocks FROM s4),
+src AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS slots FROM s5),
+cum AS (SELECT *, CAST(sum(slots) OVER (ORDER BY rank) AS BIGINT) AS high, CAST(sum(slots) OVER () AS BIGINT) AS n, CAST(ceil(sum(slots) OVER () / 4096) AS BIGINT) AS shards FROM src),
+draw AS (SELECT g // 4096 AS shard, {_H.format("'0', g // 4096, g % 4096")} % (SELECT max(n) FROM cum) AS u FROM range((SELECT max(n) FROM cum)) t(g)),
+drawn AS (SELECT shard, rank, count(*) AS drawn FROM draw JOIN cum ON u >= high - slots AND u < high GROUP BY 1, 2),
+g1 AS (SELECT rank, blocks, slots, shards, unnest(range(shards)) AS shard FROM cum WHERE slots > 0),
+g2 AS (SELECT g1.*, coalesce(drawn, 0) AS drawn FROM g1 LEFT JOIN drawn USING (shard, rank)),
+g3 AS (SELECT *, coalesce(sum(drawn) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, greatest(0, slots - sum(drawn) OVER (PARTITION BY rank)) AS lack FROM g2),
+g4 AS (SELECT *, CAST(greatest(0, least(drawn, slots - seen)) + (lack * (shard + 1)) // shards - (lack * shard) // shards AS BIGINT) AS take FROM g3),
+g5 AS (SELECT *, CAST(coalesce(sum(take) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM g4),
+g6 AS (SELECT rank, blocks, unnest(range(first, first + take)) AS k FROM g5),
+slot AS (SELECT rank, blocks, k // blocks AS pass, k % blocks AS x FROM g6),
+times AS (SELECT rank, x AS block, count(*) AS times FROM {_shuffled(6)} GROUP BY 1, 2),
+d1 AS (SELECT size.*, rank, source_size, target, ((doc_id % 1021) + 1021) % 1021 AS part FROM size JOIN src ON size.source IS NOT DISTINCT FROM src.source),
+d2 AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY part, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d1),
+p AS (SELECT doc_id, rank, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM d2 WHERE size > 0),
+t AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * times) AS taken FROM p JOIN times USING (rank, block) GROUP BY 1)
+SELECT d2.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d2 LEFT JOIN t USING (doc_id)
+""",
+    "op9_line_dedup": f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, list_transform(l, lambda x: trim(x, {_SPACE})) AS t FROM l),
+w AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3),
+k AS (SELECT doc_id, i, t[i] || chr(10) || t[i + 1] || chr(10) || t[i + 2] AS k FROM w WHERE t[i] <> '' OR t[i + 1] <> '' OR t[i + 2] <> ''),
+r AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM r, (VALUES (0), (1), (2)) v(j)),
+n AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+o AS (SELECT n.doc_id, len(any_value(n.l)) AS n_lines, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN n.l[n.i] END, chr(10) ORDER BY n.i), '') AS text
+  FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i = n.i GROUP BY n.doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM o
+""",
     "op5_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 s AS (
