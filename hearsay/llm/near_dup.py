@@ -16,18 +16,19 @@ from hearsay.llm.components import connected_components
 from hearsay.llm.lineage import cut
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
-#: Bits kept of each signature value, pivots that a bucket's members meet in a round, and such rounds.
-BITS, PIVOTS, ROUNDS = 3, 8, 2
+#: Bits kept of each signature value, longs of a set's bit map, and pivots that a bucket's members meet.
+BITS, MAP, PIVOTS = 3, 32, 8
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, bits) of whole texts.
+    """(doc_id, n_shingles, set_a, set_b, bands, bits, map) of whole texts.
 
     Min-max hashing: each of rows * bands / 2 permutations yields the least and the greatest
     value of a document's shingles, two signature values for one evaluation. `bands` holds a
     key for each band of `rows` values; set_a and set_b are a 128-bit digest of the set, and bits
-    has BITS bits of each value, a plane of them after another. A null or empty text has no
-    shingles, no bands and no bits.
+    has BITS bits of each value, a plane of them after another. map has a bit for
+    each of 64 * MAP cells that a shingle of the document falls in. A null or empty text has no
+    shingles, bands, bits or map.
     """
     turns = (rows * bands + 1) // 2
 
@@ -47,6 +48,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     value[:, 2 * i + 1] = np.maximum.reduceat(x, at[some])
                 keys = tx.mix((value[:, : rows * bands].reshape(len(some), bands, rows) * weight).sum(axis=2) + tag)
                 planes = _planes(value[:, : rows * bands])
+                cells = np.zeros((len(ids), 64 * MAP), np.uint8)
+                cells[np.repeat(np.arange(len(ids)), np.diff(at)), (tx.mix(own) % np.uint64(64 * MAP)).astype(np.int64)] = 1
+                cells = np.packbits(cells[some], axis=1).view(np.uint64).reshape(len(some), MAP)
                 n = np.zeros(len(ids), np.int64)
                 digest = np.zeros((len(ids), 2), np.uint64)
                 for i in some:
@@ -54,13 +58,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n[i] = len(distinct)
                     digest[i] = np.frombuffer(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest(), np.uint64)
                 lists = []
-                for part_of in (keys, planes):
+                for part_of in (keys, planes, cells):
                     size = np.zeros(len(ids) + 1, np.int32)
                     size[some + 1] = part_of.shape[1]
                     lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), tx.signed(part_of.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), tx.signed(digest[:, 0].copy()), tx.signed(digest[:, 1].copy()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), tx.signed(digest[:, 0].copy()), tx.signed(digest[:, 1].copy()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits", "map"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>, map array<long>")
 
 
 def _planes(value: np.ndarray) -> np.ndarray:
@@ -115,6 +119,17 @@ def _promising(x: str, y: str, values: int, percent: int) -> Column:
     return (F.col(f"{x}.n") * percent <= F.col(f"{y}.n") * 100) & (F.col(f"{y}.n") * percent <= F.col(f"{x}.n") * 100) & (differ <= most)
 
 
+def _room(x: str, y: str, percent: int) -> Column:
+    """Whether the bit maps of two rows leave room for a similarity of percent / 100.
+
+    Cells that only one set has hold shingles that the other lacks, so they bound from above what
+    both can share. The bound never rules out a link.
+    """
+    alone, other = (sum(F.bit_count(F.col(f"{p}.map")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[i]))) for i in range(MAP)) for p, q in ((x, y), (y, x)))
+    shared = F.least(F.col(f"{x}.n") - alone, F.col(f"{y}.n") - other)
+    return shared * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -125,11 +140,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets form one class first, so copies cost one row each however many there are. Rows
     that share a band key form a bucket. What is compared: first each member with its bucket's
     hub, the document with most company in all its buckets; then, in buckets whose members still
-    belong to different components, members with a few pivots, in rounds; then all pairs of
-    members that are in different components by now. So a large group of near copies needs about
-    a comparison for each member, and no link between components is left untested. Before texts
-    are fetched, a pair's sizes and signature bits must leave room for the threshold; every link
-    is then confirmed on full sets. Nothing is capped. A pair at exactly the threshold is missed
+    belong to different components, members with a few pivots; then all pairs of members that are
+    in different components by now. So a large group of near copies needs about a comparison for
+    each member, and no link between components is left untested. Before texts are fetched, a
+    pair's sizes, signature bits and bit maps must leave room for the threshold; every link is
+    then confirmed on full sets. Nothing is capped. A pair at exactly the threshold is missed
     with a probability of 3e-5 at 40 bands of 5, a closer one less.
 
     Nulls: a null text equals an empty one; both have no shingles and no links. A row with a
@@ -146,30 +161,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bucket.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     member = cut(bucket.join(shared, "band"))
     company = member.groupBy("doc_id").agg(F.sum("k").alias("company"))
-    own = company.join(first.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id")
-    member = cut(member.select("band", "doc_id").join(own, "doc_id"))
+    own = cut(company.join(first.select("doc_id", F.col("n_shingles").alias("n"), "bits", "map"), "doc_id"))
+    member = member.select("band", "doc_id")
 
     values = rows * bands
     tested = link = found = None
-    for turn in range(ROUNDS + 2):
-        if found is None:
-            left = member.withColumn("c", F.col("doc_id"))
+    for turn in ("hub", "pivots", "pairs"):
+        if turn == "hub":
+            left = member.join(own.drop("map"), "doc_id").withColumn("c", F.col("doc_id"))
             pick = left.groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"), "doc_id", "n", "bits", "c")).alias("y"))
-            pivot = pick.select("band", "y.doc_id", "y.n", "y.bits", "y.c")
+            right = pick.select("band", "y.doc_id", "y.n", "y.bits", "y.c")
+            room = F.lit(True)
         else:
-            left = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-            mixed = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-            left = cut(left.join(mixed, "band", "left_semi").select("band", "doc_id", "n", "bits", "c"))
+            named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+            mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+            left = cut(named.join(mixed, "band", "left_semi").join(own.drop("company"), "doc_id"))
             if left.isEmpty():
                 break
-            pivot = left
-            if turn <= ROUNDS:
-                picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + i)).alias("h"), F.struct("doc_id", "n", "bits", "c").alias("y"))).alias(f"p{i}") for i in range(PIVOTS)]
-                pick = left.groupBy("band").agg(*picks)
-                pivot = pick.select("band", F.explode(F.array_distinct(F.array(*(f"p{i}.y" for i in range(PIVOTS))))).alias("y")).select("band", "y.*")
-        apart = F.col("x.c") < F.col("y.c") if pivot is left else F.col("x.c") != F.col("y.c")
-        pair = left.alias("x").join(pivot.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _promising("x", "y", values, percent))
-        # the pivot comes first, so that its text is read once for all that it meets
+            right = left
+            if turn == "pivots":
+                picks = [F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(i)), "doc_id").alias("h")).alias(f"p{i}") for i in range(PIVOTS)]
+                some = left.groupBy("band").agg(*picks).select("band", F.explode(F.array_distinct(F.array(*(f"p{i}.doc_id" for i in range(PIVOTS))))).alias("doc_id"))
+                right = left.join(some, ["band", "doc_id"], "left_semi")
+            room = _room("x", "y", percent)
+        apart = F.col("x.c") < F.col("y.c") if turn == "pairs" else F.col("x.c") != F.col("y.c")
+        pair = left.alias("x").join(right.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _promising("x", "y", values, percent) & room)
+        # the hub or pivot comes first, so that its text is read once for all that it meets
         pair = pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
         if tested is not None:
             pair = pair.join(tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
