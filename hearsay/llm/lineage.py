@@ -8,15 +8,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where a session
-    has none, as in tests on one machine, a temporary folder is set.
+    Only where a session has none, as in tests on one machine, a temporary folder is set.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "hearsay-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and return it read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
