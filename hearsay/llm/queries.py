@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import toxicity
+from hearsay.llm import chat, toxicity, warc
 from hearsay.llm.decontaminate import contamination
+from hearsay.llm.fingerprint import edit_likeness
 from hearsay.llm.line_dedup import drop_repeated_lines
 from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
@@ -24,6 +25,23 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], said.schema)
+    return chat.read_back(chat.format_chats(said.union(extra)))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
+    fields = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("cache-control", "content-type", "etag", "last-modified")]
+    return found.select("record_id", "url_key", "verdict", "response_id", *fields, F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
@@ -47,7 +65,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
+QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -91,6 +109,34 @@ d2 AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY part,
 p AS (SELECT doc_id, rank, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM d2 WHERE size > 0),
 t AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * times) AS taken FROM p JOIN times USING (rank, block) GROUP BY 1)
 SELECT d2.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d2 LEFT JOIN t USING (doc_id)
+""",
+    "op2_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (SELECT *, contains(text, '###') OR contains(text, '</turn>') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  CAST(sum(3 + length(role) + 3 + length(text) + 9 + CASE WHEN esc THEN 1 + 3 * length(text) - length(replace(text, '\', '')) - length(replace(text, '#', '')) - length(replace(text, '<', '')) ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op8_revisits": """
+WITH u AS (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+p AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*[.]', ''), ':(80|443)$', '') AS host,
+  regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM u),
+q AS (SELECT *, regexp_replace(regexp_replace(rest, '[?].*$', ''), '/+$', '') AS path,
+  list_sort(list_filter(string_split(CASE WHEN contains(rest, '?') THEN regexp_replace(rest, '^[^?]*[?]', '') ELSE '' END, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS params FROM p),
+k AS (SELECT page_id, html, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
+  '"' || substring(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || CAST(page_id // 100 AS VARCHAR) AS day FROM q),
+r AS (SELECT k.page_id AS id, k.url_key, k.tag, k.day, max(o.page_id) AS stored FROM k LEFT JOIN k o ON o.url_key = k.url_key AND (o.page_id, o.page_id * 2) < (k.page_id + 500, k.page_id * 2 + 1) GROUP BY ALL),
+v AS (SELECT r.*, o.tag AS otag, o.day AS oday, o.html AS body,
+  CASE WHEN stored IS NULL THEN 'no response' WHEN CASE WHEN id % 5 = 0 THEN o.tag = '"other"' WHEN id % 7 = 0 THEN r.day = o.day ELSE r.tag = o.tag END THEN 'resolved' ELSE 'validators differ' END AS verdict
+  FROM r LEFT JOIN k o ON o.page_id = stored)
+SELECT id * 2 + 1 AS record_id, url_key, verdict, CASE WHEN verdict = 'resolved' THEN stored * 2 END AS response_id,
+  CASE WHEN verdict = 'resolved' THEN 'max-age=120' END AS cache_control, CASE WHEN verdict = 'resolved' THEN 'text/html' END AS content_type,
+  CASE WHEN verdict = 'resolved' THEN CASE WHEN id % 7 = 0 THEN otag ELSE 'W/' || tag END END AS etag,
+  CASE WHEN verdict = 'resolved' THEN oday END AS last_modified, CASE WHEN verdict = 'resolved' THEN CAST(strlen(body) AS BIGINT) END AS n_bytes
+FROM v
 """,
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
