@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearsay.llm import chat, toxicity, warc
 from hearsay.llm.decontaminate import contamination
 from hearsay.llm.fingerprint import edit_likeness
+from hearsay.llm.html_text import extract_text
 from hearsay.llm.line_dedup import drop_repeated_lines
 from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
@@ -36,6 +37,11 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
     fields = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("cache-control", "content-type", "etag", "last-modified")]
@@ -65,7 +71,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
+QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
