@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, toxicity, warc
+from hearsay.llm import chat, language_model, toxicity, warc
 from hearsay.llm.decontaminate import contamination
 from hearsay.llm.fingerprint import edit_likeness
 from hearsay.llm.html_text import extract_text
@@ -71,7 +71,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)").alias("held_out"))
+    model, counts = language_model.fit(docs.where("not held_out"))
+    return language_model.score(docs, model, counts)
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op10_language_model": op10_language_model, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
