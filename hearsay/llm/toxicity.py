@@ -25,14 +25,16 @@ def units(text: str) -> set[str]:
     Letters set apart by spaces are joined to one unit; a longer word gives overlapping pieces.
     """
     low = text.lower().split()
-    out, run = set(low), ""
-    for w in low if any(len(w) == 1 for w in out) else ():
-        if len(w) == 1:
-            run += w
-        elif run:
-            out.add(run)
-            run = ""
-    out.add(run)
+    out = set(low)
+    alone = [i for i, w in enumerate(low) if len(w) == 1]
+    at = 0
+    while at < len(alone):
+        end = at
+        while end + 1 < len(alone) and alone[end + 1] == alone[end] + 1:
+            end += 1
+        if end - at + 1 >= ORDER:
+            out.add("".join(low[alone[at] : alone[end] + 1]))
+        at = end + 1
     long = [w for w in out if len(w) > LONGEST]
     for w in long:
         out.discard(w)
@@ -84,13 +86,39 @@ def kernel(left: np.ndarray, right: np.ndarray, paired: bool = False) -> np.ndar
     return total
 
 
+def pair_bits(code: np.ndarray, reach: int) -> np.ndarray:
+    """Bit sets, 256 bits in four longs, of the ordered letter pairs at most `reach` places apart in each row."""
+    out = np.zeros((len(code), 4), np.uint64)
+    for gap in range(1, reach + 1):
+        for i in range(code.shape[1] - gap):
+            rows = np.flatnonzero(code[:, i + gap])
+            if not len(rows):
+                break
+            h = (code[rows, i] * np.uint32(0x9E3779B1) ^ code[rows, i + gap] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(24)
+            out[rows, h >> np.uint32(6)] |= np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
+    return out
+
+
 def similarity(words: list[str], landmark: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark, a landmark's with itself counting as one; what exceeds one by much is no more alike."""
+    """Kernel of each word with each landmark, a landmark's with itself counting as one; what exceeds one by much is no more alike.
+
+    The kernel is a sparse one: it is nought for words that have, at most three places apart,
+    under half of the letter pairs that are neighbours in the landmark. A word that holds the
+    landmark with a letter put between any two has them all.
+    """
     out = np.zeros((len(words), len(landmark)), np.float32)
+    own_pairs = pair_bits(landmark, 1)
+    need = (np.bitwise_count(own_pairs).sum(axis=1) + 1) // 2
     order = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(words), 1024):
-        own = order[at : at + 1024]
-        out[own] = kernel(codes([words[i] for i in own]), landmark) / norm
+    for at in range(0, len(words), 8192):
+        own = order[at : at + 8192]
+        code = codes([words[i] for i in own])
+        bits = pair_bits(code, 3)
+        common = sum(np.bitwise_count(bits[:, k, None] & own_pairs[None, :, k]) for k in range(4))
+        row, column = np.nonzero(common >= need)
+        for i in range(0, len(row), 4096):
+            r, c = row[i : i + 4096], column[i : i + 4096]
+            out[own[r], c] = kernel(code[r], landmark[c], paired=True) / norm[c]
     return np.minimum(out, 1.25)
 
 
@@ -116,10 +144,11 @@ def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.hstack([features[:, :n] @ whiten, features[:, n:]])
 
 
-def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 100_000) -> Iterator[np.ndarray]:
+def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 400_000) -> Iterator[np.ndarray]:
     """For each array of texts, by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
 
-    Words met before in the task are looked up, in a table of at most `keep` words at a time.
+    Words met before in the task are looked up, in a table of at most `keep` words at a time; all
+    words that are like no landmark share a line of it.
     """
     code = codes(landmarks) if landmarks else np.zeros((0, LONGEST), np.uint32)
     norm = kernel(code, code, paired=True) if landmarks else np.zeros(0, np.float32)
@@ -127,20 +156,22 @@ def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 100_
     table = np.zeros((1, len(landmarks)), np.float32)
     for column in columns:
         out = np.zeros((len(column), 2 * len(landmarks)))
-        for first in range(0, len(column), 200):
-            texts = [units(t or "") for t in column[first : first + 200].to_pylist()]
-            new = list({w for t in texts for w in t if w not in place})
+        for first in range(0, len(column), 1000):
+            texts = [units(t or "") for t in column[first : first + 1000].to_pylist()]
+            new = list(set().union(*texts) - place.keys())
             if len(place) + len(new) > keep:
-                place, table, new = {}, table[:1], list({w for t in texts for w in t})
+                place, table, new = {}, table[:1], list(set().union(*texts))
             seen = [unit(w) for w in new]
-            known = list({v for v in seen if v})
-            value = np.concatenate([table[:1], similarity(known, code, norm)]) if known else table[:1]
-            at = {w: i + 1 for i, w in enumerate(known)}
-            place.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-            table = np.concatenate([table, value[[at.get(v, 0) for v in seen]]]) if new else table
+            known = list(set(seen) - {""})
+            value = similarity(known, code, norm) if known else np.zeros((0, len(landmarks)), np.float32)
+            some = np.flatnonzero(value.any(axis=1))
+            at = {known[i]: len(table) + k for k, i in enumerate(some)}
+            place.update((w, at.get(v, 0)) for w, v in zip(new, seen, strict=True))
+            table = np.concatenate([table, value[some]]) if len(some) else table
             for i, t in enumerate(texts):
-                if t and landmarks:
-                    own = table[[place[w] for w in t]]
+                near = [p for w in t if (p := place[w])]
+                if near:
+                    own = table[near]
                     out[first + i] = np.concatenate([own.max(axis=0), np.log1p(np.maximum(own - 0.75, 0).sum(axis=0) * 4)])
         yield out
 
