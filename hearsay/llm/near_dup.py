@@ -16,8 +16,8 @@ from hearsay.llm.components import connected_components
 from hearsay.llm.lineage import cut
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
-#: Bits kept of each signature value, longs of a set's bit map, and pivots that a bucket's members meet.
-BITS, MAP, PIVOTS = 3, 32, 8
+#: Bits kept of each signature value, and longs of a set's bit map.
+BITS, MAP = 3, 32
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -74,7 +74,7 @@ def _planes(value: np.ndarray) -> np.ndarray:
     bit = np.zeros((len(value), BITS, wide), np.uint8)
     for k in range(BITS):
         bit[:, k, : value.shape[1]] = (mixed >> np.uint64(k)) & np.uint64(1)
-    return np.packbits(bit.reshape(len(value), -1), axis=1).view(np.uint64).reshape(len(value), BITS * wide // 64)
+    return np.packbits(bit.reshape(len(value), BITS * wide), axis=1).view(np.uint64).reshape(len(value), BITS * wide // 64)
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -140,8 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets form one class first, so copies cost one row each however many there are. Rows
     that share a band key form a bucket. What is compared: first each member with its bucket's
     hub, the document with most company in all its buckets; then, in buckets whose members still
-    belong to different components, members with a few pivots; then all pairs of members that are
-    in different components by now. So a large group of near copies needs about a comparison for
+    belong to different components, all pairs of members of different components. So a large group of near copies needs about a comparison for
     each member, and no link between components is left untested. Before texts are fetched, a
     pair's sizes, signature bits and bit maps must leave room for the threshold; every link is
     then confirmed on full sets. Nothing is capped. A pair at exactly the threshold is missed
@@ -165,37 +164,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = member.select("band", "doc_id")
 
     values = rows * bands
-    tested = link = found = None
-    for turn in ("hub", "pivots", "pairs"):
-        if turn == "hub":
-            left = member.join(own.drop("map"), "doc_id").withColumn("c", F.col("doc_id"))
-            pick = left.groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"), "doc_id", "n", "bits", "c")).alias("y"))
-            right = pick.select("band", "y.doc_id", "y.n", "y.bits", "y.c")
-            room = F.lit(True)
-        else:
-            named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-            mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-            left = cut(named.join(mixed, "band", "left_semi").join(own.drop("company"), "doc_id"))
-            if left.isEmpty():
-                break
-            right = left
-            if turn == "pivots":
-                picks = [F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(i)), "doc_id").alias("h")).alias(f"p{i}") for i in range(PIVOTS)]
-                some = left.groupBy("band").agg(*picks).select("band", F.explode(F.array_distinct(F.array(*(f"p{i}.doc_id" for i in range(PIVOTS))))).alias("doc_id"))
-                right = left.join(some, ["band", "doc_id"], "left_semi")
-            room = _room("x", "y", percent)
-        apart = F.col("x.c") < F.col("y.c") if turn == "pairs" else F.col("x.c") != F.col("y.c")
-        pair = left.alias("x").join(right.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & _promising("x", "y", values, percent) & room)
-        # the hub or pivot comes first, so that its text is read once for all that it meets
-        pair = pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
-        if tested is not None:
-            pair = pair.join(tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
-        new = cut(similarities(pair.select("a", "b"), text, shingle=shingle))
-        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
-        good = new.where(_linked(percent)).select("a", "b")
-        if found is None or not good.isEmpty():
-            link = good if link is None else link.union(good)
-            found = connected_components(link)
+    left = member.join(own.drop("map"), "doc_id")
+    hub = left.groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"), "doc_id", "n", "bits")).alias("y")).select("band", "y.doc_id", "y.n", "y.bits")
+    pair = left.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _promising("x", "y", values, percent))
+    # the hub comes first, so that its text is read once for all that it meets
+    spoke = cut(similarities(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), text, shingle=shingle))
+    link = spoke.where(_linked(percent)).select("a", "b")
+    found = connected_components(link)
+
+    named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    left = cut(named.join(mixed, "band", "left_semi").join(own.drop("company"), "doc_id"))
+    pair = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent) & _room("x", "y", percent))
+    pair = pair.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    pair = pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = cut(similarities(pair, text, shingle=shingle).where(_linked(percent)).select("a", "b"))
+    if not more.isEmpty():
+        found = connected_components(link.union(more))
 
     # copies of a set get the component of the class
     rep = classes.withColumnRenamed("doc_id", "rep")
