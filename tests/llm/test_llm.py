@@ -153,7 +153,7 @@ def test_fingerprints_by_brute_force(spark):
         after = order[(k + 1) % len(order)][2]
         changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         a, b, c = fingerprint.digests(x.encode() for x in (t, changed, after))
-        want.append((i if some else None, len(t), hashlib.sha256(changed.encode()).hexdigest(), a, b, *fingerprint.likeness([a, a], [b, c])))
+        want.append((i if some else None, len(t), hashlib.sha256(changed.encode()).hexdigest(), a, b, *map(float, fingerprint.likeness([a, a], [b, c]))))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
     assert fingerprint.edit_likeness(documents(spark, [])).count() == 0
