@@ -272,13 +272,13 @@ def j08_try_cast_conditional_join(spark, sf):
     return e.join(o, "k", "left").select("event_id", "status")
 
 
-@query("""WITH n AS (SELECT user_id, sum(CAST(value * 100 AS BIGINT)) / 100.0 AS heat FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT user_id, sum(CAST(value * 100 AS BIGINT)) / 100.0 AS heat FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 3 > 0 GROUP BY 1)
+@query("""WITH n AS (SELECT user_id, sum(CAST(value * 100 AS BIGINT)) / 100.0 AS heat FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT user_id, sum(CAST(value * 100 AS BIGINT)) / 100.0 AS heat FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type <> 'error' GROUP BY 1)
 SELECT n.user_id, CASE WHEN b.heat IS NULL THEN 'new' WHEN n.heat - b.heat > greatest(abs(b.heat) * 0.05, 1.0) THEN 'rising' WHEN b.heat - n.heat > greatest(abs(b.heat) * 0.05, 1.0) THEN 'falling' ELSE 'stable' END AS trend FROM n LEFT JOIN b USING (user_id)""")
 def j09_c38_st01_memory_trend(spark, sf):
     e = table(spark, sf, "events").withColumn("v", F.round(F.col("value") * 100).cast("long"))
     late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
     now = e.where(late).groupBy("user_id").agg((F.sum("v") / 100.0).alias("heat"))
-    before = e.where(~late & (F.col("user_id") % 3 > 0)).groupBy("user_id").agg((F.sum("v") / 100.0).alias("before"))
+    before = e.where(~late & (F.col("event_type") != "error")).groupBy("user_id").agg((F.sum("v") / 100.0).alias("before"))
     return now.join(before, "user_id", "left").select("user_id", sc.memory_trend(F.col("heat"), F.col("before")).alias("trend"))
 
 
@@ -505,37 +505,37 @@ def c13_c16_f19_z11_keywords(spark, sf):
 # --- mutations --------------------------------------------------------------------------------
 
 
-@query("""SELECT coalesce(c.k, n.k) AS k, coalesce(n.v, c.v) AS v, CASE WHEN c.k IS NOT NULL THEN c.w ELSE n.w END AS w FROM (SELECT c_custkey AS k, c_acctbal AS v, c_nationkey AS w FROM customer WHERE c_custkey % 3 > 0) c FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v, -1 AS w FROM customer WHERE c_custkey % 2 = 0) n ON c.k = n.k""")
+@query("""SELECT coalesce(c.k, n.k) AS k, coalesce(n.v, c.v) AS v, CASE WHEN c.k IS NOT NULL THEN c.w ELSE n.w END AS w FROM (SELECT c_custkey AS k, c_acctbal AS v, c_nationkey AS w FROM customer WHERE c_nationkey >= 8) c FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v, -1 AS w FROM customer WHERE c_acctbal > 2000) n ON c.k = n.k""")
 def d01_s11_upsert(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").cast("int").alias("w"))
-    return mg.upsert(c.where("k % 3 > 0"), c.where("k % 2 = 0").select("k", (F.col("v") + 1).alias("v"), F.lit(-1).alias("w")), ["k"], ["v"])
+    return mg.upsert(c.where("w >= 8"), c.where("v > 2000").select("k", (F.col("v") + 1).alias("v"), F.lit(-1).alias("w")), ["k"], ["v"])
 
 
-_EVENTS = "SELECT c_custkey AS event_key, CASE c_custkey % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' WHEN 2 THEN 'archived' ELSE 'rejected' END AS status, CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_custkey % 8 = 2 THEN 'system' ELSE 'person' END END AS archived_by, c_custkey % 5 = 0 AS curated, c_name AS title, c_acctbal AS heat FROM customer WHERE c_custkey % 7 > 0"
+_EVENTS = "SELECT c_custkey AS event_key, CASE c_custkey % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' WHEN 2 THEN 'archived' ELSE 'rejected' END AS status, CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_custkey % 8 = 2 THEN 'system' ELSE 'person' END END AS archived_by, c_custkey % 5 = 0 AS curated, c_name AS title, c_acctbal AS heat FROM customer WHERE c_nationkey > 3"
 
 
 def _events(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr("c_custkey AS event_key", "CASE c_custkey % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' WHEN 2 THEN 'archived' ELSE 'rejected' END AS status", "CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_custkey % 8 = 2 THEN 'system' ELSE 'person' END END AS archived_by", "c_custkey % 5 = 0 AS curated", "c_name AS title", "c_acctbal AS heat").where("event_key % 7 > 0")
+    return table(spark, sf, "customer").where("c_nationkey > 3").selectExpr("c_custkey AS event_key", "CASE c_custkey % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' WHEN 2 THEN 'archived' ELSE 'rejected' END AS status", "CASE WHEN c_custkey % 4 = 2 THEN CASE WHEN c_custkey % 8 = 2 THEN 'system' ELSE 'person' END END AS archived_by", "c_custkey % 5 = 0 AS curated", "c_name AS title", "c_acctbal AS heat")
 
 
-@query(f"""WITH o AS ({_EVENTS}), n AS (SELECT c_custkey AS event_key, 'new' AS title, 1.0::DOUBLE AS heat FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT coalesce(o.event_key, n.event_key) AS event_key, o.*, n.event_key AS nk, n.title AS nt, n.heat AS nh FROM o FULL JOIN n ON o.event_key = n.event_key)
+@query(f"""WITH o AS ({_EVENTS}), n AS (SELECT c_custkey AS event_key, 'new' AS title, 1.0::DOUBLE AS heat FROM customer WHERE c_acctbal > 3000), j AS (SELECT coalesce(o.event_key, n.event_key) AS event_key, o.*, n.event_key AS nk, n.title AS nt, n.heat AS nh FROM o FULL JOIN n ON o.event_key = n.event_key)
 SELECT coalesce(event_key, nk) AS event_key, CASE WHEN coalesce(curated, false) OR nk IS NULL THEN status WHEN status = 'archived' AND archived_by = 'system' THEN 'draft' ELSE coalesce(status, 'draft') END AS status, CASE WHEN coalesce(curated, false) OR nk IS NULL OR NOT coalesce(status = 'archived' AND archived_by = 'system', false) THEN archived_by END AS archived_by, coalesce(curated, false) AS curated,
 CASE WHEN coalesce(curated, false) OR nk IS NULL THEN title ELSE nt END AS title, CASE WHEN coalesce(curated, false) OR nk IS NULL THEN heat ELSE nh END AS heat FROM j""".replace("SELECT coalesce(o.event_key, n.event_key) AS event_key, o.*", "SELECT o.*"))
 def d03_upsert_events(spark, sf):
-    new = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("event_key"), F.lit("new").alias("title"), F.lit(1.0).alias("heat"))
+    new = table(spark, sf, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("event_key"), F.lit("new").alias("title"), F.lit(1.0).alias("heat"))
     return mg.upsert_events(_events(spark, sf), new)
 
 
-@query(f"""SELECT event_key, CASE WHEN status = 'draft' AND NOT curated AND event_key % 3 > 0 THEN 'archived' ELSE status END AS status, CASE WHEN status = 'draft' AND NOT curated AND event_key % 3 > 0 THEN 'system' ELSE archived_by END AS archived_by, curated, title, heat FROM ({_EVENTS})""")
+@query(f"""SELECT event_key, CASE WHEN status = 'draft' AND NOT curated AND heat <= 3000 THEN 'archived' ELSE status END AS status, CASE WHEN status = 'draft' AND NOT curated AND heat <= 3000 THEN 'system' ELSE archived_by END AS archived_by, curated, title, heat FROM ({_EVENTS})""")
 def d06_archive_stale(spark, sf):
-    active = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("event_key"))
+    active = table(spark, sf, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("event_key"))
     return mg.archive_stale(_events(spark, sf), active)
 
 
-@query("""SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 > 0 UNION ALL SELECT DISTINCT l_orderkey, -1 FROM lineitem WHERE l_orderkey % 10 = 0""")
+@query("""SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT DISTINCT l_orderkey, -1 FROM lineitem WHERE l_returnflag = 'R'""")
 def d04_replace_links(spark, sf):
     old = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    new = old.where("l_orderkey % 10 = 0").select("l_orderkey", F.lit(-1).cast("long").alias("l_partkey")).distinct()
+    new = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", F.lit(-1).cast("long").alias("l_partkey")).distinct()
     return mg.replace_links(old, new, "l_orderkey")
 
 

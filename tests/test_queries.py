@@ -1,6 +1,6 @@
 import pytest
 
-from hearsay import queries
+from hearsay import more_queries, queries
 from tests.check import assert_same
 
 
@@ -14,6 +14,10 @@ def test_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_registry():
+    assert more_queries.query is queries.query and len(queries.QUERIES) > 90
+
+
 def test_entry(spark):
     import __spark_entry__
 
