@@ -162,3 +162,13 @@ def j19_z13_prefetched(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("author"))
     n = o.groupBy("o_custkey").agg(F.count("*").alias("siblings"))
     return o.select("o_orderkey", "o_custkey").join(c, "o_custkey", "left").join(n, "o_custkey", "left")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'report' WHEN 1 THEN 'hotspots' WHEN 2 THEN 'risk_analysis' WHEN 3 THEN 'report' ELSE 'search' END AS intent, CASE event_id % 6 WHEN 0 THEN '宿舍' WHEN 2 THEN '作息调整' WHEN 3 THEN '宿舍' ELSE '' END AS keyword, CASE event_id % 6 WHEN 0 THEN 'switch' WHEN 2 THEN 'switch' WHEN 3 THEN 'switch' WHEN 4 THEN 'continue' ELSE 'global' END AS topic, event_id % 6 < 3 AS confident FROM events""")
+def c45_z31_intent_routes(spark, sf):
+    from hearsay.functions.intent import route
+
+    i = F.col("event_id") % 6
+    asked = F.when(i == 0, "请给我一份宿舍舆情简报").when(i == 1, "最近有什么热点？").when(i == 2, "作息调整有什么风险").when(i == 3, "请给我一份宿舍搬迁舆情简报").when(i == 4, "展开说说那个").otherwise("hello")
+    r = route(asked, ["作息", "作息调整", "宿舍", "食堂"])
+    return table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", "r.*")
