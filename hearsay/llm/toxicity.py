@@ -264,9 +264,9 @@ def fit(texts: DataFrame, text_col: str = "text", label_col: str = "toxic", *, m
         for x in features(landmarks, column(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())), labels.pop(0)], ["x", "label"])
 
-    # collected in a fixed order, since the descent depends on it
-    rows = sample.mapInArrow(mapped, "x array<double>, label int").orderBy("x", "label").collect()
-    x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
+    # in a fixed order, since the folds depend on it
+    rows = sorted((tuple(r.x), r.label) for r in sample.mapInArrow(mapped, "x array<double>, label int").collect())
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     code = codes(landmarks)
     norm = kernel(code, code, paired=True).astype(np.float64)
     own_kernel = kernel(code, code).astype(np.float64) / np.sqrt(np.outer(norm, norm))
