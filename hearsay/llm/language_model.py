@@ -1,9 +1,11 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The first factor is a log-linear model
-over hashed features of the three words before: each one by itself, which includes skips, and the
-last two together. The second is the word's smoothed share of its class's tokens. The most
-frequent words are classes of their own; the others fall into classes by their ending.
+P(word | history) = P(class | history) * P(word | class, history). The first factor is a log-linear
+model over hashed features of the three words before: each one by itself, which includes skips, and
+the last two together. The most frequent words are classes of their own; the others fall into
+classes by their ending. The second factor is the word's share of what its class has after the two
+words before, smoothed by its share after the word before, and that by its share of the class's
+tokens. Its counts are of all training texts, by hash, in a table that grows with them.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ SINGLE, OPEN, KNOWN, GROUPS = 40, 24, 1000, 1048
 ROWS, TEMPLATES, STEP, RATE = 2048, 4, 8192, 0.15
 #: Characters of text that are scored together.
 CHUNK = 4_000_000
+#: Weight of the shorter history's share beside counts after one word and after two, chosen on held-out texts of sf0.1.
+SMOOTH = (256.0, 2.0)
+#: Least number of parts of the counts, tokens of a part beyond that, and bits of a history's hash beyond those that number the tokens.
+PARTS, PART_TOKENS, SPARE = 64, 1 << 22, 6
 END = np.uint64(0x9D39247E33776D41)
 _CLASSES = SINGLE + OPEN
 _BLOCKS = 64
+_START = np.uint64(0x3C6EF372FE94F82B)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +46,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # words with letters beyond ASCII are told from others by the last of these, others by their last two letters
     high = np.flatnonzero(text >= 128)
     last_high = high[np.clip(np.searchsorted(high, ends) - 1, 0, None)] if len(high) else np.zeros(len(ends), np.int64)
-    wide = (last_high >= starts) & bool(len(high))
+    wide = (last_high >= starts) & (last_high < ends) & bool(len(high))
     before = np.maximum(ends - 2, starts)
     low = text[before].astype(np.uint64) << np.uint64(8) | text[ends - 1] if len(ends) else np.zeros(0, np.uint64)
     top = np.uint64(1 << 20) | text[np.where(wide, last_high, 0)].astype(np.uint64) if len(ends) else low
@@ -59,6 +66,8 @@ class Model:
     tokens: int
     words: int
     weights: np.ndarray
+    bits: int = 64
+    parts: int = PARTS
 
     def __post_init__(self) -> None:
         self.order = np.argsort(self.frequent)
@@ -85,6 +94,25 @@ class Model:
         keys = (before[0], before[1], before[2], before[0] * np.uint64(1 << 20) + before[1])
         return np.stack([(tx.mix(x + np.uint64(7919 * (i + 1))) % np.uint64(ROWS)).astype(np.int64) + i * ROWS for i, x in enumerate(keys)])
 
+    def after(self, word: np.ndarray, group: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens that share a class, and their hashes: of the word before with the word, of it with the class, and both with two words before: [4, place]."""
+        own = np.flatnonzero(group >= min(SINGLE, len(self.frequent)))
+        place = np.arange(len(word)) - np.repeat(by_row[:-1], np.diff(by_row))
+        one, two = (np.where(place[own] >= k, word[own - k], _START) for k in (1, 2))
+        both = tx.mix(two + np.uint64(0x9E3779B97F4A7C15)) + one
+        low = np.uint64(64 - self.bits)
+        keys = [tx.mix(tx.mix(h + np.uint64(salt)) + x) >> low << low for salt, h in ((11, one), (13, both)) for x in (word[own], group[own].astype(np.uint64))]
+        return own, np.stack(keys)
+
+    def within(self, group: np.ndarray, count: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log10 of each word's share of its class after its history, from the word's count and those of `after`. The shares of all words of a class add up to one at most."""
+        out = np.zeros(len(group))
+        share = (count[own] + 1) / (self.class_tokens + self.class_words + 1)[group[own]]
+        for k, weight in enumerate(SMOOTH):
+            share = (n[2 * k] + weight * share) / (n[2 * k + 1] + weight)
+        out[own] = np.log10(share)
+        return out
+
     def log_classes(self, feature: np.ndarray) -> np.ndarray:
         """Log probabilities of all classes after each history: [token, class]."""
         z = self.weights[feature[0]] + self.bias
@@ -116,6 +144,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("c"))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by the rank of their bytes, compressed, after their length."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T).tobytes(), kind)
+
+
+def _dealt(key: np.ndarray, parts: int, low: int) -> Iterator[tuple[int, slice, bytes]]:
+    """Sorted distinct hashes by parts of equal ranges: part, place, and the steps from each to the next without the low bits, packed."""
+    part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts))).tolist()
+    for a, b in zip(edge, [*edge[1:], len(key)]):
+        yield int(part[a]), slice(a, b), _packed(np.diff(key[a:b] >> np.uint64(low), prepend=np.uint64(0)))
+
+
+def _keys(data: bytes, low: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64) << np.uint64(low)
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    """All of them in order, each once; a sort takes less than np.unique's hash table."""
+    key = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    return key[np.flatnonzero(np.diff(key, prepend=~key[:1]))]
+
+
+def packed_counts(counts: DataFrame, parts: int) -> DataFrame:
+    """(part, keys, n): the words of counts (word, c) and their counts, packed by part."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        word, n = (np.concatenate([b.column(k).to_numpy() for b in held]).astype(np.int64).view(np.uint64) for k in (0, 1))
+        order = np.argsort(word)
+        part, keys, ns = zip(*((p, keys, _packed(n[order][at])) for p, at, keys in _dealt(word[order], parts, 0)))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(ns, pa.binary())], ["part", "keys", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= CHUNK // 4:
+                yield pack(held)
+                held, rows = [], 0
+        if held:
+            yield pack(held)
+
+    return counts.select("word", "c").mapInArrow(run, "part int, keys binary, n binary")
+
+
 def _trained(docs: DataFrame, model: Model, part: str) -> np.ndarray:
     """Mean of the weights that tasks reach by gradient steps over all their training texts, weighted by tokens.
 
@@ -192,9 +272,12 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     ends = counts.where(F.col("word") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     for i, c in enumerate([ends, *(r.c for r in top[: SINGLE - 1])]):
         n[i], v[i] = c, 1
-    model = Model(frequent, n, v, int(n.sum()), int(v.sum()) - (0 if ends else 1), np.zeros((TEMPLATES * ROWS, _CLASSES), np.float32))
+    total = int(n.sum())
+    # four hashes of each token
+    sizes = min(60, max(32, total.bit_length() + 2 + SPARE)), max(PARTS, total // PART_TOKENS)
+    model = Model(frequent, n, v, total, int(v.sum()) - (0 if ends else 1), np.zeros((TEMPLATES * ROWS, _CLASSES), np.float32), *sizes)
     for part in ("pmod(xxhash64(text, 'fit'), 4) = 0", "pmod(xxhash64(text, 'fit'), 4) <> 0"):
-        model = Model(model.frequent, n, v, model.tokens, model.words, _trained(own, model, part))
+        model = Model(model.frequent, n, v, model.tokens, model.words, _trained(own, model, part), *sizes)
     return model, counts
 
 
@@ -202,42 +285,82 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text, held_out).
 
     Texts are dealt by a hash to chunks of a bounded size. Each chunk asks for the counts of its
-    distinct words, one row for a word and chunk, and gets them back beside its texts, so no
-    vocabulary is held whole anywhere. base_score is the sum over tokens of
+    distinct words and histories, one packed row for a chunk and part of the counts, and gets them
+    back beside its texts, so no vocabulary is held whole anywhere. Rows that are not held out must be those that the model was
+    fitted on: with what a chunk asks, it tells how often they have it. base_score is the sum over tokens of
     log10((c + 1) / (N + V + 1)), score the model's log10 probability of the text. A null text
     has an end only. Repeated rows are scored alike.
     """
-    own = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select("doc_id", "held_out", F.coalesce(~F.col("held_out"), F.lit(False)).alias("fitted"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(table: pa.Table) -> pa.Table:
-        word = np.unique(tokens(table["text"].combine_chunks())[0])
-        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(word), pa.int64()), "word": tx.signed(word)})
-
-    asked = own.groupBy("chunk").applyInArrow(ask, "chunk long, word long")
-    told = asked.join(counts.select("word", "c"), "word").select("chunk", "word", "c")
+        m: Model = shared.value
+        column, fitted = table["text"].combine_chunks(), table["fitted"].to_numpy().astype(np.uint64)
+        words, after = [], []
+        for rows in tx.row_slices(column):
+            word, ending, by_row = tokens(column[rows])
+            words.append(np.sort(word))
+            own, key = m.after(word, m.classes(m.ranks(word), ending), by_row)
+            # the lowest bit, which no hash has, says that the text was fitted
+            after.append((key | np.repeat(fitted[rows], np.diff(by_row))[own]).reshape(-1))
+        key = np.sort(np.concatenate(after))
+        first = np.flatnonzero(np.diff(key >> np.uint64(1), prepend=~(key[:1] >> np.uint64(1))))
+        n = np.add.reduceat(key & np.uint64(1), first) if len(first) else key
+        rows = [(part, True, keys, None) for part, _, keys in _dealt(_distinct(words), m.parts, 0)]
+        rows += [(part, False, keys, _packed(n[at])) for part, at, keys in _dealt(key[first], m.parts, 64 - m.bits)]
+        part, whole, keys, n = zip(*rows)
+        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "part": pa.array(part, pa.int32()), "whole": pa.array(whole, pa.bool_()), "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary())})
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for whole, table in ((True, left), (False, right)):
+            low = 0 if whole else 64 - shared.value.bits
+            held = [(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"]) if n.is_valid]
+            known = np.concatenate([np.zeros(0, np.uint64), *(_keys(k, low) for k, _ in held)])
+            n = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n, np.uint64) for _, n in held)])
+            known, n = known[n > 0], n[n > 0]
+            order = np.argsort(known)
+            known, n = known[order], n[order]
+            first = np.flatnonzero(np.diff(known, prepend=~known[:1]))
+            known, n = np.append(known[first], np.uint64(2**64 - 1)), np.append(np.add.reduceat(n, first) if len(first) else n, np.uint64(0))
+            for chunk, own, keys in zip(right["chunk"], right["whole"].to_pylist(), right["keys"]):
+                if own == whole:
+                    key = _keys(keys.as_py(), low)
+                    at = np.searchsorted(known, key)
+                    out.append((chunk.as_py(), whole, _packed(np.where(known[at] == key, n[at], np.uint64(0)))))
+        part = right["part"][0].as_py() if len(right) else 0
+        chunk, whole, ns = zip(*out) if out else ((), (), ())
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([part] * len(out), pa.int32()), "whole": pa.array(whole, pa.bool_()), "n": pa.array(ns, pa.binary())})
+
+    asked = own.groupBy("chunk").applyInArrow(ask, "chunk long, part int, whole boolean, keys binary, n binary")
+    told = packed_counts(counts, model.parts).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(tell, "chunk long, part int, whole boolean, n binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m: Model = shared.value
-        known = right["word"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(known)
-        known, count = np.append(known[order], np.uint64(2**64 - 1)), np.append(right["c"].to_numpy()[order], 0)
         column = left["text"].combine_chunks()
+        back = {}
+        for whole in (True, False):
+            rows = sorted((p, n.as_py()) for p, w, n in zip(right["part"].to_pylist(), right["whole"].to_pylist(), right["n"]) if w == whole)
+            back[whole] = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n, np.uint64) for _, n in rows)])
         out = np.zeros((4, len(column)))
+        parts = []
         for rows in tx.row_slices(column):
             word, ending, by_row = tokens(column[rows])
-            at = np.searchsorted(known, word)
-            c = np.where(known[at] == word, count[at], 0)
-            base = np.log10(c + 1) - np.log10(m.tokens + m.words + 1)
             rank = m.ranks(word)
-            y, feature = m.classes(rank, ending), m.features(rank, ending, by_row)
+            y = m.classes(rank, ending)
+            parts.append((rows, word, by_row, y, m.features(rank, ending, by_row), *m.after(word, y, by_row)))
+        key = {True: _distinct([x[1] for x in parts]), False: _distinct([x[6].reshape(-1) for x in parts])}
+        for rows, word, by_row, y, feature, at, after in parts:
+            c = back[True][np.searchsorted(key[True], word)].astype(np.int64)
+            base = np.log10(c + 1) - np.log10(m.tokens + m.words + 1)
             chosen = np.zeros(len(word))
             for i in range(0, len(word), STEP):
                 z = m.log_classes(feature[:, i : i + STEP])
                 chosen[i : i + STEP] = z[np.arange(len(z)), y[i : i + STEP]]
-            within = np.where(y < min(SINGLE, len(m.frequent)), 0.0, np.log10(c + 1) - np.log10(m.class_tokens + m.class_words + 1)[y])
+            within = m.within(y, c, at, back[False][np.searchsorted(key[False], after)].astype(float))
             for k, x in enumerate((np.ones(len(word)), c > 0, base, chosen / np.log(10) + within)):
                 out[k, rows] = np.add.reduceat(x.astype(float), by_row[:-1])
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(out[0].astype(np.int64)), "n_known": pa.array(out[1].astype(np.int64)), "train_tokens": pa.array([m.tokens] * len(column), pa.int64()), "base_score": pa.array(out[2]), "score": pa.array(out[3])})

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +251,34 @@ def test_language_model(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_predicts_words_by_their_history(spark):
+    common = [f"{a}{b}xq" for a in "bcdfghjklm" for b in "aeiou"]
+    phrase = [f"rare{k}xq" for k in range(10)]  # none is a class of its own, and all share one by their ending
+    docs = [(i, " ".join([*common, *phrase, *common[i % 50 :], *common]), False) for i in range(400)]
+    docs += [(1000, " ".join(phrase), True), (1001, " ".join(reversed(phrase)), True), (1002, "unseenxq " * 3, True)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+    model, counts = language_model.fit(table.where("not held_out"))
+    got = {r.doc_id: r for r in language_model.score(table, model, counts).collect()}
+    assert len(got) == len(docs) and got[1000].base_score == pytest.approx(got[1001].base_score)
+    assert got[1000].score > got[1001].score + 5 and got[1002].n_known == 1
+
+
+def test_word_endings_do_not_depend_on_other_texts():
+    alone, beside = language_model.tokens(pa.array(["plain words"])), language_model.tokens(pa.array(["plain words", "caf\u00e9"]))
+    assert alone[1].tolist() == beside[1][:3].tolist() and beside[1][3] & np.uint64(1)
+
+
+def test_language_model_counts_after_a_history():
+    small = language_model.Model(np.array([language_model.END]), np.ones(64), np.ones(64), 9, 9, np.zeros((4 * language_model.ROWS, 64), np.float32), 40, 3)
+    word, ending, by_row = language_model.tokens(pa.array(["a b c a b", None, "b c a b c"]))
+    group = small.classes(small.ranks(word), ending)
+    own, key = small.after(word, group, by_row)
+    assert own.tolist() == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11] and [len(set(k.tolist())) for k in key[::2]] == [5, 7]
+    assert len({*key[2].tolist()} & {*key[0].tolist()}) == 0
+    back = np.concatenate([language_model._keys(data, 24) for _, _, data in language_model._dealt(np.unique(key), 3, 24)])
+    assert (back == np.unique(key)).all()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
