@@ -205,6 +205,14 @@ def test_html():
     assert len(show("<div>" * 20_000 + "deep")) == 4 and show("<table><tr><td>" * 300 + "in") == "in"
 
 
+def test_html_head_without_its_end():
+    show = html_text.visible_text
+    for first in ("<body><p>text", "<p>text", "<div>text</div>", "text", "<br>text", "</body>text"):
+        assert show(f"<html><head><title>t</title><meta charset=u><script>x</script>{first}") == "text"
+    assert show("<head><noscript><link href=x></noscript><p>text") == show("<head><noscript><img></noscript><p>text") == "text"
+    assert show("<head><template><p>no</p></template><title>t</title></head><p>yes") == "yes"
+
+
 def test_html_table_edges(spark):
     pages = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted(map(str, html_text.extract_text(pages).collect())) == sorted(["Row(page_id=1, text='a')"] * 2 + ["Row(page_id=None, text='')"])
