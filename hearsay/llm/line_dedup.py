@@ -63,6 +63,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     overlapping windows merge. A document that loses all its lines keeps an empty text. With
     counts, two columns of those names get the numbers of lines and of lines removed.
 
+    Only newlines set lines apart, so a passage on fewer whole lines than a window stays, however
+    often it occurs.
+
     A null text has one empty line and stays null. A text of fewer lines than a window has none.
     Rows that agree in doc_id and text are one document: they repeat nothing of each other, and
     get the same result. Rows with a null doc_id come last in order.

@@ -116,6 +116,13 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(documents(spark, [])).count() == 0
 
 
+def test_lines_keep_a_passage_on_one_line(spark):
+    """The stated limit of three-line windows."""
+    rows = [(1, PASSAGE), (2, f"a\n{PASSAGE}\nb"), (3, f"{PASSAGE}\n{PASSAGE}")]
+    out = line_dedup.drop_repeated_lines(documents(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in out} == dict(rows)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 * 50), None if i % 5 == 4 else f"s{i % 5}") for i in range(60)] + [(7, None, "s0"), (None, "a b c", "s1"), (3, "w " * 150, "s3"), (99, "solo", "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit(1))
