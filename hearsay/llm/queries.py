@@ -60,8 +60,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
-    seen = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_label"))
-    return toxicity.fit(docs.join(seen, F.col("doc_id") == F.col("_id")).select("text", "_label"), label_col="_label")
+    seen = labels.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    return toxicity.fit_sample(toxicity.labelled_sample(docs, seen))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

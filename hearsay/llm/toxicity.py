@@ -15,6 +15,8 @@ from hearsay.llm.lineage import cut
 ORDER, DECAY, LONGEST = 3, 0.6, 32
 #: Labelled rows that the classifier is fitted on at most, and landmarks: those most tied to the label, and common words beside them.
 MAX_LABELLED, TIED, COMMON = 12_000, 56, 8
+#: Tasks that the sample is dealt to.
+PARTS = 24
 THRESHOLD = 0.7
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -144,7 +146,7 @@ def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.hstack([features[:, :n] @ whiten, features[:, n:]])
 
 
-def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 400_000) -> Iterator[np.ndarray]:
+def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 200_000) -> Iterator[np.ndarray]:
     """For each array of texts, by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
 
     Words met before in the task are looked up, in a table of at most `keep` words at a time; all
@@ -221,18 +223,39 @@ def _fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit(texts: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = MAX_LABELLED, tied: int = TIED, common: int = COMMON) -> Model:
-    """Fit on labelled texts, at most max_labelled of them, taken by a hash of the text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(text, label) of at most max_labelled distinct labelled texts: those with the smallest hashes.
 
-    Landmarks are the words whose presence is most tied to label 1 among those rows, and words
-    that many texts have; both lists are counted on Spark. A text is mapped to its greatest
-    similarity with each landmark, whitened by the landmarks' own kernel matrix (Nyström), and a
-    linear support vector machine is fitted on the driver, where the bounded sample's features
-    come together. Landmarks are units or their beginnings, so a stem can be one. Rows with a null label or text are left out. With one class only, the score is
-    that class's share for all texts.
+    docs and labels are joined on id_col. Only ids and hashes of texts, made in the scan, are
+    shuffled to choose the sample; then its ids, of bounded number, are broadcast to fetch their
+    texts, which are dealt to PARTS tasks. Copies of a text count once for each label. Rows with
+    a null id, label or text are left out; repeated label rows count once.
     """
+    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    own = own.select("id", F.xxhash64("text", F.lit("fit")).alias("h"), F.xxhash64(F.lit("more"), "text").alias("g"), "text")
+    chosen = own.drop("text").join(seen, "id").groupBy("h", "g", "label").agg(F.min("id").alias("id")).orderBy("h", "g", "label").limit(max_labelled)
+    # a row's id may repeat with other texts, so the hashes have to agree too
+    found = own.join(F.broadcast(chosen), ["id", "h", "g"]).repartition(PARTS, "h", "g", "label")
+    return found.groupBy("h", "g", "label").agg(F.min("text").alias("text")).select("text", "label")
+
+
+def fit(texts: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = MAX_LABELLED, **options) -> Model:
+    """fit_sample on at most max_labelled distinct rows of texts, those with the smallest hashes of their text."""
     own = texts.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label is not null")
-    sample = own.select("text", "label", F.xxhash64("text", F.lit("fit")).alias("h")).orderBy("h", "label").limit(max_labelled)
+    return fit_sample(own.distinct().orderBy(F.xxhash64("text", F.lit("fit")), "text", "label").limit(max_labelled).repartition(PARTS), **options)
+
+
+def fit_sample(sample: DataFrame, *, tied: int = TIED, common: int = COMMON) -> Model:
+    """Fit on labelled texts (text, label), all of them, of a bounded number.
+
+    Landmarks are the words whose presence is most tied to label 1 among those rows, and words
+    that many texts have; both lists are counted on Spark. Landmarks are units or their
+    beginnings, so a stem can be one. A text is mapped to its greatest similarity with each
+    landmark, whitened by the landmarks' own kernel matrix (Nyström), and a linear support vector
+    machine is fitted on the driver, where the bounded sample's features come together. With one
+    class only, the score is that class's share for all texts.
+    """
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +264,7 @@ def fit(texts: DataFrame, text_col: str = "text", label_col: str = "toxic", *, m
                 rows = [(w, label) for t, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in candidates(units(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["w", "label"])
 
-    sample = cut(sample.select("text", "label"))
+    sample = cut(sample)
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n == 0 or n1 in (0, n):
         share = (n1 + 1) / (n + 2)

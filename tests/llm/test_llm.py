@@ -305,5 +305,65 @@ def test_pipeline(spark, sf):
     assert out and all(score[r.doc_id] < toxicity.THRESHOLD for r in out) and all(0 < r.taken <= 3 * r.size for r in out)
 
 
-def test_held_out_rule():
-    assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+def test_kernel_sieve_keeps_every_near_match(spark, sf):
+    """On real words, the sieve takes nothing from likenesses that count as near, and from others at most what is stated."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    seen = sorted({v for t in texts for w in toxicity.units(t or "") if (v := toxicity.unit(w))})[::7]
+    seen += [w[:k] + "x" + w[k:] for w in seen[::10] for k in (2, 4)]
+    marks = [w for w in seen if 5 <= len(w) <= 12][::97]
+    code = toxicity.codes(marks)
+    norm = toxicity.kernel(code, code, paired=True)
+    full = np.minimum(np.concatenate([toxicity.kernel(toxicity.codes(seen[i : i + 500]), code) for i in range(0, len(seen), 500)]) / norm, 1.25)
+    got = toxicity.similarity(seen, code, norm)
+    lost = full[got == 0]
+    assert np.allclose(got[got > 0], full[got > 0], atol=1e-4) and len(seen) > 1000
+    assert lost.max() < 0.75 and np.percentile(lost, 99.9) < 0.4
+
+
+def test_toxicity_by_a_plain_model(spark):
+    """Features, Nyström map, support vector machine and scores against a plain calculation over every word."""
+    rude, fine = ["blockhead", "nitwit"], ["weather", "lunch", "manual", "friend", "river"]
+    rows = [(f"{fine[i % 5]} {fine[i * 3 % 5]} number{i}", 0) for i in range(30)] + [(f"{fine[i % 5]} {rude[i % 2]} number{i}", 1) for i in range(30)]
+    model = toxicity.fit_sample(spark.createDataFrame(rows, "text string, label int"))
+    marks = toxicity.codes(model.landmarks)
+    norm = toxicity.kernel(marks, marks, paired=True)
+    x = []
+    for t, _ in rows:
+        own = [u for w in toxicity.units(t) if (u := toxicity.unit(w))]
+        k = toxicity.similarity(own, marks, norm)
+        x.append(np.concatenate([k.max(axis=0), np.log1p(np.maximum(k - 0.75, 0).sum(axis=0) * 4)]))
+    x, y = np.array(x), np.array([label for _, label in rows], float)
+    z = np.hstack([x[:, : len(marks)] @ model.whiten, x[:, len(marks) :], np.ones((len(x), 1))])
+    own = toxicity.kernel(marks, marks) / np.sqrt(np.outer(norm, norm))
+    assert np.allclose(model.whiten.T @ own @ model.whiten, np.eye(model.whiten.shape[1]), atol=1e-2)
+    # the machine's weights are where the gradient of its objective is nought
+    w = np.append(model.weight, model.bias)
+    sign, cost = np.where(y > 0, 1, -1), len(y) / 2 / np.where(y > 0, y.sum(), len(y) - y.sum())
+    gradient = np.append(model.weight, 1e-6 * model.bias) - z.T @ (cost * sign * np.maximum(1 - sign * (z @ w), 0))
+    assert np.abs(gradient).max() < 1e-6
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = dict(df.select("doc_id", toxicity.toxicity_score(model, F.col("text"))).collect())
+    assert np.allclose([got[i] for i in range(len(rows))], 1 / (1 + np.exp(-(model.slope * (z @ w) + model.shift))), atol=1e-6)
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.op6_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("predicted", "toxic", "score").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit >= 0.65 * sum(r.toxic for r in got) and hit >= 0.9 * sum(r.predicted for r in got)
+    worse = [sum(g.score > b.score for g in got if g.toxic) for b in got if not b.toxic]
+    assert sum(worse) >= 0.85 * len(worse) * sum(r.toxic for r in got)
+
+
+def test_toxicity_sample(spark):
+    text = "said the nitwit"
+    docs = spark.createDataFrame([(1, text, 1, "a"), (1, text, 1, "a"), (1, "other", 1, "a"), (2, text, 1, "a"), (3, None, 1, "a"), (4, "", 1, "a"), (None, "x", 1, "a"), (5, "not labelled", 1, "a")], "doc_id long, text string, label int, h string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (5, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels)
+    assert sorted(map(tuple, got.collect())) == [("", 0), ("other", 1), (text, 0), (text, 1)]
+    assert toxicity.labelled_sample(docs, labels, max_labelled=2).count() == 2
+    assert toxicity.labelled_sample(docs.limit(0), labels).count() == toxicity.labelled_sample(docs, labels.limit(0)).count() == 0
+    model = toxicity.fit_sample(got)
+    again = docs.select("doc_id", toxicity.toxicity_score(model, F.col("text")).alias("s")).collect()
+    assert len(again) == 8 and len({r.s for r in again if r.doc_id == 2} | {again[0].s}) == 1
+    assert docs.limit(0).select(toxicity.toxicity_score(model, F.col("text"))).count() == 0
