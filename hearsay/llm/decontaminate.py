@@ -11,44 +11,104 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearsay.llm import textops as tx
 
 SHINGLE, PERCENT, RADIUS = 5, 75, 15
-#: Items and characters of one broadcast block of the benchmark; a larger benchmark takes more passes.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Items and characters of one broadcast block of the benchmark, whose index takes at most about 170 MB; a larger benchmark takes more passes.
+BLOCK_ITEMS, BLOCK_CHARS = 10_000, 8_000_000
 _BLOCKS, _ONES, _LONGEST = 4, np.uint64(0x0101010101010101), 240
 
 
+def fitted_size(n: int) -> int:
+    """The window size that stands for n words: n up to 11, else rounded down to a multiple of four, 240 at most."""
+    return n if n < 12 else min(n, _LONGEST) // 4 * 4
+
+
 @dataclass
 class Index:
-    """A block of benchmark items: ids, word hashes, and for each window size the fingerprints with their block tables."""
+    """A block of benchmark items: ids, word hashes, and by window size the fingerprints with their block lists.
+
+    `sizes` has an item's own windows: the whole item, or pieces of 240 words that cover a longer
+    one. `shorter` has windows within items for texts that are shorter than an item's window but
+    long enough to be as similar as asked.
+    """
 
-    ids: list
+    ids: pa.Array
     words: list[np.ndarray]
     shingle: int
     percent: int
     radius: int
 
     def __post_init__(self) -> None:
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        own = []
+        own, shorter = [], []
         for i, w in enumerate(self.words):
-            for at in range(0, max(len(w) - _LONGEST, 0) + 1, _LONGEST):
-                n = min(len(w) - at, _LONGEST)
-                if n:
-                    size = n if n < 12 else n // 4 * 4
-                    own.append((size, i, at, simhash(w[at : at + size], np.array([0]), size)[0]))
-        for size in sorted({x[0] for x in own}):
-            rows = [x for x in own if x[0] == size]
-            prints = np.array([x[3] for x in rows], np.uint64)
-            self.sizes[size] = np.array([x[1:3] for x in rows], np.int64), prints, block_tables(prints, self.radius)
+            n = len(w)
+            if not n:
+                continue
+            size = fitted_size(n)
+            own += [(size, i, at) for at in sorted({*range(0, n - size + 1, _LONGEST), *([n - size] if n > _LONGEST else [])})]
+            least = self.percent * (n - self.shingle + 1) // 100 + self.shingle - 1 if n >= self.shingle else n
+            for k in sorted({fitted_size(m) for m in range(max(least, 1), n)} - {size}):
+                if k < size:
+                    shorter += [(k, i, at) for at in sorted({*range(0, n - k + 1, max(1, k // 8)), n - k})]
+        self.sizes, self.shorter = self._by_size(own, True), self._by_size(shorter, False)
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.sieve = np.zeros(1 << 20, np.uint8)
         for w in self.words:
             self.sieve[(grams(w, self.shingle) & np.uint64((1 << 20) - 1)).astype(np.int64)] = 1
         self.grams = [np.unique(grams(w, min(self.shingle, len(w))), return_counts=True) for w in self.words]
 
+    def _by_size(self, own: list[tuple[int, int, int]], spread: bool) -> dict:
+        sums = {i: running(self.words[i]) for i in {x[1] for x in own}}
+        out = {}
+        for size in sorted({x[0] for x in own}):
+            rows = [x for x in own if x[0] == size]
+            prints = np.array([simhash(sums[i][:, at : at + size + 1], size)[0] for _, i, at in rows], np.uint64)
+            out[size] = np.array([x[1:] for x in rows], np.int64), prints, BlockLists(prints, self.radius, spread)
+        return out
+
+
+class BlockLists:
+    """Multi-index of 64-bit fingerprints: for each of four blocks, the fingerprints listed by 16-bit value.
+
+    Two fingerprints within the radius agree to within radius // 4 bits in one of the four blocks
+    at least. A spread index lists each fingerprint under all values that near, so a query looks
+    up one value a block; the other lists it under its own, and a query looks up all values that
+    near. Neither misses any within the radius.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int, spread: bool) -> None:
+        values = np.arange(1 << 16, dtype=np.uint16)
+        near = values[np.bitwise_count(values) <= radius // _BLOCKS]
+        self.prints, self.radius, self.own, self.asked = prints, radius, near if spread else near[:1], near[:1] if spread else near
+        self.lists = []
+        for b in range(_BLOCKS):
+            listed = (prints.view(np.uint16)[b::_BLOCKS, None] ^ self.own).reshape(-1)
+            order = np.argsort(listed, kind="stable")
+            first = np.searchsorted(listed[order], np.arange((1 << 16) + 1)).astype(np.int32)
+            self.lists.append((first, (order // len(self.own)).astype(np.int32)))
+
+    def within(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in query, place in prints) of all pairs within the radius."""
+        pairs = []
+        for b, (first, listed) in enumerate(self.lists):
+            value = query.view(np.uint16)[b::_BLOCKS]
+            for mask in self.asked:
+                v = value ^ mask
+                n = first[v.astype(np.int64) + 1] - first[v]
+                some = np.flatnonzero(n)
+                if not len(some):
+                    continue
+                n = n[some]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                q, p = np.repeat(some, n), listed[np.repeat(first[v[some]], n) + step]
+                close = np.bitwise_count(query[q] ^ self.prints[p]) <= self.radius
+                pairs.append(q[close] * len(self.prints) + p[close])
+        found = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        return found // max(len(self.prints), 1), found % max(len(self.prints), 1)
+
 
 @functools.lru_cache(maxsize=1)
 def _built(shared) -> Index:
@@ -64,16 +124,8 @@ def grams(word: np.ndarray, k: int) -> np.ndarray:
     return tx.mix(sum(word[i : len(word) - k + 1 + i] * weight[i] for i in range(k)))
 
 
-def simhash(word: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit SimHash over the words of each window [start, start + size), size at most 240.
-
-    Eight bit counters lie in the bytes of one 64-bit sum, so a window is eight differences of
-    running sums, and a majority is the top bit of a byte.
-    """
-    return _fold(running(word), starts, size)
-
-
 def running(word: np.ndarray) -> np.ndarray:
+    """Running sums of the bits of all words' hashes: eight bit counters lie in the bytes of one 64-bit number."""
     out = np.zeros((8, len(word) + 1), np.uint64)
     mixed = tx.mix(word)
     for k in range(8):
@@ -81,11 +133,15 @@ def running(word: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fold(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+def simhash(sums: np.ndarray, size: int) -> np.ndarray:
+    """64-bit SimHash over the words of each window of `size` words, at most 240, by its first word.
+
+    A window is eight differences of running sums, and a majority is the top bit of a byte.
+    """
     bias = _ONES * np.uint64(127 - size // 2)
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        x = sums[k][starts + size] - sums[k][starts]
+    out = np.zeros(max(sums.shape[1] - size, 0), np.uint64)
+    for k in range(8 if len(out) else 0):
+        x = sums[k, size:] - sums[k, :-size]
         x += bias
         x >>= np.uint64(7)
         x &= _ONES
@@ -94,31 +150,6 @@ def _fold(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def block_tables(prints: np.ndarray, radius: int) -> np.ndarray:
-    """[group of 64 fingerprints, block, 16-bit value] -> bit mask of those whose block lies within radius // 4.
-
-    Two fingerprints within the radius agree to within radius // 4 bits in one of the four
-    blocks at least, so the masks miss none.
-    """
-    values = np.arange(1 << 16, dtype=np.uint16)
-    out = np.zeros((math.ceil(len(prints) / 64), _BLOCKS, 1 << 16), np.uint64)
-    for i, p in enumerate(prints):
-        for b in range(_BLOCKS):
-            near = np.bitwise_count(values ^ np.uint16((int(p) >> (16 * b)) & 0xFFFF)) <= radius // _BLOCKS
-            out[i // 64, b, near] |= np.uint64(1 << (i % 64))
-    return out
-
-
-def _window_starts(by_row: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """Starts of the windows of `size` words in each row that is as long: every stride words, and the last."""
-    first, last = by_row[:-1], by_row[1:] - size
-    fits = last >= first
-    first, last = first[fits], last[fits]
-    n = (last - first) // stride + 1
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.concatenate([np.repeat(first, n) + step * stride, last[(last - first) % stride > 0]])
-
-
 def _best(window: np.ndarray, item: tuple[np.ndarray, np.ndarray], m: int, percent: int) -> tuple[int, int, int] | None:
     """The stretch of m shingles in window that is most like the item, by multiplicities: (start, shared, union)."""
     value, count = item
@@ -146,46 +177,49 @@ def detect(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, floa
         if not len(word):
             continue
         sums, length = running(word), np.diff(by_row)
+        left = np.repeat(by_row[1:], length) - np.arange(len(word))
         gram = grams(word, k)
         # running count of shingles that some item may have, to rule candidates out together
         known = np.concatenate([[0], np.cumsum(index.sieve[(gram & np.uint64(len(index.sieve) - 1)).astype(np.int64)])])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for size, (items, prints, tables) in index.sizes.items():
-            stride = max(1, size // 8)
-            starts = _window_starts(by_row, size, stride)
-            own = _fold(sums, starts, size)
-            # a text shorter than the window is one window itself
-            short = by_row[:-1][(length > 0) & (length < size) & (length * 100 >= size * (index.percent - 20))]
-            hits = [(np.full(len(short), j), short) for j in range(len(prints) if len(short) else 0)]
-            for g in range(len(tables)):
-                maybe = np.zeros(len(own), np.uint64)
-                for b in range(_BLOCKS):
-                    maybe |= np.take(tables[g, b], own.view(np.uint16)[b::_BLOCKS])
-                at = np.flatnonzero(maybe != 0)
-                masks, values = maybe[at], own[at]
-                for j in range(64 * g, min(64 * g + 64, len(prints))):
-                    some = np.flatnonzero((masks & np.uint64(1 << (j % 64))) != 0)
-                    close = some[np.bitwise_count(values[some] ^ prints[j]) <= index.radius]
-                    hits.append((np.full(len(close), j), starts[at[close]]))
-            print_of, start = (np.concatenate(x) for x in zip(*hits, strict=True))
-            item, offset = items[print_of, 0], items[print_of, 1]
-            n = index.length[item]
-            row = np.searchsorted(by_row, start, side="right") - 1
-            low, high = by_row[row], by_row[row + 1]
-            first = np.maximum(low, np.minimum(start - offset - stride - 4, high - n))
-            stop = np.minimum(high, np.maximum(start - offset + n + stride + 4, first + n))
-            # of two sets as similar as asked, both have 2p / (1 + p) of the mean size in common
-            need = index.percent * np.minimum(n - k + 1, stop - first) // (100 + index.percent)
-            inside = known[np.clip(stop - k + 1, 0, len(known) - 1)] - known[np.clip(first, 0, len(known) - 1)]
-            live = np.flatnonzero((n < k) | (inside >= need))
-            for i, f, s, r in sorted(set(zip(item[live].tolist(), first[live].tolist(), stop[live].tolist(), row[live].tolist(), strict=True))):
-                size_of = min(k, int(n_of := index.length[i]))
-                window = grams(word[f:s], size_of)
-                if len(window) and (hit := _best(window, index.grams[i], n_of - size_of + 1, index.percent)):
-                    at, shared, union = hit
-                    old = found.get((r, i))
-                    if old is None or shared * old[2] > old[1] * union:
-                        found[r, i] = f - int(by_row[r]) + at, shared, union
+        hits = []
+        for size, (items, _, lists) in index.sizes.items():
+            # a window at every word, but for those that reach into the next text
+            starts = np.flatnonzero(left >= size)
+            q, p = lists.within(simhash(sums, size)[starts])
+            hits.append((items[p, 0], items[p, 1], starts[q], np.full(len(q), size)))
+        # a text shorter than an item's window is compared with windows of its own size in the item
+        for size, (items, _, lists) in index.shorter.items():
+            rows = np.flatnonzero((length >= size) & (length < (size + 4 if size >= 12 else size + 1)))
+            starts = np.concatenate([by_row[rows], by_row[rows + 1] - size])
+            windows = np.array([simhash(sums[:, at : at + size + 1], size)[0] for at in starts.tolist()], np.uint64)
+            q, p = lists.within(windows)
+            hits.append((items[p, 0], items[p, 1], starts[q], np.full(len(q), size)))
+        item, offset, start, size = (np.concatenate([h[c] for h in hits]) for c in range(4)) if hits else [np.zeros(0, np.int64)] * 4
+        n, slack = index.length[item], size // 8 + 5
+        row = np.searchsorted(by_row, start, side="right") - 1
+        low, high = by_row[row], by_row[row + 1]
+        first = np.maximum(low, np.minimum(start - offset - slack, high - n))
+        stop = np.minimum(high, np.maximum(start - offset + n + slack, first + n))
+        # of two sets as similar as asked, both have 2p / (1 + p) of the mean size in common
+        need = index.percent * np.minimum(n - k + 1, stop - first) // (100 + index.percent)
+        inside = known[np.clip(stop - k + 1, 0, len(known) - 1)] - known[np.clip(first, 0, len(known) - 1)]
+        live = np.flatnonzero((n < k) | (inside >= need))
+        # stretches of one text for one item that overlap are searched as one
+        joined: list[list[int]] = []
+        for r, i, f, s in sorted(zip(row[live].tolist(), item[live].tolist(), first[live].tolist(), stop[live].tolist(), strict=True)):
+            if joined and joined[-1][:2] == [r, i] and f <= joined[-1][3]:
+                joined[-1][3] = max(joined[-1][3], s)
+            else:
+                joined.append([r, i, f, s])
+        for r, i, f, s in joined:
+            size_of = min(k, int(n_of := index.length[i]))
+            window = grams(word[f:s], size_of)
+            if len(window) and (hit := _best(window, index.grams[i], n_of - size_of + 1, index.percent)):
+                at, shared, union = hit
+                old = found.get((r, i))
+                if old is None or shared * old[2] > old[1] * union:
+                    found[r, i] = f - int(by_row[r]) + at, shared, union
         for (r, i), (at, shared, union) in sorted(found.items()):
             yield part.start + r, i, at, shared / union
 
@@ -199,7 +233,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         word, by_row = tx.words(pa.array([r.text for r in rows], pa.large_string()))
         sequences = [word[by_row[i] : by_row[i + 1]] for i in range(len(rows))]
-        yield docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], sequences, shingle, percent, radius))
+        ids = pa.array([r.item_id for r in rows], to_arrow_type(items.schema["item_id"].dataType))
+        yield docs.sparkSession.sparkContext.broadcast((ids, sequences, shingle, percent, radius))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -207,9 +242,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A text contains an item of n words if n consecutive words of it (or all, if it has fewer)
     have a Jaccard similarity of at least percent / 100 with the item, over five-word shingles
-    weighted by how often each occurs. Windows of the item's size (rounded down to a multiple
-    of four) are fingerprinted at every eighth of their length; the multi-index lookup finds all
-    fingerprints within `radius` bits; candidates are verified exactly at every shift between.
+    weighted by how often each occurs. Windows of the item's size (rounded down to a multiple of
+    four; pieces of 240 words of a longer item) are fingerprinted at every word of a text; the
+    multi-index lookup finds all fingerprints within `radius` bits; candidates are verified
+    exactly at every shift around. A text shorter than that is fingerprinted whole and looked up
+    among windows of its size within the items.
 
     Nulls: a null text or item text contains nothing and is contained in nothing; ids may be
     null. Repeated rows give repeated results. An item of fewer than five words is one shingle.
@@ -226,8 +263,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in batches:
                 rows = list(detect(index, batch.column(1)))
                 at = pa.array([r[0] for r in rows], pa.int64())
-                ids = pa.array([index.ids[r[1]] for r in rows])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), ids if len(rows) else pa.array([], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "item_id", "start_word", "similarity"])
+                ids = index.ids.take(pa.array([r[1] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), ids, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "item_id", "start_word", "similarity"])
 
         part = own.mapInArrow(run, schema)
         out = part if out is None else out.union(part)

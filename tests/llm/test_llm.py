@@ -94,6 +94,61 @@ def test_contamination_by_brute_force(spark, sf):
     assert got == want and want
 
 
+def changed(rng, item, edits, kind):
+    """item with some of its words replaced, left out or new ones put between."""
+    out = list(item)
+    for j in rng.choice(len(item), size=edits, replace=False):
+        if kind == "replaced":
+            out[j] = f"new{j}"
+        elif kind == "deleted":
+            out[j] = ""
+        else:
+            out[j] += f" new{j}"
+    return [w for w in " ".join(out).split() if w]
+
+
+def most_like(text, item):
+    """Greatest weighted similarity of an item with a stretch of text of its size."""
+    c, best = Counter(tuple(item[k : k + 5]) for k in range(len(item) - 4)), 0
+    for s in range(max(len(text) - len(item), 0) + 1):
+        x = text[s : s + len(item)]
+        e = Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+        shared = sum((c & e).values())
+        best = max(best, shared / (sum(c.values()) + sum(e.values()) - shared))
+    return best
+
+
+def test_contamination_recall_of_edited_passages(spark):
+    """Items of 14 to 500 words with words replaced, deleted and inserted, down to just over 0.75, in texts and alone."""
+    rng = np.random.default_rng(5)
+    vocabulary, share = [f"v{i}" for i in range(3000)], 1 / np.arange(1, 3001)
+
+    def prose(n):
+        return [vocabulary[i] for i in rng.choice(3000, size=n, p=share / share.sum())]
+
+    items, docs, want = [], [], set()
+    for i in range(180):
+        item = prose((14, 20, 35, 60, 120, 300, 500)[i % 7])
+        items.append((i, " ".join(item)))
+        for kind in ("replaced", "deleted", "inserted"):
+            for edits in range(max(1, len(item) // 40), 0, -1):
+                part = changed(rng, item, edits, kind)
+                text = part if i % 3 == 0 else prose(150) + part + prose(90)
+                if most_like(text, item) >= 0.75:
+                    break
+            else:
+                continue
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(text)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    # ids of a narrow type stay what they are
+    found = decontaminate.contamination(table, spark.createDataFrame(items, "item_id int, text string"))
+    assert found.schema["item_id"].dataType.simpleString() == "int"
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    print("recall of edited passages", len(want & got), "of", len(want))
+    assert len(want) > 300 and len(want & got) >= 0.995 * len(want)
+
+
 def test_contamination_edges(spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (None, "one two"), (4, "never seen here")], "item_id long, text string")
     rows = decontaminate.contamination(documents(spark, EDGE), items).collect()
