@@ -5,79 +5,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.lineage import cut
+from hearsay.llm.lineage import cut, fresh
 
 LINES = 3
 #: A window is hot above this share of all repeats, so there are at most HOT hot ones to broadcast.
 HOT = 1000
+#: A line is cut after these marks where white space follows, and after wide marks anywhere.
+MARKS, WIDE = ".!?;:,", "\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001"
+#: Least bytes of all lines of a window together if one of them is a part of a line.
+LEAST = 60
 _SPACE = " \t\r\x0b\x0c"
+PART = rf"(?s).+?(?:[{MARKS}][ \t\r\x0b\x0c]+|[{WIDE}]+|\z)"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    """The lines of a text: struct of number (from 0, of the newline-separated line) and text, for each line or part of one.
+
+    Long lines are cut at marks that belong to the content, so that a passage is cut alike
+    wherever it stands. The parts of a line add up to the line.
+    """
+    whole = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.flatten(F.transform(whole, lambda x, i: F.transform(F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PART), F.lit(0))), lambda y: F.struct(i.alias("line"), y.alias("text")))))
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """(id, t, pos, a, b): the place and the 128-bit hash of each window of consecutive lines of docs (id, t, text).
 
-    Lines are compared without white space at their ends. A window of blank lines only is none.
+    Lines are compared without white space at their ends. A window of blank lines only is none,
+    nor is one with a part of a line in it and under LEAST bytes.
     """
     blank = F.xxhash64(F.lit(""))
-    hashed = docs.select("id", "t", F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(_SPACE))).alias("l")).where(F.size("l") >= lines)
-    hashed = hashed.select("id", "t", F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
+    own = docs.select("id", "t", _lines(F.col("text")).alias("l"))
+    # whether a line is whole shows by its neighbours: parts of one line have its number
+    line = F.transform("l", lambda x: F.struct(F.trim(x["text"], F.lit(_SPACE)).alias("t"), x["line"].alias("line")))
+    hashed = own.select("id", "t", F.transform(line, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(7), x["t"]).alias("b"), F.octet_length(x["t"]).alias("n"), x["line"].alias("line"))).alias("h"))
 
     def window(i: Column) -> Column:
-        own = [F.get("h", i + k) for k in range(lines)]
-        some = own[0]["a"] != blank
+        near = [F.get("h", i + k) for k in range(-1, lines + 1)]
+        own = near[1:-1]
+        some, length, part = own[0]["a"] != blank, own[0]["n"], F.lit(False)
         for x in own[1:]:
-            some = some | (x["a"] != blank)
-        return F.struct(i.alias("pos"), F.xxhash64(*(x["a"] for x in own)).alias("a"), F.xxhash64(*(x["b"] for x in own)).alias("b"), some.alias("some"))
+            some, length = some | (x["a"] != blank), length + x["n"]
+        for x, y in zip(near, near[1:]):
+            part = part | F.coalesce(x["line"] == y["line"], F.lit(False))
+        return F.struct(i.alias("pos"), F.xxhash64(*(x["a"] for x in own)).alias("a"), F.xxhash64(*(x["b"] for x in own)).alias("b"), (some & (~part | (length >= LEAST))).alias("some"))
 
-    spread = hashed.select("id", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - lines), window)).alias("w"))
+    spread = hashed.select("id", "t", F.explode(F.when(F.size("h") >= lines, F.transform(F.sequence(F.lit(0), F.size("h") - lines), window))).alias("w"))
     return spread.where("w.some").select("id", "t", "w.pos", "w.a", "w.b")
 
 
+def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of right, one for each key with its number n out of total, as the at most HOT hot ones and the others."""
+    return F.broadcast(right.where(F.col("n") * HOT > total).drop("n")), right.where(F.col("n") * HOT <= total).drop("n")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES) -> DataFrame:
     """(id, t, removed): for each document with repeats, the first lines of windows that occurred before.
 
     Windows are ordered by doc_id (null last), then by place; each but the first of its kind is
-    a repeat. The few hottest windows are joined by a broadcast of at most HOT rows, all others
-    by their hash, so no task gets the occurrences of a hot one.
+    a repeat. First the half-hashes of all windows are counted, ahead of the shuffle as well;
+    then the windows whose half-hash is not the only one of its kind, and these alone, are told
+    apart by all 128 bits. Hot windows are joined by broadcasts of at most HOT rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    window = cut(line_windows(own, lines).distinct())
+    window = line_windows(own, lines)
+    twice = cut(window.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, cold = _split(twice, total)
+    # one pass over the texts: windows with a hot half-hash go where their place's hash sends them, not to its task
+    window = window.join(hot.withColumn("hot", F.lit(True)), "a", "left").withColumn("k", F.expr("case when hot then xxhash64(id, t, pos) else a end"))
+    window = window.join(cold.select(F.col("a").alias("k"), F.lit(True).alias("cold")), "k", "left").where("hot or (hot is null and cold)")
+    window = cut(window.select("id", "t", "pos", "a", "b"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "t", "pos")
-    many = cut(window.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("a", "b", "n", "first"))
-    total = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot, cold = many.where(F.col("n") * HOT > total), many.where(F.col("n") * HOT <= total)
+    # rows that agree in id and text have each window more than once, in one place
+    many = cut(window.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t")) & (F.col("pos") == F.col("first.pos")))
-    found = window.join(F.broadcast(hot), ["a", "b"]).where(later).select("id", "t", "pos")
-    found = found.union(window.join(F.broadcast(hot), ["a", "b"], "left_anti").join(cold, ["a", "b"]).where(later).select("id", "t", "pos"))
-    return found.groupBy("id", "t").agg(F.collect_list("pos").alias("removed"))
+    hot, cold = _split(many, total)
+    found = window.join(hot, ["a", "b"]).where(later).select("id", "t", "pos")
+    found = found.union(window.join(hot, ["a", "b"], "left_anti").join(cold, ["a", "b"]).where(later).select("id", "t", "pos"))
+    return found.groupBy("id", "t").agg(F.collect_set("pos").alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES, counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with the lines left out that a repeated window of `lines` lines covers; all columns and rows stay.
 
     A line goes if any window that occurred before, in an earlier document or above, covers it;
-    overlapping windows merge. A document that loses all its lines keeps an empty text. With
-    counts, two columns of those names get the numbers of lines and of lines removed.
+    overlapping windows merge. A line with marks in it (MARKS before white space, or WIDE)
+    counts as several, one up to each mark, so a passage that repeats on one long line, or
+    that begins and ends within lines, goes too, but for what stands at its ends short of a
+    mark. A document that loses all its lines keeps an empty text. With counts, two columns of
+    those names get the numbers of lines, so counted, and of lines removed.
 
-    Only newlines set lines apart, so a passage on fewer whole lines than a window stays, however
-    often it occurs.
+    A passage without marks on fewer newline-separated lines than a window stays.
 
     A null text has one empty line and stays null. A text of fewer lines than a window has none.
     Rows that agree in doc_id and text are one document: they repeat nothing of each other, and
     get the same result. Rows with a null doc_id come last in order.
     """
-    gone = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t"), F.col("removed").alias("_gone"))
-    own = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_gone_t")), "left")
-    covered = F.flatten(F.transform("_gone", lambda p: F.sequence(p, p + (lines - 1))))
+    gone_id, gone_t, gone = fresh(docs, "gone_id", "gone_t", "gone")
+    found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone))
+    own = docs.join(found, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_t)), "left")
     line = _lines(F.col(text_col))
+    covered = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p, p + (lines - 1)))))
+
+    def bound(value: Column, use) -> Column:
+        """use(value) with value worked out once, however often use has it."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def rest(k: Column) -> Column:
+        """The lines of k, with newlines where one lay between."""
+        return F.array_join(F.transform(k, lambda x, i: F.concat(F.when((i > 0) & (F.get(k, i - 1)["line"] != x["line"]), "\n").otherwise(""), x["text"])), "")
+
     # differences of arrays go by a hash set, so a long document costs no more a line than a short one
-    kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), covered)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(line, i)), "\n"))
+    kept = bound(line, lambda a: bound(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), covered), lambda k: F.transform(k, lambda i: F.get(a, i))))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(bound(kept, rest))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
-        out += [F.size(line).cast("long").alias(counts[0]), F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias(counts[1])]
+        out += [F.size(line).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
     return own.select(*out)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where a session has none, as in tests on one machine, a temporary folder is set.
+    Only a local session that has none, as in tests, gets a temporary folder; any other fails.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "hearsay-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -24,3 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return it read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, each beginning with the one asked for."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

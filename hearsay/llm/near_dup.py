@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import textops as tx
 from hearsay.llm.components import connected_components
-from hearsay.llm.lineage import cut
+from hearsay.llm.lineage import cut, fresh
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
 #: Bits kept of each signature value, and longs of a set's bit map.
@@ -196,5 +196,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share the doc_id and the text of a kept document are one document and stay once.
     A row with a null doc_id stays.
     """
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")[0]
+    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")

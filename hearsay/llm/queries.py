@@ -9,7 +9,7 @@ from hearsay.llm import chat, language_model, toxicity, warc
 from hearsay.llm.decontaminate import contamination
 from hearsay.llm.fingerprint import edit_likeness
 from hearsay.llm.html_text import extract_text
-from hearsay.llm.line_dedup import drop_repeated_lines
+from hearsay.llm.line_dedup import LEAST, PART, drop_repeated_lines
 from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
 
@@ -81,6 +81,7 @@ QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fing
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+_PART = PART.replace("\\z", "$")
 _SPACE = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 _H = "CAST('0x' || substring(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
 
@@ -151,15 +152,17 @@ SELECT id * 2 + 1 AS record_id, url_key, verdict, CASE WHEN verdict = 'resolved'
 FROM v
 """,
     "op9_line_dedup": f"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-t AS (SELECT doc_id, list_transform(l, lambda x: trim(x, {_SPACE})) AS t FROM l),
-w AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 3),
-k AS (SELECT doc_id, i, t[i] || chr(10) || t[i + 1] || chr(10) || t[i + 2] AS k FROM w WHERE t[i] <> '' OR t[i + 1] <> '' OR t[i + 2] <> ''),
+WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+p AS (SELECT doc_id, line, unnest(CASE WHEN x = '' THEN [''] ELSE list_filter(regexp_extract_all(x, '{_PART}'), lambda y: y <> '') END) AS p,
+  generate_subscripts(CASE WHEN x = '' THEN [''] ELSE list_filter(regexp_extract_all(x, '{_PART}'), lambda y: y <> '') END, 1) AS part FROM x),
+n AS (SELECT doc_id, line, p, trim(p, {_SPACE}) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) AS i, count(*) OVER (PARTITION BY doc_id, line) > 1 AS cut FROM p),
+w AS (SELECT doc_id, i, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3, cut OR lead(cut) OVER o OR lead(cut, 2) OVER o AS cut FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, t1 || chr(10) || t2 || chr(10) || t3 AS k FROM w WHERE t3 IS NOT NULL AND (t1 <> '' OR t2 <> '' OR t3 <> '') AND (NOT cut OR strlen(t1) + strlen(t2) + strlen(t3) >= {LEAST})),
 r AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
 c AS (SELECT DISTINCT doc_id, i + j AS i FROM r, (VALUES (0), (1), (2)) v(j)),
-n AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l),
-o AS (SELECT n.doc_id, len(any_value(n.l)) AS n_lines, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN n.l[n.i] END, chr(10) ORDER BY n.i), '') AS text
-  FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i = n.i GROUP BY n.doc_id)
+d AS (SELECT n.*, c.i IS NOT NULL AS gone FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i = n.i),
+e AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, gone ORDER BY i) AS above FROM d),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CASE WHEN line <> above THEN chr(10) ELSE '' END || p, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM e GROUP BY doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM o
 """,
     "op5_minhash": f"""

@@ -171,11 +171,28 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(documents(spark, [])).count() == 0
 
 
-def test_lines_keep_a_passage_on_one_line(spark):
-    """The stated limit of three-line windows."""
-    rows = [(1, PASSAGE), (2, f"a\n{PASSAGE}\nb"), (3, f"{PASSAGE}\n{PASSAGE}")]
-    out = line_dedup.drop_repeated_lines(documents(spark, rows)).collect()
-    assert {r.doc_id: r.text for r in out} == dict(rows)
+def test_lines_of_passages_within_lines(spark):
+    """Passages of over 50 words that stand on one line, begin and end within lines, or are laid out otherwise."""
+    one = "Here it begins and goes on for some words, then it turns a corner. " + " ".join(f"word{i}" + "," * (i % 9 == 8) for i in range(40)) + ". It closes with a sentence that all share."
+    rows = [(1, f"Some text of its own. {one}\nmore"), (2, f"Other words, all new. {one} And an end."), (3, f"a\n{one}\nb"), (4, f"{one}\n{one}"), (5, "Nothing, of this. Is here, at all; and it goes on for long, with no repeat"), (6, f"x\x1ey. {one} q\x1er"), (7, PASSAGE), (8, f"a\n{PASSAGE}\nb")]
+    out = {r.doc_id: (r.text, r.a, r.b) for r in line_dedup.drop_repeated_lines(documents(spark, rows), counts=("a", "b")).collect()}
+    assert out[1][0] == rows[0][1] and out[1][2] == 0 and out[5][0] == rows[4][1]
+    assert out[2][0] == "Other words, all new. And an end." and out[3][0] == "a\nb" and out[4][0] == ""
+    assert out[6][0] == "x\x1ey. q\x1er"
+    # without marks, one line is no window
+    assert [out[i][0] for i in (7, 8)] == [PASSAGE, f"a\n{PASSAGE}\nb"]
+
+
+def test_lines_edges(spark):
+    """Long texts, wide marks, clashing names, ids of rows with different texts."""
+    wide = "\u8fd9\u662f\u4e00\u6bb5\u6587\u5b57\uff0c" * 3 + "\u5b83\u5f88\u957f\u5f88\u957f\u5f88\u957f\u3002" * 9
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    table = spark.createDataFrame([(1, wide, 1, 2), (2, f"\u7532{wide}", 1, 2), (3, long, 1, 2), (4, f"{long}\nlast", 1, 2), (4, "short", 1, 2), (None, None, 1, 2)], "doc_id long, text string, gone long, _gone long")
+    out = line_dedup.drop_repeated_lines(table)
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert out.columns == table.columns and len(got) == 6
+    assert {(3, long), (4, "last"), (4, "short"), (None, None)} <= got
+    assert [t for i, t in got if i == 2][0].startswith("\u7532") and len([t for i, t in got if i == 2][0]) < 10
 
 
 def test_mixing(spark):
