@@ -1,17 +1,19 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). The first factor is a log-linear
-model over hashed features of the three words before: each one by itself, which includes skips, and
-the last two together. The most frequent words are classes of their own; the others fall into
-classes by their ending. The second factor is the word's share of what its class has after the two
-words before, smoothed by its share after the word before, and that by its share of the class's
-tokens. Its counts are of all training texts, by hash, in a table that grows with them.
+A word is a path of `depth` digits of base 16, its class, the class within that and so on, to a
+leaf. P(word | history) is the product of P(digit | digits before, history) along the path, and of
+the word's share of its leaf. Each digit's distribution is a log-linear model: a softmax over 16
+outcomes, whose scores add up from hashed features of the three words before (n-grams: one word
+back, both words back together; skips: two back alone, three back alone; and the ending of the word
+before) crossed with the digits before. So the history takes part in all of the path. Frequent words have a leaf each; the others' first digits
+come from their endings, the rest from their hash. Depth, rows of the feature tables and the number
+of lanes grow with the training tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +23,17 @@ from pyspark.sql import functions as F
 from hearsay.llm import textops as tx
 from hearsay.llm.lineage import cut
 
-#: Words that are classes, classes of other words, words told apart in histories, and their groups of other words.
-SINGLE, OPEN, KNOWN, GROUPS = 40, 24, 1000, 1048
-#: Hashed rows of each feature template, templates, tokens of a gradient step, and its rate.
-ROWS, TEMPLATES, STEP, RATE = 2048, 4, 8192, 0.15
-#: Characters of text that are scored together.
-CHUNK = 4_000_000
-#: Weight of the shorter history's share beside counts after one word and after two, chosen on held-out texts of sf0.1.
-SMOOTH = (256.0, 2.0)
-#: Least number of parts of the counts, tokens of a part beyond that, and bits of a history's hash beyond those that number the tokens.
-PARTS, PART_TOKENS, SPARE = 64, 1 << 22, 6
+#: Outcomes of a digit, features of a token, and frequent words that have a leaf each.
+BASE, FEATURES, KNOWN = 16, 5, 1024
+#: Tokens for each leaf and for each row of a feature table, and the bounds of depth and of a table's rows (as powers of two). The upper bounds keep the weights under 350 MB.
+LEAF_TOKENS, ROW_TOKENS, DEPTHS, ROW_BITS = 1024, 8192, (2, 5), (13, 16)
+#: Training tokens of a lane for each row, rate of the gradient steps, and the squares that they begin with.
+LANE_TOKENS, RATE, SQUARE = 512, 0.15, 0.1
+#: Characters of text that are scored together, and chunks of a task beyond the session's number of tasks.
+CHUNK, TASK_CHUNKS = 4_000_000, 16
+#: Least number of parts of the counts, and tokens of a part beyond that.
+PARTS, PART_TOKENS = 64, 1 << 22
 END = np.uint64(0x9D39247E33776D41)
-_CLASSES = SINGLE + OPEN
 _BLOCKS = 64
 _START = np.uint64(0x3C6EF372FE94F82B)
 
@@ -58,90 +59,108 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Frequent words in descending order (the end first), counts by class, and weights of the feature rows."""
+    """Frequent words in descending order (the end first), tokens and words by leaf, and weights [digit, feature, row, outcome]."""
 
     frequent: np.ndarray
-    class_tokens: np.ndarray
-    class_words: np.ndarray
-    tokens: int
-    words: int
-    weights: np.ndarray
-    bits: int = 64
+    depth: int
+    row_bits: int
+    tokens: int = 0
+    words: int = 0
+    leaf_tokens: np.ndarray | None = None
+    leaf_words: np.ndarray | None = None
+    weights: np.ndarray | None = None
     parts: int = PARTS
 
     def __post_init__(self) -> None:
         self.order = np.argsort(self.frequent)
         self.sorted = self.frequent[self.order]
-        self.bias = np.log((self.class_tokens + 1) / (self.class_tokens + 1).sum()).astype(np.float32)
-
-    def ranks(self, word: np.ndarray) -> np.ndarray:
-        """Place of each word among the frequent ones, or their number."""
+        if self.leaf_tokens is not None:
+            self.bias = []
+            for k in range(self.depth):
+                n = self.leaf_tokens.reshape(BASE**k, BASE, -1).sum(axis=2) + 0.5
+                self.bias.append(np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+
+    def leaves(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """The leaf of each word. A quarter of the first digits is for frequent words, another for words with letters beyond ASCII."""
         at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == word, self.order[at], len(self.sorted))
-
-    def classes(self, rank: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        return np.where(rank < min(SINGLE, len(self.frequent)), rank, open_class(ending))
-
-    def features(self, rank: np.ndarray, ending: np.ndarray, by_row: np.ndarray) -> np.ndarray:
-        """Rows of the weights that each token's history turns on: [template, token]."""
-        own = np.where(rank < len(self.frequent), rank, KNOWN + (ending % np.uint64(GROUPS - 1)).astype(np.int64)).astype(np.uint64)
-        place = np.arange(len(own)) - np.repeat(by_row[:-1], np.diff(by_row))
-        before = []
-        for k in (1, 2, 3):
-            x = np.full(len(own), KNOWN + GROUPS, np.uint64)
-            x[k:] = np.where(place[k:] >= k, own[:-k], KNOWN + GROUPS)
-            before.append(x)
-        keys = (before[0], before[1], before[2], before[0] * np.uint64(1 << 20) + before[1])
-        return np.stack([(tx.mix(x + np.uint64(7919 * (i + 1))) % np.uint64(ROWS)).astype(np.int64) + i * ROWS for i, x in enumerate(keys)])
-
-    def after(self, word: np.ndarray, group: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the tokens that share a class, and their hashes: of the word before with the word, of it with the class, and both with two words before: [4, place]."""
-        own = np.flatnonzero(group >= min(SINGLE, len(self.frequent)))
+        low = BASE ** (self.depth - 2)
+        own = self.order[at] * (4 * BASE * low // KNOWN if 4 * BASE * low >= KNOWN else 1)
+        wide = (ending & np.uint64(1)) > 0
+        x = tx.mix(ending + np.uint64(5))
+        first = np.where(wide, 4 + x % np.uint64(4), 8 + x % np.uint64(8)).astype(np.int64)
+        second = (tx.mix(ending + np.uint64(17)) % np.uint64(BASE)).astype(np.int64)
+        other = (first * BASE + second) * low + (tx.mix(word + np.uint64(3)) % np.uint64(low)).astype(np.int64)
+        return np.where(self.sorted[at] == word, own, other)
+
+    def histories(self, word: np.ndarray, ending: np.ndarray, by_row: np.ndarray) -> np.ndarray:
+        """Hashes of the features of each token's history: [feature, token]."""
         place = np.arange(len(word)) - np.repeat(by_row[:-1], np.diff(by_row))
-        one, two = (np.where(place[own] >= k, word[own - k], _START) for k in (1, 2))
-        both = tx.mix(two + np.uint64(0x9E3779B97F4A7C15)) + one
-        low = np.uint64(64 - self.bits)
-        keys = [tx.mix(tx.mix(h + np.uint64(salt)) + x) >> low << low for salt, h in ((11, one), (13, both)) for x in (word[own], group[own].astype(np.uint64))]
-        return own, np.stack(keys)
-
-    def within(self, group: np.ndarray, count: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log10 of each word's share of its class after its history, from the word's count and those of `after`. The shares of all words of a class add up to one at most."""
-        out = np.zeros(len(group))
-        share = (count[own] + 1) / (self.class_tokens + self.class_words + 1)[group[own]]
-        for k, weight in enumerate(SMOOTH):
-            share = (n[2 * k] + weight * share) / (n[2 * k + 1] + weight)
-        out[own] = np.log10(share)
-        return out
 
-    def log_classes(self, feature: np.ndarray) -> np.ndarray:
-        """Log probabilities of all classes after each history: [token, class]."""
-        z = self.weights[feature[0]] + self.bias
-        for f in feature[1:]:
-            z += self.weights[f]
+        def back(x: np.ndarray, k: int) -> np.ndarray:
+            out = np.full(len(x), _START)
+            out[k:] = np.where(place[k:] >= k, x[:-k], _START)
+            return out
+
+        one, two, three = (back(word, k) for k in (1, 2, 3))
+        keys = one, two, three, tx.mix(one) + two, back(ending, 1)
+        return np.stack([tx.mix(x + np.uint64(7919 * (i + 1))) for i, x in enumerate(keys)])
+
+    def digit(self, k: int, leaf: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the k-th digit of leaves: the digits before as one number, the digit, and the rows of the weights [feature, token]."""
+        path = leaf // BASE ** (self.depth - 1 - k)
+        before = path // BASE
+        row = tx.mix(history + (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77 * k + 1))) >> np.uint64(64 - self.row_bits)
+        return before, path % BASE, row.astype(np.int64)
+
+    def distribution(self, k: int, before: np.ndarray, row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Probabilities of all outcomes of the k-th digit: [token, outcome]."""
+        z = self.bias[k][before]
+        for f in range(FEATURES):
+            z += np.take(weights[k, f], row[f], axis=0)
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
         return z
 
+    def log_shares(self, leaf: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Log10 of each word's share of its leaf, one beyond its words left for unseen ones."""
+        return np.log10(count + 1) - np.log10(self.leaf_tokens + self.leaf_words + 1)[leaf]
+
+    def log_paths(self, leaf: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """Log10 probability of each token's leaf after its history, in batches that look up only the rows they need."""
+        out = np.zeros(len(leaf))
+        for at in range(0, len(leaf), 1 << 13):
+            part = slice(at, at + (1 << 13))
+            for k in range(self.depth):
+                before, y, row = self.digit(k, leaf[part], history[:, part])
+                out[part] += np.log10(self.distribution(k, before, row, self.weights)[np.arange(len(y)), y])
+        return out
 
-def open_class(ending: np.ndarray) -> np.ndarray:
-    """Class of a word that is none itself: a third of the classes is for words with letters beyond ASCII."""
-    wide = (ending & np.uint64(1)) > 0
-    x = ending >> np.uint64(8)
-    third = OPEN // 3
-    return SINGLE + np.where(wide, x % np.uint64(third), np.uint64(third) + x % np.uint64(OPEN - third)).astype(np.int64)
+    def learn(self, weights: np.ndarray, squares: np.ndarray, leaf: np.ndarray, history: np.ndarray) -> None:
+        """One adaptive gradient step over a batch of tokens, in place."""
+        rows = 1 << self.row_bits
+        for k in range(self.depth):
+            before, y, row = self.digit(k, leaf, history)
+            z = self.distribution(k, before, row, weights)
+            z[np.arange(len(y)), y] -= 1
+            error = np.ascontiguousarray(z.T, np.float64)
+            for f in range(FEATURES):
+                g = np.stack([np.bincount(row[f], weights=e, minlength=rows) for e in error], axis=1).astype(np.float32)
+                squares[k, f] += g * g
+                weights[k, f] -= np.float32(RATE) * g / np.sqrt(squares[k, f])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, class, c): count of each token of docs (doc_id, text), by hash; tasks count ahead of the shuffle."""
+    """(word, ending, c): count of each token of docs (text), by hash; tasks count ahead of the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.row_slices(batch.column(0), 1 << 22):
                 word, ending, _ = tokens(batch.column(0)[part])
                 own, first, n = np.unique(word, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([tx.signed(own), pa.array(open_class(ending[first]).astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "class", "n"])
+                yield pa.RecordBatch.from_arrays([tx.signed(own), tx.signed(ending[first]), pa.array(n.astype(np.int64))], ["word", "ending", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(run, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c"))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -154,16 +173,16 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T).tobytes(), kind)
 
 
-def _dealt(key: np.ndarray, parts: int, low: int) -> Iterator[tuple[int, slice, bytes]]:
-    """Sorted distinct hashes by parts of equal ranges: part, place, and the steps from each to the next without the low bits, packed."""
+def _dealt(key: np.ndarray, parts: int) -> Iterator[tuple[int, slice, bytes]]:
+    """Sorted distinct hashes by parts of equal ranges: part, place, and the steps from each to the next, packed."""
     part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts))).tolist()
     for a, b in zip(edge, [*edge[1:], len(key)]):
-        yield int(part[a]), slice(a, b), _packed(np.diff(key[a:b] >> np.uint64(low), prepend=np.uint64(0)))
+        yield int(part[a]), slice(a, b), _packed(np.diff(key[a:b], prepend=np.uint64(0)))
 
 
-def _keys(data: bytes, low: int) -> np.ndarray:
-    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64) << np.uint64(low)
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
 def _distinct(keys: list[np.ndarray]) -> np.ndarray:
@@ -178,7 +197,7 @@ def packed_counts(counts: DataFrame, parts: int) -> DataFrame:
     def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         word, n = (np.concatenate([b.column(k).to_numpy() for b in held]).astype(np.int64).view(np.uint64) for k in (0, 1))
         order = np.argsort(word)
-        part, keys, ns = zip(*((p, keys, _packed(n[order][at])) for p, at, keys in _dealt(word[order], parts, 0)))
+        part, keys, ns = zip(*((p, keys, _packed(n[order][at])) for p, at, keys in _dealt(word[order], parts)))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(ns, pa.binary())], ["part", "keys", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,88 +215,92 @@ def packed_counts(counts: DataFrame, parts: int) -> DataFrame:
     return counts.select("word", "c").mapInArrow(run, "part int, keys binary, n binary")
 
 
-def _trained(docs: DataFrame, model: Model, part: str) -> np.ndarray:
-    """Mean of the weights that tasks reach by gradient steps over all their training texts, weighted by tokens.
+def _trained(docs: DataFrame, model: Model, part: str, share: float) -> np.ndarray:
+    """Mean of the weights that lanes reach by gradient steps over their training texts, weighted by tokens.
 
-    Each task starts from the model's weights and takes adaptive gradient steps over batches of
-    tokens. What tasks return are blocks of weights, summed in two steps so that no task gets all.
+    Texts are dealt to lanes by a hash of the row and come in its order, so a lane's steps do not
+    depend on how the table was partitioned. A lane starts from the model's weights and takes one
+    step for as many tokens as a table has rows. What lanes return are blocks of weights, summed
+    in two steps, each in order of lanes, so that no task gets all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = 1 << model.row_bits
+    lanes = max(1, round(model.tokens * share / (LANE_TOKENS * rows)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        weight = own.weights.copy()
-        square = np.full(weight.shape, 1e-2, np.float32)
-        seen, pid = 0, 0
+        weights, squares = own.weights.copy(), np.full(own.weights.shape, SQUARE, np.float32)
+        seen, lane, held, n = 0, 0, [], 0
+
+        def step() -> None:
+            leaf, history = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+            stop = len(leaf) if last else len(leaf) // rows * rows
+            for at in range(0, stop, rows):
+                own.learn(weights, squares, leaf[at : at + rows], history[:, at : at + rows])
+            held[:] = [(leaf[stop:], history[:, stop:])]
+
+        last = False
         for batch in batches:
             if batch.num_rows:
-                pid = batch.column(1)[0].as_py()
-            for rows in tx.row_slices(batch.column(0)):
-                word, ending, by_row = tokens(batch.column(0)[rows])
-                rank = own.ranks(word)
-                target, feature = own.classes(rank, ending), own.features(rank, ending, by_row)
-                for at in range(0, len(word), STEP):
-                    f, y = feature[:, at : at + STEP], target[at : at + STEP]
-                    z = weight[f[0]] + own.bias
-                    for k in range(1, TEMPLATES):
-                        z += weight[f[k]]
-                    z -= z.max(axis=1, keepdims=True)
-                    np.exp(z, out=z)
-                    z /= z.sum(axis=1, keepdims=True)
-                    z[np.arange(len(y)), y] -= 1
-                    error = np.ascontiguousarray(z.T, np.float64)
-                    for k in range(TEMPLATES):
-                        row = f[k] - k * ROWS
-                        g = np.stack([np.bincount(row, weights=e, minlength=ROWS) for e in error], axis=1).astype(np.float32)
-                        s = square[k * ROWS : (k + 1) * ROWS]
-                        s += g * g
-                        weight[k * ROWS : (k + 1) * ROWS] -= np.float32(RATE) * g / np.sqrt(s)
-                seen += len(word)
+                lane = batch.column(1)[0].as_py()
+            for some in tx.row_slices(batch.column(0)):
+                word, ending, by_row = tokens(batch.column(0)[some])
+                held.append((own.leaves(word, ending), own.histories(word, ending, by_row)))
+                seen, n = seen + len(word), n + len(word)
+                if n >= rows:
+                    step()
+                    n = len(held[0][0])
         if seen:
-            data = [x.tobytes() for x in np.split((weight * np.float64(seen)).reshape(-1), _BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([pid % 32] * _BLOCKS, pa.int32()), pa.array([seen] * _BLOCKS, pa.int64()), pa.array(data, pa.binary())], ["block", "lane", "seen", "data"])
+            last = True
+            step()
+            data = [x.tobytes() for x in np.split((weights * np.float64(seen)).astype(np.float32).reshape(-1), _BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([lane] * _BLOCKS, pa.int64()), pa.array([lane % 32] * _BLOCKS, pa.int64()), pa.array([seen] * _BLOCKS, pa.int64()), pa.array(data, pa.binary())], ["block", "lane", "group", "seen", "data"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(table["data"][0].as_py()) // 8)
+        table = table.sort_by("lane")
+        total = np.zeros(len(table["data"][0].as_py()) // 4)
         for x in table["data"]:
-            total += np.frombuffer(x.as_py())
-        lane = table["lane"][0].as_py()
-        return pa.table({"block": table["block"][:1], "lane": pa.array([lane], pa.int32()), "seen": pa.array([sum(table["seen"].to_pylist())], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), np.float32)
+        return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "group": table["group"][:1], "seen": pa.array([sum(table["seen"].to_pylist())], pa.int64()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "block int, lane int, seen long, data binary"
-    out = docs.where(part).select("text", F.spark_partition_id().alias("pid")).mapInArrow(run, schema)
-    out = out.groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+    schema = "block int, lane long, group long, seen long, data binary"
+    out = docs.where(part).select("text", F.pmod("h", F.lit(lanes)).alias("lane"), "h").repartitionById(lanes, F.col("lane").cast("int")).sortWithinPartitions("h", "text").select("text", "lane").mapInArrow(run, schema)
+    out = out.groupBy("block", "group").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
     if not out:
         return model.weights
-    return np.concatenate([np.frombuffer(r.data) / r.seen for r in sorted(out, key=lambda r: r.block)]).reshape(model.weights.shape).astype(np.float32)
+    return np.concatenate([np.frombuffer(r.data, np.float32) / np.float64(r.seen) for r in sorted(out, key=lambda r: r.block)]).reshape(model.weights.shape).astype(np.float32)
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of docs (text), all of it, and the counts (word, class, c) of its tokens.
+    """A model of docs (text), all of it, and the counts (word, ending, c) of its tokens.
 
     Training passes once over all texts in two rounds: a quarter of them, chosen by a hash, then
-    the others from the mean of the first round's weights. Only the frequent words, sums by
-    class and the weights, all of fixed sizes, come to the driver. Null texts are empty.
+    the others from the mean of the first round's weights. Only the frequent words, sums by leaf
+    and the weights, all of bounded sizes, come to the driver. The result depends on the rows
+    alone. Null texts are empty. Other columns only spread rows that have equal texts.
     """
-    own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(*(F.col(c).cast("string") for c in sorted(docs.columns)), F.lit("fit")).alias("h"))
     counts = cut(word_counts(own))
     end = int(np.array([END]).view(np.int64)[0])
-    top = counts.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(KNOWN - 1).collect()
+    total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    depth = next((d for d in range(*DEPTHS) if BASE**d * LEAF_TOKENS >= total), DEPTHS[1])
+    row_bits = min(max((total // ROW_TOKENS).bit_length(), ROW_BITS[0]), ROW_BITS[1])
+    top = counts.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(min(KNOWN, 4 * BASE ** (depth - 1)) - 1).collect()
     frequent = np.concatenate([[END], np.array([r.word for r in top], np.int64).view(np.uint64)])
-    single = [end, *(r.word for r in top[: SINGLE - 1])]
-    by_class = counts.where(~F.col("word").isin(single)).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n, v = np.zeros(_CLASSES), np.zeros(_CLASSES)
-    for r in by_class:
-        n[r["class"]], v[r["class"]] = r.n, r.v
-    ends = counts.where(F.col("word") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    for i, c in enumerate([ends, *(r.c for r in top[: SINGLE - 1])]):
-        n[i], v[i] = c, 1
-    total = int(n.sum())
-    # four hashes of each token
-    sizes = min(60, max(32, total.bit_length() + 2 + SPARE)), max(PARTS, total // PART_TOKENS)
-    model = Model(frequent, n, v, total, int(v.sum()) - (0 if ends else 1), np.zeros((TEMPLATES * ROWS, _CLASSES), np.float32), *sizes)
-    for part in ("pmod(xxhash64(text, 'fit'), 4) = 0", "pmod(xxhash64(text, 'fit'), 4) <> 0"):
-        model = Model(model.frequent, n, v, model.tokens, model.words, _trained(own, model, part), *sizes)
+    paths = Model(frequent, depth, row_bits)
+
+    def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, ending = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(paths.leaves(word, ending)), batch.column(2)], ["leaf", "c"])
+
+    table = counts.select("word", "ending", "c").mapInArrow(leaves, "leaf long, c long").groupBy("leaf").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()
+    n, v = np.zeros(BASE**depth), np.zeros(BASE**depth)
+    n[table["leaf"].to_numpy()], v[table["leaf"].to_numpy()] = table["n"].to_numpy(), table["v"].to_numpy()
+    weights = np.zeros((depth, FEATURES, 1 << row_bits, BASE), np.float32)
+    model = Model(frequent, depth, row_bits, total, words, n, v, weights, max(PARTS, total // PART_TOKENS))
+    for part, share in (("pmod(h div 1048576, 4) = 0", 0.25), ("pmod(h div 1048576, 4) <> 0", 0.75)):
+        model = replace(model, weights=_trained(own, model, part, share))
     return model, counts
 
 
@@ -285,85 +308,58 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text, held_out).
 
     Texts are dealt by a hash to chunks of a bounded size. Each chunk asks for the counts of its
-    distinct words and histories, one packed row for a chunk and part of the counts, and gets them
-    back beside its texts, so no vocabulary is held whole anywhere. Rows that are not held out must be those that the model was
-    fitted on: with what a chunk asks, it tells how often they have it. base_score is the sum over tokens of
+    distinct words, one packed row for a chunk and part of the counts, and gets them back beside
+    its texts, so no vocabulary is held whole anywhere. base_score is the sum over tokens of
     log10((c + 1) / (N + V + 1)), score the model's log10 probability of the text. A null text
-    has an end only. Repeated rows are scored alike.
+    has an end only. Repeated rows are scored alike; those that agree in doc_id, a key, and text
+    share a chunk. Other columns are ignored.
     """
-    own = docs.select("doc_id", "held_out", F.coalesce(~F.col("held_out"), F.lit(False)).alias("fitted"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select("doc_id", "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
+    chunks = size // CHUNK + 1
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks, lists = max(least, chunks // TASK_CHUNKS), max(least, model.parts // TASK_CHUNKS)
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(tasks, "chunk")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def ask(table: pa.Table) -> pa.Table:
-        m: Model = shared.value
-        column, fitted = table["text"].combine_chunks(), table["fitted"].to_numpy().astype(np.uint64)
-        words, after = [], []
-        for rows in tx.row_slices(column):
-            word, ending, by_row = tokens(column[rows])
-            words.append(np.sort(word))
-            own, key = m.after(word, m.classes(m.ranks(word), ending), by_row)
-            # the lowest bit, which no hash has, says that the text was fitted
-            after.append((key | np.repeat(fitted[rows], np.diff(by_row))[own]).reshape(-1))
-        key = np.sort(np.concatenate(after))
-        first = np.flatnonzero(np.diff(key >> np.uint64(1), prepend=~(key[:1] >> np.uint64(1))))
-        n = np.add.reduceat(key & np.uint64(1), first) if len(first) else key
-        rows = [(part, True, keys, None) for part, _, keys in _dealt(_distinct(words), m.parts, 0)]
-        rows += [(part, False, keys, _packed(n[at])) for part, at, keys in _dealt(key[first], m.parts, 64 - m.bits)]
-        part, whole, keys, n = zip(*rows)
-        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "part": pa.array(part, pa.int32()), "whole": pa.array(whole, pa.bool_()), "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary())})
+        column = table["text"].combine_chunks()
+        words = _distinct([np.unique(tokens(column[rows])[0]) for rows in tx.row_slices(column)])
+        part, _, keys = zip(*_dealt(words, shared.value.parts))
+        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "keys": pa.array(keys, pa.binary())})
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.concatenate([np.zeros(0, np.uint64), *(_keys(k.as_py()) for k in left["keys"])])
+        n = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n.as_py(), np.uint64) for n in left["n"])])
+        order = np.argsort(known)
+        known, n = np.append(known[order], np.uint64(2**64 - 1)), np.append(n[order], np.uint64(0))
         out = []
-        for whole, table in ((True, left), (False, right)):
-            low = 0 if whole else 64 - shared.value.bits
-            held = [(k.as_py(), n.as_py()) for k, n in zip(table["keys"], table["n"]) if n.is_valid]
-            known = np.concatenate([np.zeros(0, np.uint64), *(_keys(k, low) for k, _ in held)])
-            n = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n, np.uint64) for _, n in held)])
-            known, n = known[n > 0], n[n > 0]
-            order = np.argsort(known)
-            known, n = known[order], n[order]
-            first = np.flatnonzero(np.diff(known, prepend=~known[:1]))
-            known, n = np.append(known[first], np.uint64(2**64 - 1)), np.append(np.add.reduceat(n, first) if len(first) else n, np.uint64(0))
-            for chunk, own, keys in zip(right["chunk"], right["whole"].to_pylist(), right["keys"]):
-                if own == whole:
-                    key = _keys(keys.as_py(), low)
-                    at = np.searchsorted(known, key)
-                    out.append((chunk.as_py(), whole, _packed(np.where(known[at] == key, n[at], np.uint64(0)))))
-        part = right["part"][0].as_py() if len(right) else 0
-        chunk, whole, ns = zip(*out) if out else ((), (), ())
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([part] * len(out), pa.int32()), "whole": pa.array(whole, pa.bool_()), "n": pa.array(ns, pa.binary())})
-
-    asked = own.groupBy("chunk").applyInArrow(ask, "chunk long, part int, whole boolean, keys binary, n binary")
-    told = packed_counts(counts, model.parts).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(tell, "chunk long, part int, whole boolean, n binary")
+        for keys in right["keys"]:
+            key = _keys(keys.as_py())
+            at = np.searchsorted(known, key)
+            out.append(_packed(np.where(known[at] == key, n[at], np.uint64(0))))
+        return pa.table({"chunk": right["chunk"], "part": right["part"], "n": pa.array(out, pa.binary())})
+
+    asked = own.groupBy("chunk").applyInArrow(ask, "chunk long, part int, keys binary")
+    told = packed_counts(counts, model.parts).repartition(lists, "part").groupBy("part").cogroup(asked.repartition(lists, "part").groupBy("part")).applyInArrow(tell, "chunk long, part int, n binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m: Model = shared.value
         column = left["text"].combine_chunks()
-        back = {}
-        for whole in (True, False):
-            rows = sorted((p, n.as_py()) for p, w, n in zip(right["part"].to_pylist(), right["whole"].to_pylist(), right["n"]) if w == whole)
-            back[whole] = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n, np.uint64) for _, n in rows)])
+        told = sorted(zip(right["part"].to_pylist(), right["n"].to_pylist(), strict=True))
+        count = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(n, np.uint64) for _, n in told)]).astype(np.int64)
+        slices = list(tx.row_slices(column))
+        key = _distinct([np.unique(tokens(column[rows])[0]) for rows in slices])
         out = np.zeros((4, len(column)))
-        parts = []
-        for rows in tx.row_slices(column):
+        for rows in slices:
             word, ending, by_row = tokens(column[rows])
-            rank = m.ranks(word)
-            y = m.classes(rank, ending)
-            parts.append((rows, word, by_row, y, m.features(rank, ending, by_row), *m.after(word, y, by_row)))
-        key = {True: _distinct([x[1] for x in parts]), False: _distinct([x[6].reshape(-1) for x in parts])}
-        for rows, word, by_row, y, feature, at, after in parts:
-            c = back[True][np.searchsorted(key[True], word)].astype(np.int64)
+            c = count[np.searchsorted(key, word)]
             base = np.log10(c + 1) - np.log10(m.tokens + m.words + 1)
-            chosen = np.zeros(len(word))
-            for i in range(0, len(word), STEP):
-                z = m.log_classes(feature[:, i : i + STEP])
-                chosen[i : i + STEP] = z[np.arange(len(z)), y[i : i + STEP]]
-            within = m.within(y, c, at, back[False][np.searchsorted(key[False], after)].astype(float))
-            for k, x in enumerate((np.ones(len(word)), c > 0, base, chosen / np.log(10) + within)):
+            leaf = m.leaves(word, ending)
+            own = m.log_paths(leaf, m.histories(word, ending, by_row)) + m.log_shares(leaf, c)
+            for k, x in enumerate((np.ones(len(word)), c > 0, base, own)):
                 out[k, rows] = np.add.reduceat(x.astype(float), by_row[:-1])
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(out[0].astype(np.int64)), "n_known": pa.array(out[1].astype(np.int64)), "train_tokens": pa.array([m.tokens] * len(column), pa.int64()), "base_score": pa.array(out[2]), "score": pa.array(out[3])})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
+    return own.groupBy("chunk").cogroup(told.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(run, schema)

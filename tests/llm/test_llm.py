@@ -1,6 +1,7 @@
 """Small fixtures for each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -319,8 +320,6 @@ def test_revisits(spark):
 
 
 def test_language_model(spark, sf):
-    import math
-
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "never zzz seen"), (-3, "never zzz seen")], "doc_id long, text string")
     docs = docs.union(extra).withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 7 = 2 or doc_id < 0"))
@@ -355,15 +354,61 @@ def test_word_endings_do_not_depend_on_other_texts():
     assert alone[1].tolist() == beside[1][:3].tolist() and beside[1][3] & np.uint64(1)
 
 
-def test_language_model_counts_after_a_history():
-    small = language_model.Model(np.array([language_model.END]), np.ones(64), np.ones(64), 9, 9, np.zeros((4 * language_model.ROWS, 64), np.float32), 40, 3)
-    word, ending, by_row = language_model.tokens(pa.array(["a b c a b", None, "b c a b c"]))
-    group = small.classes(small.ranks(word), ending)
-    own, key = small.after(word, group, by_row)
-    assert own.tolist() == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11] and [len(set(k.tolist())) for k in key[::2]] == [5, 7]
-    assert len({*key[2].tolist()} & {*key[0].tolist()}) == 0
-    back = np.concatenate([language_model._keys(data, 24) for _, _, data in language_model._dealt(np.unique(key), 3, 24)])
-    assert (back == np.unique(key)).all()
+def test_language_model_score_by_a_plain_model(spark):
+    """Counts, leaves and the product of softmaxes along a path, worked out word by word; probabilities of all words add up to one at most."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 60) % 300), i % 5 == 4) for i in range(60)] + [(60, None, False), (61, "", True), (62, "w1 unseen w2", True), (62, "w1 unseen w2", True)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("chunk", F.lit(1))
+    model, counts = language_model.fit(table.where("not held_out"))
+    again, _ = language_model.fit(table.where("not held_out").repartition(7))
+    assert (model.weights == again.weights).all() and np.abs(model.weights).max() > 0.05
+    out = language_model.score(table, model, counts).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and len({r.score for r in out if r.doc_id == 62}) == 1
+    known = Counter(w for _, t, h in rows if not h for w in [*words(t), None])
+    column = pa.array([" ".join(w for w in known if w)])
+    every, endings, at = language_model.tokens(column)
+    assert model.leaf_tokens.sum() == sum(known.values()) and model.leaf_words.sum() == len(known)
+
+    def chance(history, leaf):
+        """Probability of a leaf after a history: hashes of features."""
+        p = 1.0
+        for k in range(model.depth):
+            before, y = int(leaf) // 16 ** (model.depth - k), int(leaf) // 16 ** (model.depth - 1 - k) % 16
+            z = np.array(model.bias[k][before], float)
+            for f in range(language_model.FEATURES):
+                h = (int(history[f]) + before * 0x9E3779B97F4A7C15 + 77 * k + 1) % 2**64
+                z += model.weights[k, f, int(language_model.tx.mix(np.array([h], np.uint64))[0]) >> (64 - model.row_bits)]
+            p *= math.exp(z[y]) / sum(map(math.exp, z))
+        return p
+
+    for i in (0, 4, 61, 62):
+        text = next(t for k, t, _ in rows if k == i)
+        word, ending, by_row = language_model.tokens(pa.array([text]))
+        history, leaf = model.histories(word, ending, by_row), model.leaves(word, ending)
+        want = 0.0
+        for k, w in enumerate([*words(text), None]):
+            want += math.log10(chance(history[:, k], leaf[k])) + math.log10((known[w] + 1) / (model.leaf_tokens[leaf[k]] + model.leaf_words[leaf[k]] + 1))
+        assert got[i].score == pytest.approx(want, abs=1e-4)
+    one = history[:, :1].repeat(len(every), axis=1)
+    leaf = model.leaves(every, endings)
+    count = np.array([known[w] for w in [*words(column[0].as_py()), None]])
+    assert 0.5 < (10 ** (model.log_paths(leaf, one) + model.log_shares(leaf, count))).sum() <= 1
+
+
+def test_language_model_held_out_gain(spark):
+    out = queries.op10_language_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("held-out gain in log10 a token", (out[0] - out[1]) / out[2])
+    assert (out[0] - out[1]) / out[2] > 0.25
+
+
+def test_language_model_edges(spark):
+    """Empty tables, no training rows, long texts."""
+    table = spark.createDataFrame([(1, "x " * 50_000, True), (2, "\u00e9" * 5000, True), (3, None, None)], "doc_id long, text string, held_out boolean")
+    model, counts = language_model.fit(table.limit(0))
+    got = {r.doc_id: r for r in language_model.score(table, model, counts).collect()}
+    assert got[1].n_tokens == 50_001 and got[1].n_known == got[1].train_tokens == 0 and np.isfinite(got[1].score) and got[3].n_tokens == 1
+    assert language_model.score(table.limit(0), model, counts).count() == 0
 
 
 def test_pipeline(spark, sf):
