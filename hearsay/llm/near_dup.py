@@ -8,16 +8,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm import textops as tx
-from hearsay.llm.components import connected_components
+from hearsay.llm.components import connected_components, spread_join
 from hearsay.llm.lineage import cut, fresh
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
 #: Bits kept of each signature value, and longs of a set's bit map.
 BITS, MAP = 3, 32
+#: Comparisons a member of a bucket beyond which rare shingles choose the pairs.
+CROSS = 32
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -119,15 +121,56 @@ def _promising(x: str, y: str, values: int, percent: int) -> Column:
     return (F.col(f"{x}.n") * percent <= F.col(f"{y}.n") * 100) & (F.col(f"{y}.n") * percent <= F.col(f"{x}.n") * 100) & (differ <= most)
 
 
-def _room(x: str, y: str, percent: int) -> Column:
-    """Whether the bit maps of two rows leave room for a similarity of percent / 100.
+def _roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bit maps leave room for a similarity of percent / 100.
 
     Cells that only one set has hold shingles that the other lacks, so they bound from above what
     both can share. The bound never rules out a link.
     """
-    alone, other = (sum(F.bit_count(F.col(f"{p}.map")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[i]))) for i in range(MAP)) for p, q in ((x, y), (y, x)))
-    shared = F.least(F.col(f"{x}.n") - alone, F.col(f"{y}.n") - other)
-    return shared * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+    known = own.select("doc_id", "n", "map")
+    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.struct("n", "map").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.struct("n", "map").alias("y")), "b")
+    alone, other = (sum(F.bit_count(F.col(f"{p}.map")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[i]))) for i in range(MAP)) for p, q in (("x", "y"), ("y", "x")))
+    shared = F.least(F.col("x.n") - alone, F.col("y.n") - other)
+    return both.where(shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent).select("a", "b")
+
+
+def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): pairs of documents (doc_id, n, c) of different components c that share a rare shingle, every linked pair among them.
+
+    A document's shingles are ordered by the number of documents that have them, rarest first. Of
+    a linked pair, the larger document has one of the smaller's first 1 - 2p / (1 + p) of its
+    shingles among its own first 1 - p, and places that leave room for what both must share. So
+    documents that are alike in what many others have too never meet. A shingle of many documents
+    is split into lanes.
+    """
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.row_slices(batch.column(3)):
+                own, at = tx.shingles(*tx.words(batch.column(3)[part]), shingle)
+                # distinct shingles by row: sort by row, then value
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                order = np.lexsort((own, row))
+                row, own = row[order], own[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1])
+                row = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[part].take(row) for k in range(3)), tx.signed(own[new])], ["doc_id", "n", "c", "s"])
+
+    spelt = cut(node.join(texts, "doc_id").select("doc_id", "n", "c", "text").mapInArrow(spell, "doc_id long, n long, c long, s long"))
+    many = spelt.groupBy("s").agg(F.count("*").alias("n"))
+    total = spelt.count()
+    spread = spread_join(spelt.select("doc_id", F.col("n").alias("size"), "c", "s"), many.select("s", "n", F.col("n").alias("df")), "s", total)
+    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")))
+    ranked = cut(ranked.where(f"df > 1 and rank <= size - (size * {percent} + 99) div 100 + 1"))
+    lanes = ranked.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "n", F.expr("1 + n div 1000").alias("lanes"))
+    met = spread_join(ranked.drop("df"), lanes, "s", total)
+    probe = met.withColumn("lane", F.expr("pmod(xxhash64(doc_id), lanes)")).alias("x")
+    index = met.where(f"rank <= size - (size * {2 * percent} + {99 + percent}) div {100 + percent} + 1").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y")
+    larger = F.expr("x.size > y.size or (x.size = y.size and x.doc_id > y.doc_id)")
+    room = F.expr(f"(1 + least(x.size - x.rank, y.size - y.rank)) * {100 + percent} >= {percent} * (x.size + y.size)")
+    pair = probe.join(index, (F.col("x.s") == F.col("y.s")) & (F.col("x.lane") == F.col("y.lane")) & (F.col("x.c") != F.col("y.c")) & larger & room)
+    return pair.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -140,44 +183,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets form one class first, so copies cost one row each however many there are. Rows
     that share a band key form a bucket. What is compared: first each member with its bucket's
     hub, the document with most company in all its buckets; then, in buckets whose members still
-    belong to different components, all pairs of members of different components. So a large group of near copies needs about a comparison for
-    each member, and no link between components is left untested. Before texts are fetched, a
-    pair's sizes, signature bits and bit maps must leave room for the threshold; every link is
-    then confirmed on full sets. Nothing is capped. A pair at exactly the threshold is missed
-    with a probability of 3e-5 at 40 bands of 5, a closer one less.
+    belong to different components, members of different components. In a bucket where
+    that would be over CROSS comparisons a member, rare shingles choose the pairs (see
+    _rare_pairs), which misses no link. So a large group of near copies needs about a comparison
+    for each member, a large family of texts that are alike but not linked about as little, and
+    no link between components is left untested. Before texts are fetched, a pair's sizes,
+    signature bits and bit maps must leave room for the threshold; every link is then confirmed
+    on full sets. Nothing is capped. A pair at exactly the threshold is missed with a probability
+    of 3e-5 at 40 bands of 5, a closer one less.
 
     Nulls: a null text equals an empty one; both have no shingles and no links. A row with a
-    null doc_id has a null component_id and is kept. doc_id is a key: of rows that share one
-    with different texts, each gets the component of its text. Other columns are ignored.
+    null doc_id has a null component_id and is kept. doc_id is a key; rows that share one with
+    different texts are labelled each, but where the id stands for both they count as one
+    document. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text = texts.where("doc_id is not null")
     sig = cut(signatures(texts, shingle=shingle, rows=rows, bands=bands))
     node = sig.where("doc_id is not null and n_shingles > 0")
-    classes = node.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    classes = node.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
     first = node.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
     bucket = first.select("doc_id", F.explode("bands").alias("band"))
-    shared = bucket.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
-    member = cut(bucket.join(shared, "band"))
+    shared = cut(bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    member = cut(spread_join(bucket, shared.withColumn("k", F.col("n")), "band", total))
     company = member.groupBy("doc_id").agg(F.sum("k").alias("company"))
     own = cut(company.join(first.select("doc_id", F.col("n_shingles").alias("n"), "bits", "map"), "doc_id"))
     member = member.select("band", "doc_id")
 
     values = rows * bands
-    left = member.join(own.drop("map"), "doc_id")
-    hub = left.groupBy("band").agg(F.max(F.struct("company", -F.col("doc_id"), "doc_id", "n", "bits")).alias("y")).select("band", "y.doc_id", "y.n", "y.bits")
-    pair = left.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _promising("x", "y", values, percent))
+    left = member.join(own.select("doc_id", "company", F.col("n").alias("size"), "bits"), "doc_id")
+    hub = left.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("company", -F.col("doc_id"), "doc_id", F.col("size").alias("n"), "bits")).alias("y"))
+    met = spread_join(left, hub.select("band", "n", F.struct("y.doc_id", "y.n", "y.bits").alias("y")), "band", total)
+    pair = met.select(F.struct("doc_id", F.col("size").alias("n"), "bits").alias("x"), "y").where((F.col("x.doc_id") != F.col("y.doc_id")) & _promising("x", "y", values, percent))
     # the hub comes first, so that its text is read once for all that it meets
-    spoke = cut(similarities(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), text, shingle=shingle))
+    pair = _roomy(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), own, percent)
+    spoke = cut(similarities(pair, text, shingle=shingle))
     link = spoke.where(_linked(percent)).select("a", "b")
     found = connected_components(link)
 
     named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    left = cut(named.join(mixed, "band", "left_semi").join(own.drop("company"), "doc_id"))
-    pair = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent) & _room("x", "y", percent))
-    pair = pair.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    pair = pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    group = named.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("alike"), F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
+    group = group.where("kinds > 1").select("band", "n", "main", F.expr("1 + n div 10000").alias("lanes"), F.expr(f"(cast(n as double) * n - alike) / 2 > {CROSS} * n").alias("hot"))
+    left = cut(spread_join(named, group, "band", total).join(own.select("doc_id", "n", "bits"), "doc_id"))
+    # in a bucket that isn't hot, all but one component have few members; those of the main one are dealt to lanes
+    main = left.where("not hot and c = main").withColumn("lane", F.expr("pmod(xxhash64(doc_id), lanes)"))
+    rest = left.where("not hot and c <> main")
+    near = [
+        main.alias("x").join(rest.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lane") == F.col("y.lane")) & _promising("x", "y", values, percent)),
+        rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent)),
+    ]
+    pair = near[0].select("x.doc_id", F.col("y.doc_id").alias("other")).union(near[1].select("x.doc_id", F.col("y.doc_id").alias("other")))
+    pair = pair.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    crowd = left.where("hot").select("doc_id", "n", "c").distinct()
+    if not crowd.isEmpty():
+        pair = pair.union(_rare_pairs(crowd, text, shingle, percent)).distinct()
+    pair = _roomy(pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), own, percent)
     more = cut(similarities(pair, text, shingle=shingle).where(_linked(percent)).select("a", "b"))
     if not more.isEmpty():
         found = connected_components(link.union(more))
@@ -193,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that another of their group stands for; all columns stay.
 
-    Rows that share the doc_id and the text of a kept document are one document and stay once.
-    A row with a null doc_id stays.
+    doc_id is a key: rows that share it are one document, so all of them stay or go. A row with a
+    null doc_id stays.
     """
     name = fresh(docs, "gone")[0]
     gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()

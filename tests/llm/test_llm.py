@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, decontaminate, fingerprint, html_text, language_model, line_dedup, mixing, near_dup, queries, toxicity, warc
+from hearsay.llm import chat, components, decontaminate, fingerprint, html_text, language_model, line_dedup, mixing, near_dup, queries, toxicity, warc
 from tests.check import assert_same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +73,62 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def family(n, own, length=120, members=1):
+    """n texts of one template, each with its own words in a share of places; and near copies of some."""
+    rng = np.random.default_rng(n)
+    out = []
+    for i in range(n):
+        w = [f"t{k}" for k in range(length)]
+        for k in rng.choice(length // 6, size=int(own * length / 6), replace=False):
+            w[k * 6] = f"own{i}x{k}"
+        out.append(" ".join(w))
+        out += [" ".join([*w[:-1], f"copy{i}"])] * (members - 1)
+    return out
+
+
+def test_near_duplicates_of_a_crowd(spark):
+    """A family of texts that are alike but not linked, near copies in it, and two large groups under the threshold: exact, by rare shingles."""
+    texts = family(150, 0.45) + family(90, 0.35, 130, 2)
+    rows = list(enumerate(texts))
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i: find(i) for i in sets}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 150
+    # the pairs that rare shingles choose hold all links between different components, whatever these are
+    node = spark.createDataFrame([(i, len(sets[i]), i) for i, _ in rows], "doc_id long, n long, c long")
+    pairs = {(r.a, r.b) for r in near_dup._rare_pairs(node, documents(spark, rows).select("doc_id", "text"), 5, 75).collect()}
+    links = {(j, i) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links <= pairs and len(pairs) < len(rows) ** 2 / 8
+
+
+def test_components(spark):
+    """A hub, a long path, loops, nulls and repeated edges."""
+    hub = [(7, k) for k in range(100, 2100)]
+    path = [(k, k + 1) for k in range(5000, 5060)]
+    edges = spark.createDataFrame(hub + path + [(3, 3), (None, 4), (5, None), (7, 100), (100, 7), (2100, 2099)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {7: 7} | {k: 7 for k in range(100, 2101) if k < 2100} | {2100: 7} | {k: 5000 for k in range(5000, 5061)}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def test_drop_near_duplicates_with_clashing_names(spark):
+    table = spark.createDataFrame([(1, PASSAGE, 1, 2), (2, PASSAGE, 1, 2), (3, "other", 1, 2), (None, PASSAGE, 1, 2)], "doc_id long, text string, gone long, _gone long")
+    kept = near_dup.drop_near_duplicates(table)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {1, 3, None}
+
+
 def test_contamination_by_brute_force(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.contamination(docs, items).collect()}
