@@ -117,7 +117,7 @@ g5 AS (SELECT *, CAST(coalesce(sum(take) OVER (PARTITION BY rank ORDER BY shard
 g6 AS (SELECT rank, blocks, unnest(range(first, first + take)) AS k FROM g5),
 slot AS (SELECT rank, blocks, k // blocks AS pass, k % blocks AS x FROM g6),
 times AS (SELECT rank, x AS block, count(*) AS times FROM {_shuffled(6)} GROUP BY 1, 2),
-d1 AS (SELECT size.*, rank, source_size, target, ((doc_id % 1021) + 1021) % 1021 AS part FROM size JOIN src ON size.source IS NOT DISTINCT FROM src.source),
+d1 AS (SELECT size.*, rank, source_size, target, ((doc_id % parts) + parts) % parts AS part FROM (SELECT *, CAST(1021 * (1 + sum(size) OVER () // 8589934592) AS BIGINT) AS parts FROM size) size JOIN src ON size.source IS NOT DISTINCT FROM src.source),
 d2 AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY part, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d1),
 p AS (SELECT doc_id, rank, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM d2 WHERE size > 0),
 t AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * times) AS taken FROM p JOIN times USING (rank, block) GROUP BY 1)

@@ -267,7 +267,29 @@ def test_mixing(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(docs.repartition(7), block=8, slots=64).taken().collect()))
     laid = mix.layout().agg(F.sum("words")).first()[0]
     assert laid == sum(taken.values())
-    assert mixing.mix_sources(docs.limit(0)).taken().count() == 0
+    assert mixing.mix_sources(docs.limit(0)).taken().count() == 0 and mixing.mix_sources(docs.limit(0)).blocks().count() == 0
+
+
+def test_mixed_text(spark):
+    """The blocks read out hold the words of the documents named, as often as taken says; long texts, repeated rows, ties."""
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i % 9 * 7)), f"s{i % 4}") for i in range(40)]
+    rows += [(100, " ".join(f"long{k}" for k in range(30_000)), "s1"), (5, rows[5][1], "s1"), (5, rows[5][1], "s1"), (5, "other words of five", "s1"), (None, "no id here", None), (None, None, None), (7, "   ", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("t", F.lit(1)).withColumn("block", F.lit("x"))
+    mix = mixing.mix_sources(docs, block=16, slots=32)
+    taken = Counter()
+    for r in mix.taken().collect():
+        taken[r.doc_id] += r.taken
+    out = mix.blocks().collect()
+    assert len({(r.shard, r.position) for r in out}) == len(out) and all(r.words == len(words(r.text)) <= 16 for r in out)
+    read, owner = Counter(), {w: i for i, t, _ in rows for w in words(t)}
+    for r in out:
+        read.update(owner[w] for w in words(r.text))
+        assert {owner[w] for w in words(r.text)} <= set(r.doc_ids)
+    assert read == +taken
+    again = mixing.mix_sources(docs.repartition(5), block=16, slots=32).blocks().collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    whole = [r.text for r in out if r.source == "s1" and r.text.startswith("long")]
+    assert all(w == [f"long{k}" for k in range(int(w[0][4:]), int(w[0][4:]) + len(w))] for t in whole for w in [t.split()] if all(x.startswith("long") for x in w))
 
 
 def test_chat_round_trip(spark):
@@ -475,7 +497,33 @@ def test_pipeline(spark, sf):
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     score = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.toxicity_score(model, F.col("text")).alias("s")).collect()}
     out = corpus_pipeline.run(spark, sf).collect()
-    assert out and all(score[r.doc_id] < toxicity.THRESHOLD for r in out) and all(0 < r.taken <= 3 * r.size for r in out)
+    assert out and all(score[i] < toxicity.THRESHOLD for r in out for i in r.doc_ids) and all(0 < r.words == len(words(r.text)) <= 128 for r in out)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, ties, clashing names, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    own = [f"Text number {i} speaks of things{i} and more{i}, then of others{i * 7}. " + " ".join(f"w{i * k % 97}" for k in range(40)) for i in range(30)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(own)]
+    rows += [(0, own[0], "en", "s0", 1), (40, own[1], None, None, None), (41, None, "en", "s0", 0), (42, "", "en", "s1", 0), (None, "a row without an id", None, "s2", 4), (None, None, None, None, None)]
+    labels = [(i, 1, int(i % 6 == 0)) for i in range(20)] + [(None, None, None), (3, 1, None), (3, 1, 0)]
+    items = [(1, " ".join(own[4].split()[8:40])), (2, None), (None, "")]
+    for name, n in (("full", len(rows)), ("empty", 0)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows[:n], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"gone": F.lit(1), "h": F.lit("x"), "_label": F.lit(2)}).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels[:n], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(items[:n], "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, docs, folder)
+            assert kept.columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, folder).collect()
+        if not n:
+            assert out == []
+        else:
+            ids = {i for r in out for i in r.doc_ids}
+            assert 4 not in ids and 40 not in ids and not {41, 42} & ids and len(ids) > 10
 
 
 def test_kernel_sieve_keeps_every_near_match(spark, sf):
