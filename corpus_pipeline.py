@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all rows that
 its predecessor kept. run(spark, sf_dir) applies them to `documents`. All stages but the last return
-the columns of `documents`; the last adds what the mix takes of each document.
+the columns of `documents`; the last returns the mixed text in blocks: shard, position, source,
+doc_ids, words, text.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with source_size, target and taken."""
-    return mix_sources(docs).taken().where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The mixed corpus: a row for each slot of an output shard, with its block of words and the documents that they are of."""
+    return mix_sources(docs).blocks()
 
 
 STAGES = [
