@@ -1,6 +1,7 @@
 """Small fixtures for each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and brute force."""
 
 import hashlib
+import html.parser
 import math
 import re
 import zlib
@@ -359,10 +360,78 @@ def test_html():
     assert show(None) == show("") == show("<style>p{}") == ""
     assert show("a &lt; b < c <b>bold") == "a < b < c bold"
     assert show("<pre>\n a\n  b</pre>") == " a\n  b"
-    assert show('<p style="display: none">no</p><p aria-hidden="true">no</p>yes') == "yes"
+    assert show('<p style="display: none">no</p><p hidden>no</p>yes') == "yes"
     assert len(show("<div>" * 20_000 + "deep")) == 4 and show("<table><tr><td>" * 300 + "in") == "in"
 
 
+class PlainText(html.parser.HTMLParser):
+    """The words of a page that show, by Python's own parser: no layout, but the same visibility."""
+
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+    unseen = set("head script style template noscript title iframe object svg math canvas audio video datalist select option".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "img" and not any(h for _, h in self.open):
+            self.words += (attrs.get("alt") or "").split()
+        if tag not in self.void:
+            style = (attrs.get("style") or "").replace(" ", "").lower()
+            hidden = tag in self.unseen or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
+            if tag == "body":
+                self.open = [x for x in self.open if x[0] != "head"]
+            self.open.append((tag, hidden))
+
+    def handle_endtag(self, tag):
+        at = max((i for i, (t, _) in enumerate(self.open) if t == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words += data.split()
+
+
+def test_html_words_by_another_parser(spark, sf):
+    """Every visible word of every page, and no other, whatever the layout; the marks of lists aside."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    assert len(got) == len(rows) > 20
+    for r in rows:
+        parser = PlainText()
+        parser.feed(r.html or "")
+        parser.close()
+        text = re.sub(r"(?m)^ *(?:-|\d+\.) ", "", got[r.page_id])
+        want, own = Counter("".join(parser.words)), Counter("".join(text.split()))
+        assert sum((want - own).values()) <= 6 and sum((own - want).values()) <= 6, r.page_id
+
+
+def test_html_tables_by_brute_force():
+    """Random grids with cells of several lines and spans: each cell stands at its column's place, all cells are there."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        height, wide = rng.integers(1, 5), rng.integers(1, 5)
+        grid = [[["x" * int(rng.integers(1, 8)) for _ in range(rng.integers(1, 3))] for _ in range(wide)] for _ in range(height)]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td>{'<br>'.join(c)}</td>" for c in row) + "</tr>" for row in grid) + "</table>"
+        width = [max(len(line) for row in grid for line in row[k]) for k in range(wide)]
+        want = []
+        for row in grid:
+            for k in range(max(map(len, row))):
+                want.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, width)).rstrip())
+        assert html_text.visible_text(source) == "\n".join(want)
+    show = html_text.visible_text
+    assert show("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert show("<table><tr><td colspan=1000>wide<td>z<tr><td>a<td>b</table>").split("\n")[1] == "a  b"
+    assert show("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    deep = show("<table><tr><td>k<td>" * 400 + "in")
+    assert deep == "k  " * 400 + "in"
+    assert show("<p aria-hidden=true>seen</p><textarea>a &lt;b\n c</textarea>") == "seen\n\na <b\n c"
+    assert len(show("<table>" + "<tr><td>x<td>" + "y " * 200_000 + "</table>")) > 400_000
+
+
 def test_html_head_without_its_end():
     show = html_text.visible_text
     for first in ("<body><p>text", "<p>text", "<div>text</div>", "text", "<br>text", "</body>text"):
