@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Header fields that a 304 response may set anew (fixed values of RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Stretches of time that the captures of one URL are searched in side by side.
-PARTS = 1024
+#: Stretches of time that the captures of one URL are searched in side by side: at least, and captures of one beyond that.
+PARTS, PART_ROWS = 1024, 1 << 20
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,13 +31,13 @@ def _lower_names(headers: Column) -> Column:
 def latest_response(records: DataFrame) -> DataFrame:
     """(record_id, response_id) of each revisit: the latest full response to the same canonical URL before it.
 
-    An as-of join by windows. The time line is cut into PARTS stretches; within a stretch a
+    An as-of join by windows. The time line is cut into stretches, PARTS or more; within a stretch a
     window finds the last response, and across stretches the last one of any stretch before, of
-    which a URL has PARTS at most. So a URL's captures, however many, are spread over tasks.
+    which a URL has one row each. So a URL's captures, however many, are spread over tasks.
     """
     own = records.where("ts is not null and url_key is not null").select("record_id", "url_key", "ts", "full")
-    low, high = own.agg(F.min("ts"), F.max("ts")).first()
-    width = (high - low) // PARTS + 1 if low is not None else 1
+    low, high, n = own.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    width = (high - low) // max(PARTS, n // PART_ROWS) + 1 if low is not None else 1
     own = own.withColumn("part", F.floor((F.col("ts") - F.lit(low)) / F.lit(width)))
     response = F.when(F.col("full"), F.col("record_id"))
     along = Window.partitionBy("url_key", "part").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +65,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     own = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False)).alias("full"), F.coalesce(F.col("type") == "revisit", F.lit(False)).alias("revisit"), _lower_names(F.col("headers")).alias("headers"), "payload")
     pair = latest_response(own.where("full or revisit").drop("headers", "payload"))
     response = own.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload")
-    found = own.where("revisit").drop("payload").join(pair, "record_id", "left").join(response, "response_id", "left")
+    found = own.where("revisit").drop("payload").join(pair, "record_id", "left")
+    # revisits without a response are spread by their own hash; what they may meet there is dropped
+    met = F.coalesce("found_id", F.xxhash64("record_id", F.lit("none")))
+    found = found.withColumnRenamed("response_id", "found_id").withColumn("met", met).join(response.withColumnRenamed("response_id", "met"), "met", "left")
+    found = found.withColumns({c: F.when(F.col("found_id").isNotNull(), F.col(c)) for c in ("stored", "payload")}).withColumnRenamed("found_id", "response_id").drop("met")
     tag = [F.regexp_replace(F.col(h)["etag"], "^W/", "") for h in ("headers", "stored")]
     date = [F.col(h)["last-modified"] for h in ("headers", "stored")]
     same = F.when(tag[0].isNotNull(), tag[0] == tag[1]).when(date[0].isNotNull(), date[0] == date[1]).otherwise(tag[1].isNull() & date[1].isNull())
