@@ -18,6 +18,8 @@ SHAPES = ((1, 2), (1, 3), (2, 3))
 #: Most points that the length can add to a difference, and that any two digests can differ by.
 LENGTH_POINTS, STEP = 48, (0, 1, 2, 6)
 WORST = 6 * BUCKETS + LENGTH_POINTS
+#: Bytes of text of a stretch of ids, beyond as many as the session has shuffle partitions, and most stretches.
+STRETCH, STRETCHES = 1 << 27, 10_000
 
 
 def digests(texts: Iterable[bytes]) -> list[str]:
@@ -93,7 +95,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text is empty. Repeated rows follow one another. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // STRETCH, STRETCHES))
     marks = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     bounds = np.array(sorted(set(marks)), np.int64)
 

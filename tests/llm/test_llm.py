@@ -305,16 +305,35 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def plain_digest(data):
+    """The digest of bytes, worked out triplet by triplet."""
+    count = [0] * 256
+    for i in range(len(data) - 3):
+        for k, (x, y) in enumerate(((1, 2), (1, 3), (2, 3))):
+            h = (data[i] * 0x9E3779B1 + data[i + x] * 0x85EBCA77 + data[i + y] * 0xC2B2AE3D + 0x27D4EB2F * (k + 1)) % 2**32
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            count[h >> 24] += 1
+    quarters = [sorted(count)[k] for k in (63, 127, 191)]
+    codes = [sum(c > q for q in quarters) for c in count]
+    packed = bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, 256, 4))
+    return f"{min(255, int(10 * math.log(1 + len(data)))):02x}{packed.hex()}"
+
+
+def plain_likeness(one, two):
+    (n, a), (m, b) = ((int(d[:2], 16), [x >> s & 3 for x in bytes.fromhex(d[2:]) for s in (6, 4, 2, 0)]) for d in (one, two))
+    return 1 - (sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a, b)) + min(abs(n - m), 48)) / (6 * 256 + 48)
+
+
 def test_fingerprints_by_brute_force(spark):
-    rows = [(3, "abcdef" * 30), (1, "hello world, this is a text"), (None, None), (2, ""), (5, "é" * 41), (3, "abcdef" * 30), (9, "z")]
+    rows = [(3, "abcdef" * 30), (1, "hello world, this is a text"), (None, None), (2, ""), (5, "\u00e9" * 41), (3, "abcdef" * 30), (9, "z"), (11, "long text " * 20_000), (12, "".join(chr(97 + i * i % 26) for i in range(3000)))]
     out = fingerprint.edit_likeness(documents(spark, rows)).collect()
     order = sorted(((i is not None, i or 0, t or "") for i, t in rows))
     want = []
     for k, (some, i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][2]
         changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        a, b, c = fingerprint.digests(x.encode() for x in (t, changed, after))
-        want.append((i if some else None, len(t), hashlib.sha256(changed.encode()).hexdigest(), a, b, *map(float, fingerprint.likeness([a, a], [b, c]))))
+        a, b, c = (plain_digest(x.encode()) for x in (t, changed, after))
+        want.append((i if some else None, len(t), hashlib.sha256(changed.encode()).hexdigest(), a, b, plain_likeness(a, b), plain_likeness(a, c)))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
     assert fingerprint.edit_likeness(documents(spark, [])).count() == 0
@@ -466,6 +485,23 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_repeated_rows_and_long_payloads(spark):
+    schema = "record_id long, url string, ts long, type string, status int, headers map<string,string>, payload string"
+    rows = [(1, "http://a/x", 1, "response", 200, {"etag": "1"}, "p" * 300_000), (2, "http://a/x", 2, "revisit", 304, {"etag": "1"}, None)] + [(10 + k, f"http://none/{k}", 3, "revisit", 304, {}, None) for k in range(50)]
+    table = spark.createDataFrame([*rows, rows[1]], schema).withColumns({"met": F.lit(0), "found_id": F.lit(1), "stored": F.lit("x")})
+    out = warc.resolve_revisits(table).collect()
+    # record_id is a key: both of the equal rows are answered, each by every match of the key
+    assert {r.record_id for r in out} == {2, *range(10, 60)} and all(len(r.payload) == 300_000 for r in out if r.record_id == 2)
+    assert all(r.verdict == "no response" and r.response_id is None and r.payload is None for r in out if r.record_id >= 10)
+
+
+def test_chat_of_very_long_texts(spark):
+    text = "a line with ### and </turn> in it\n" * 30_000
+    table = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], text) for k in range(4)] + [(None, 0, "assistant", text)], "conv_id long, turn int, role string, text string")
+    back = {r.conv_id: r for r in chat.read_back(chat.format_chats(table)).collect()}
+    assert back[1].loss_chars == 2 * len(text) and back[1].n_turns == 4 and back[None].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_language_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "never zzz seen"), (-3, "never zzz seen")], "doc_id long, text string")
