@@ -15,43 +15,42 @@ MARKS, WIDE = ".!?;:,", "\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001"
 #: Least bytes of all lines of a window together if one of them is a part of a line.
 LEAST = 60
 _SPACE = " \t\r\x0b\x0c"
-PART = rf"(?s).+?(?:[{MARKS}][ \t\r\x0b\x0c]+|[{WIDE}]+|\z)"
+PART = rf"[{MARKS}][ \t\r\x0b\x0c]+|[{WIDE}]+"
+#: Set between lines while they are cut; no text has this code point, which Unicode sets aside for such use.
+CUT = "\ufdd0"
 
 
 def _lines(text: Column) -> Column:
-    """The lines of a text: struct of number (from 0, of the newline-separated line) and text, for each line or part of one.
+    """The lines of a text and, where a line has marks, its parts; each begins with the newline before it, if one is.
 
-    Long lines are cut at marks that belong to the content, so that a passage is cut alike
-    wherever it stands. The parts of a line add up to the line.
+    Lines are cut at marks that belong to the content, so that a passage is cut alike wherever
+    it stands. All of them together are the text.
     """
-    whole = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.flatten(F.transform(whole, lambda x, i: F.transform(F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PART), F.lit(0))), lambda y: F.struct(i.alias("line"), y.alias("text")))))
+    whole = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), PART, f"$0{CUT}"), F.lit("\n"), F.lit(f"{CUT}\n"))
+    # a mark at the end of a line leaves an empty part behind it, which is none
+    return F.filter(F.split(whole, CUT, -1), lambda x, i: (x != "") | (i == 0))
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(id, t, pos, a, b): the place and the 128-bit hash of each window of consecutive lines of docs (id, t, text).
+    """(id, t, n, a, b): for each of docs (id, t, text) its number of lines, and the two halves of the hash of the window that begins at each.
 
     Lines are compared without white space at their ends. A window of blank lines only is none,
-    nor is one with a part of a line in it and under LEAST bytes.
+    nor is one with a part of a line in it and under LEAST bytes; it has nulls.
     """
     blank = F.xxhash64(F.lit(""))
-    own = docs.select("id", "t", _lines(F.col("text")).alias("l"))
-    # whether a line is whole shows by its neighbours: parts of one line have its number
-    line = F.transform("l", lambda x: F.struct(F.trim(x["text"], F.lit(_SPACE)).alias("t"), x["line"].alias("line")))
-    hashed = own.select("id", "t", F.transform(line, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(7), x["t"]).alias("b"), F.octet_length(x["t"]).alias("n"), x["line"].alias("line"))).alias("h"))
+    line = F.transform(_lines(F.col("text")), lambda x: F.struct(F.trim(x, F.lit(_SPACE + "\n")).alias("t"), F.startswith(x, F.lit("\n")).alias("new")))
+    hashed = docs.select("id", "t", F.transform(line, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(7), x["t"]).alias("b"), F.octet_length(x["t"]).alias("n"), x["new"].alias("new"))).alias("h"))
 
     def window(i: Column) -> Column:
-        near = [F.get("h", i + k) for k in range(-1, lines + 1)]
-        own = near[1:-1]
-        some, length, part = own[0]["a"] != blank, own[0]["n"], F.lit(False)
+        own = [F.get("h", i + k) for k in range(lines)]
+        # a line is whole if it and the next begin with a newline; the first of all needs none
+        whole, some, length = F.coalesce(F.get("h", i + lines)["new"], F.lit(True)) & ((i == 0) | own[0]["new"]), own[0]["a"] != blank, own[0]["n"]
         for x in own[1:]:
-            some, length = some | (x["a"] != blank), length + x["n"]
-        for x, y in zip(near, near[1:]):
-            part = part | F.coalesce(x["line"] == y["line"], F.lit(False))
-        return F.struct(i.alias("pos"), F.xxhash64(*(x["a"] for x in own)).alias("a"), F.xxhash64(*(x["b"] for x in own)).alias("b"), (some & (~part | (length >= LEAST))).alias("some"))
+            whole, some, length = whole & x["new"], some | (x["a"] != blank), length + x["n"]
+        return F.when(some & (whole | (length >= LEAST)), F.struct(F.xxhash64(*(x["a"] for x in own)).alias("a"), F.xxhash64(*(x["b"] for x in own)).alias("b")))
 
-    spread = hashed.select("id", "t", F.explode(F.when(F.size("h") >= lines, F.transform(F.sequence(F.lit(0), F.size("h") - lines), window))).alias("w"))
-    return spread.where("w.some").select("id", "t", "w.pos", "w.a", "w.b")
+    windows = hashed.select("id", "t", F.size("h").alias("n"), F.when(F.size("h") >= lines, F.transform(F.sequence(F.lit(0), F.size("h") - lines), window)).alias("w"))
+    return windows.select("id", "t", "n", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
 
 
 def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +59,7 @@ def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES) -> DataFrame:
-    """(id, t, removed): for each document with repeats, the first lines of windows that occurred before.
+    """(id, t, n, removed): for each document its number of lines, and the first lines of windows that occurred before.
 
     Windows are ordered by doc_id (null last), then by place; each but the first of its kind is
     a repeat. First the half-hashes of all windows are counted, ahead of the shuffle as well;
@@ -68,11 +67,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     apart by all 128 bits. Hot windows are joined by broadcasts of at most HOT rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    window = line_windows(own, lines)
+    document = cut(line_windows(own, lines))
+    window = document.select(F.explode("a").alias("a")).where("a is not null")
     twice = cut(window.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot, cold = _split(twice, total)
-    # one pass over the texts: windows with a hot half-hash go where their place's hash sends them, not to its task
+    # in one pass: windows with a hot half-hash go where their place's hash sends them, not to its task
+    window = document.select("id", "t", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "w")).select("id", "t", "pos", "w.a", "w.b").where("a is not null")
     window = window.join(hot.withColumn("hot", F.lit(True)), "a", "left").withColumn("k", F.expr("case when hot then xxhash64(id, t, pos) else a end"))
     window = window.join(cold.select(F.col("a").alias("k"), F.lit(True).alias("cold")), "k", "left").where("hot or (hot is null and cold)")
     window = cut(window.select("id", "t", "pos", "a", "b"))
@@ -83,7 +84,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot, cold = _split(many, total)
     found = window.join(hot, ["a", "b"]).where(later).select("id", "t", "pos")
     found = found.union(window.join(hot, ["a", "b"], "left_anti").join(cold, ["a", "b"]).where(later).select("id", "t", "pos"))
-    return found.groupBy("id", "t").agg(F.collect_set("pos").alias("removed"))
+    # a document is known by its row; of several that agree in id and text, one will do
+    found = found.withColumn("n", F.lit(None).cast("int")).union(document.select("id", "t", F.lit(None).cast("int").alias("pos"), "n"))
+    return found.groupBy("id", "t").agg(F.max("n").alias("n"), F.collect_set("pos").alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -102,24 +105,25 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that agree in doc_id and text are one document: they repeat nothing of each other, and
     get the same result. Rows with a null doc_id come last in order.
     """
-    gone_id, gone_t, gone = fresh(docs, "gone_id", "gone_t", "gone")
-    found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone))
+    gone_id, gone_t, gone, number = fresh(docs, "gone_id", "gone_t", "gone", "number")
+    found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone), F.col("n").alias(number))
+    if not counts:
+        found = found.where(F.size(gone) > 0)
     own = docs.join(found, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_t)), "left")
-    line = _lines(F.col(text_col))
     covered = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p, p + (lines - 1)))))
 
     def bound(value: Column, use) -> Column:
         """use(value) with value worked out once, however often use has it."""
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def rest(k: Column) -> Column:
-        """The lines of k, with newlines where one lay between."""
-        return F.array_join(F.transform(k, lambda x, i: F.concat(F.when((i > 0) & (F.get(k, i - 1)["line"] != x["line"]), "\n").otherwise(""), x["text"])), "")
+    def rest(a: Column) -> Column:
+        """What is left of the lines a: a newline stands between two wherever one lay between them."""
+        # each line's number of newlines before it is counted by those that begin with one
+        kept = bound(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), covered), lambda k: F.transform(k, lambda i, j: F.struct(F.get(a, i).alias("x"), (i > F.get(k, j - 1) + 1).alias("apart"), F.slice(a, F.get(k, j - 1) + 2, i - F.get(k, j - 1) - 1).alias("between"))))
+        return F.array_join(F.transform(kept, lambda x, j: F.when(j == 0, F.ltrim(x["x"], F.lit("\n"))).when(x["apart"] & ~F.startswith(x["x"], F.lit("\n")) & F.exists(x["between"], lambda y: F.startswith(y, F.lit("\n"))), F.concat(F.lit("\n"), x["x"])).otherwise(x["x"])), "")
 
-    # differences of arrays go by a hash set, so a long document costs no more a line than a short one
-    kept = bound(line, lambda a: bound(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), covered), lambda k: F.transform(k, lambda i: F.get(a, i))))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(bound(kept, rest))
+    text = F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.col(text_col)).otherwise(bound(_lines(F.col(text_col)), rest))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
-        out += [F.size(line).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
+        out += [F.col(number).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
     return own.select(*out)
