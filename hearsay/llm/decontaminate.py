@@ -88,24 +88,23 @@ class BlockLists:
             listed = (prints.view(np.uint16)[b::_BLOCKS, None] ^ self.own).reshape(-1)
             order = np.argsort(listed, kind="stable")
             first = np.searchsorted(listed[order], np.arange((1 << 16) + 1)).astype(np.int32)
-            self.lists.append((first, (order // len(self.own)).astype(np.int32)))
+            self.lists.append((first, np.diff(first) > 0, (order // len(self.own)).astype(np.int32)))
 
     def within(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in query, place in prints) of all pairs within the radius."""
         pairs = []
-        for b, (first, listed) in enumerate(self.lists):
+        for b, (first, filled, listed) in enumerate(self.lists):
             value = query.view(np.uint16)[b::_BLOCKS]
-            for mask in self.asked:
-                v = value ^ mask
-                n = first[v.astype(np.int64) + 1] - first[v]
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                n = n[some]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                q, p = np.repeat(some, n), listed[np.repeat(first[v[some]], n) + step]
-                close = np.bitwise_count(query[q] ^ self.prints[p]) <= self.radius
-                pairs.append(q[close] * len(self.prints) + p[close])
+            value = value if len(self.asked) == 1 else (value[:, None] ^ self.asked).reshape(-1)
+            some = np.flatnonzero(np.take(filled, value))
+            if not len(some):
+                continue
+            at = first[value[some]]
+            n = first[value[some].astype(np.int64) + 1] - at
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            q, p = np.repeat(some // len(self.asked), n), listed[np.repeat(at, n) + step]
+            close = np.bitwise_count(query[q] ^ self.prints[p]) <= self.radius
+            pairs.append(q[close] * len(self.prints) + p[close])
         found = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
         return found // max(len(self.prints), 1), found % max(len(self.prints), 1)
 
