@@ -2,55 +2,62 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.lineage import cut, fresh
+from hearsay.llm.lineage import cut, fresh, stored
 
 LINES = 3
 #: A window is hot above this share of all repeats, so there are at most HOT hot ones to broadcast.
 HOT = 1000
-#: A line is cut after these marks where white space follows, and after wide marks anywhere.
-MARKS, WIDE = ".!?;:,", "\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001"
+#: A line is cut after these marks where a space follows, and after wide marks anywhere.
+MARKS, WIDE = ".!?,", "\u3002\uff01\uff1f\uff0c"
 #: Least bytes of all lines of a window together if one of them is a part of a line.
 LEAST = 60
-_SPACE = " \t\r\x0b\x0c"
-PART = rf"[{MARKS}][ \t\r\x0b\x0c]+|[{WIDE}]+"
 #: Set between lines while they are cut; no text has this code point, which Unicode sets aside for such use.
 CUT = "\ufdd0"
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a text and, where a line has marks, its parts; each begins with the newline before it, if one is.
+def _marked(text: Column) -> Column:
+    """A text with CUT after each mark and before each newline.
 
     Lines are cut at marks that belong to the content, so that a passage is cut alike wherever
-    it stands. All of them together are the text.
+    it stands.
     """
-    whole = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), PART, f"$0{CUT}"), F.lit("\n"), F.lit(f"{CUT}\n"))
-    # a mark at the end of a line leaves an empty part behind it, which is none
-    return F.filter(F.split(whole, CUT, -1), lambda x, i: (x != "") | (i == 0))
+    out = F.coalesce(text, F.lit(""))
+    for m in (*(f"{m} " for m in MARKS), *WIDE):
+        out = F.replace(out, F.lit(m), F.lit(m + CUT))
+    # a mark at the end of a line leaves nothing behind it
+    return F.replace(F.replace(out, F.lit("\n"), F.lit(f"{CUT}\n")), F.lit(CUT + CUT), F.lit(CUT))
 
 
-def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(id, t, n, a, b): for each of docs (id, t, text) its number of lines, and the two halves of the hash of the window that begins at each.
+def _number(marked: Column) -> Column:
+    """How many lines, counting the parts of one as such; nothing is left behind a mark at the end."""
+    return F.size(F.split(marked, CUT, -1)) - F.endswith(marked, F.lit(CUT)).cast("int")
 
-    Lines are compared without white space at their ends. A window of blank lines only is none,
-    nor is one with a part of a line in it and under LEAST bytes; it has nulls.
-    """
-    blank = F.xxhash64(F.lit(""))
-    line = F.transform(_lines(F.col("text")), lambda x: F.struct(F.trim(x, F.lit(_SPACE + "\n")).alias("t"), F.startswith(x, F.lit("\n")).alias("new")))
-    hashed = docs.select("id", "t", F.transform(line, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(7), x["t"]).alias("b"), F.octet_length(x["t"]).alias("n"), x["new"].alias("new"))).alias("h"))
 
-    def window(i: Column) -> Column:
-        own = [F.get("h", i + k) for k in range(lines)]
-        # a line is whole if it and the next begin with a newline; the first of all needs none
-        whole, some, length = F.coalesce(F.get("h", i + lines)["new"], F.lit(True)) & ((i == 0) | own[0]["new"]), own[0]["a"] != blank, own[0]["n"]
-        for x in own[1:]:
-            whole, some, length = whole & x["new"], some | (x["a"] != blank), length + x["n"]
-        return F.when(some & (whole | (length >= LEAST)), F.struct(F.xxhash64(*(x["a"] for x in own)).alias("a"), F.xxhash64(*(x["b"] for x in own)).alias("b")))
+def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
+    """(id, t, pos, a, b): the place and the two parts, of 64 and 32 bits, of the hash of each window of consecutive lines of docs (id, t, text).
 
-    windows = hashed.select("id", "t", F.size("h").alias("n"), F.when(F.size("h") >= lines, F.transform(F.sequence(F.lit(0), F.size("h") - lines), window)).alias("w"))
-    return windows.select("id", "t", "n", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    Lines are compared without white space at their ends, with tabs and returns as spaces. A
+    window of blank lines only is none, nor is one with a part of a line in it and under LEAST
+    bytes.
+    """
+    plain = _marked(F.col("text"))
+    for c in "\t\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    # one row for each line, with all lines at hand, so that windows are worked out by generated code
+    text = docs.select("id", "t", plain.alias("m")).select("id", "t", F.split("m", CUT, -1).alias("l"), _number(F.col("m")).alias("n"))
+    line = text.select("id", "t", "l", "n", F.posexplode("l").alias("pos", "x")).where(F.col("pos") <= F.col("n") - lines)
+    near = [F.col("x"), *(F.get("l", F.col("pos") + k) for k in range(1, lines + 1))]
+    own = [F.trim(F.ltrim(x, F.lit("\n"))) for x in near[:lines]]
+    # a line is whole if it and the next begin with a newline; the first of all needs none
+    new = [F.startswith(x, F.lit("\n")) for x in near]
+    whole = ((F.col("pos") == 0) | new[0]) & functools.reduce(lambda p, q: p & q, new[1:lines]) & ((F.col("pos") + lines == F.col("n")) | new[lines])
+    length = functools.reduce(lambda p, q: p + q, (F.octet_length(x) for x in own))
+    return line.where((length > 0) & (whole | (length >= LEAST))).select("id", "t", "pos", F.xxhash64(*own).alias("a"), F.hash(F.lit(7), *own).alias("b"))
 
 
 def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -59,24 +66,22 @@ def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES) -> DataFrame:
-    """(id, t, n, removed): for each document its number of lines, and the first lines of windows that occurred before.
+    """(id, t, removed): for each document with repeats, the first lines of windows that occurred before.
 
     Windows are ordered by doc_id (null last), then by place; each but the first of its kind is
-    a repeat. First the half-hashes of all windows are counted, ahead of the shuffle as well;
-    then the windows whose half-hash is not the only one of its kind, and these alone, are told
-    apart by all 128 bits. Hot windows are joined by broadcasts of at most HOT rows.
+    a repeat. Windows are written once, as a table. Their 64-bit hashes are counted, ahead of the
+    shuffle as well; then the windows whose hash is not the only one of its kind, and these
+    alone, are told apart by all 96 bits. Hot windows are joined by broadcasts of at most HOT rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    document = cut(line_windows(own, lines))
-    window = document.select(F.explode("a").alias("a")).where("a is not null")
+    window = stored(line_windows(own, lines))
     twice = cut(window.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot, cold = _split(twice, total)
-    # in one pass: windows with a hot half-hash go where their place's hash sends them, not to its task
-    window = document.select("id", "t", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "w")).select("id", "t", "pos", "w.a", "w.b").where("a is not null")
-    window = window.join(hot.withColumn("hot", F.lit(True)), "a", "left").withColumn("k", F.expr("case when hot then xxhash64(id, t, pos) else a end"))
-    window = window.join(cold.select(F.col("a").alias("k"), F.lit(True).alias("cold")), "k", "left").where("hot or (hot is null and cold)")
-    window = cut(window.select("id", "t", "pos", "a", "b"))
+    # a window with a hot hash goes where its place's hash sends it, and keeps the hot one beside
+    window = window.join(hot.withColumn("hot", F.col("a")), "a", "left").select(F.expr("case when hot is null then a else xxhash64(id, t, pos) end").alias("k"), "hot", "id", "t", "pos", "b")
+    window = window.join(cold.select(F.col("a").alias("k"), F.lit(True).alias("cold")), "k", "left").where("hot is not null or cold")
+    window = stored(window.select("id", "t", "pos", F.coalesce("hot", "k").alias("a"), "b"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "t", "pos")
     # rows that agree in id and text have each window more than once, in one place
     many = cut(window.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
@@ -84,16 +89,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot, cold = _split(many, total)
     found = window.join(hot, ["a", "b"]).where(later).select("id", "t", "pos")
     found = found.union(window.join(hot, ["a", "b"], "left_anti").join(cold, ["a", "b"]).where(later).select("id", "t", "pos"))
-    # a document is known by its row; of several that agree in id and text, one will do
-    found = found.withColumn("n", F.lit(None).cast("int")).union(document.select("id", "t", F.lit(None).cast("int").alias("pos"), "n"))
-    return found.groupBy("id", "t").agg(F.max("n").alias("n"), F.collect_set("pos").alias("removed"))
+    return found.groupBy("id", "t").agg(F.collect_set("pos").alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lines: int = LINES, counts: tuple[str, str] | None = None) -> DataFrame:
     """docs with the lines left out that a repeated window of `lines` lines covers; all columns and rows stay.
 
     A line goes if any window that occurred before, in an earlier document or above, covers it;
-    overlapping windows merge. A line with marks in it (MARKS before white space, or WIDE)
+    overlapping windows merge. A line with marks in it (MARKS before a space, or WIDE)
     counts as several, one up to each mark, so a passage that repeats on one long line, or
     that begins and ends within lines, goes too, but for what stands at its ends short of a
     mark. A document that loses all its lines keeps an empty text. With counts, two columns of
@@ -105,10 +108,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that agree in doc_id and text are one document: they repeat nothing of each other, and
     get the same result. Rows with a null doc_id come last in order.
     """
-    gone_id, gone_t, gone, number = fresh(docs, "gone_id", "gone_t", "gone", "number")
-    found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone), F.col("n").alias(number))
-    if not counts:
-        found = found.where(F.size(gone) > 0)
+    gone_id, gone_t, gone = fresh(docs, "gone_id", "gone_t", "gone")
+    found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone))
     own = docs.join(found, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_t)), "left")
     covered = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p, p + (lines - 1)))))
 
@@ -122,8 +123,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         kept = bound(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), covered), lambda k: F.transform(k, lambda i, j: F.struct(F.get(a, i).alias("x"), (i > F.get(k, j - 1) + 1).alias("apart"), F.slice(a, F.get(k, j - 1) + 2, i - F.get(k, j - 1) - 1).alias("between"))))
         return F.array_join(F.transform(kept, lambda x, j: F.when(j == 0, F.ltrim(x["x"], F.lit("\n"))).when(x["apart"] & ~F.startswith(x["x"], F.lit("\n")) & F.exists(x["between"], lambda y: F.startswith(y, F.lit("\n"))), F.concat(F.lit("\n"), x["x"])).otherwise(x["x"])), "")
 
-    text = F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.col(text_col)).otherwise(bound(_lines(F.col(text_col)), rest))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(bound(F.filter(F.split(_marked(F.col(text_col)), CUT, -1), lambda x, i: (x != "") | (i == 0)), rest))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
-        out += [F.col(number).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
+        out += [_number(_marked(F.col(text_col))).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
     return own.select(*out)

@@ -9,7 +9,7 @@ from hearsay.llm import chat, language_model, toxicity, warc
 from hearsay.llm.decontaminate import contamination
 from hearsay.llm.fingerprint import edit_likeness
 from hearsay.llm.html_text import extract_text
-from hearsay.llm.line_dedup import LEAST, PART, drop_repeated_lines
+from hearsay.llm.line_dedup import LEAST, MARKS, WIDE, drop_repeated_lines
 from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
 
@@ -81,7 +81,10 @@ QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fing
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
-_SPACE = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+_SPACE = "chr(9) || chr(13)"
+_MARKED = "x"
+for _m in (*(f"{m} " for m in MARKS), *WIDE):
+    _MARKED = f"replace({_MARKED}, '{_m}', '{_m}' || chr(64976))"
 _H = "CAST('0x' || substring(md5(concat_ws(':', {})), 1, 15) AS BIGINT)"
 
 
@@ -152,9 +155,9 @@ FROM v
 """,
     "op9_line_dedup": f"""
 WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
-y AS (SELECT doc_id, line, CASE WHEN x = '' THEN [''] ELSE list_filter(string_split(regexp_replace(x, '{PART}', '\\0' || chr(64976), 'g'), chr(64976)), lambda y: y <> '') END AS y FROM x),
+y AS (SELECT doc_id, line, CASE WHEN x = '' THEN [''] ELSE list_filter(string_split({_MARKED}, chr(64976)), lambda y: y <> '') END AS y FROM x),
 p AS (SELECT doc_id, line, unnest(y) AS p, generate_subscripts(y, 1) AS part FROM y),
-n AS (SELECT doc_id, line, p, trim(p, {_SPACE}) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) AS i, count(*) OVER (PARTITION BY doc_id, line) > 1 AS cut FROM p),
+n AS (SELECT doc_id, line, p, trim(translate(p, {_SPACE}, '  ')) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) AS i, count(*) OVER (PARTITION BY doc_id, line) > 1 AS cut FROM p),
 w AS (SELECT doc_id, i, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3, cut OR lead(cut) OVER o OR lead(cut, 2) OVER o AS cut FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 k AS (SELECT doc_id, i, t1 || chr(10) || t2 || chr(10) || t3 AS k FROM w WHERE t3 IS NOT NULL AND (t1 <> '' OR t2 <> '' OR t3 <> '') AND (NOT cut OR strlen(t1) + strlen(t2) + strlen(t3) >= {LEAST})),
 r AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),

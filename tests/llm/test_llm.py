@@ -232,7 +232,7 @@ def test_lines(spark):
 def test_lines_of_passages_within_lines(spark):
     """Passages of over 50 words that stand on one line, begin and end within lines, or are laid out otherwise."""
     one = "Here it begins and goes on for some words, then it turns a corner. " + " ".join(f"word{i}" + "," * (i % 9 == 8) for i in range(40)) + ". It closes with a sentence that all share."
-    rows = [(1, f"Some text of its own. {one}\nmore"), (2, f"Other words, all new. {one} And an end."), (3, f"a\n{one}\nb"), (4, f"{one}\n{one}"), (5, "Nothing, of this. Is here, at all; and it goes on for long, with no repeat"), (6, f"x\x1ey. {one} q\x1er"), (7, PASSAGE), (8, f"a\n{PASSAGE}\nb")]
+    rows = [(1, f"Some text of its own. {one}\nmore"), (2, f"Other words, all new. {one} And an end."), (3, f"a\n{one}\nb"), (4, f"{one}\n{one}"), (5, "Nothing, of this. Is here, at all, and it goes on for long, with no repeat"), (6, f"x\x1ey. {one} q\x1er"), (7, PASSAGE), (8, f"a\n{PASSAGE}\nb")]
     out = {r.doc_id: (r.text, r.a, r.b) for r in line_dedup.drop_repeated_lines(documents(spark, rows), counts=("a", "b")).collect()}
     assert out[1][0] == rows[0][1] and out[1][2] == 0 and out[5][0] == rows[4][1]
     assert out[2][0] == "Other words, all new. And an end." and out[3][0] == "a\nb" and out[4][0] == ""
