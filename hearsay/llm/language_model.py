@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm import textops as tx
-from hearsay.llm.lineage import cut
+from hearsay.llm.lineage import stored
 
 #: Outcomes of a digit, features of a token, and frequent words that have a leaf each.
 BASE, FEATURES, KNOWN = 16, 5, 1024
 #: Tokens for each leaf and for each row of a feature table, and the bounds of depth and of a table's rows (as powers of two). The upper bounds keep the weights under 350 MB.
-LEAF_TOKENS, ROW_TOKENS, DEPTHS, ROW_BITS = 1024, 8192, (2, 5), (13, 16)
-#: Training tokens of a lane for each row, rate of the gradient steps, and the squares that they begin with.
-LANE_TOKENS, RATE, SQUARE = 512, 0.15, 0.1
+LEAF_TOKENS, ROW_TOKENS, DEPTHS, ROW_BITS = 1 << 16, 1 << 15, (3, 5), (13, 16)
+#: For each row of a table: training tokens of a lane, and tokens of a gradient step; rate of the steps, and the squares that they begin with.
+LANE_TOKENS, STEP, RATE, SQUARE = 1024, 4, 0.15, 0.1
 #: Characters of text that are scored together, and chunks of a task beyond the session's number of tasks.
 CHUNK, TASK_CHUNKS = 4_000_000, 16
 #: Least number of parts of the counts, and tokens of a part beyond that.
@@ -109,8 +109,10 @@ class Model:
         """For the k-th digit of leaves: the digits before as one number, the digit, and the rows of the weights [feature, token]."""
         path = leaf // BASE ** (self.depth - 1 - k)
         before = path // BASE
-        row = tx.mix(history + (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77 * k + 1))) >> np.uint64(64 - self.row_bits)
-        return before, path % BASE, row.astype(np.int64)
+        row = history ^ (before.astype(np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        row *= np.uint64(0xD6E8FEB86659FD93)
+        row >>= np.uint64(64 - self.row_bits)
+        return before, path % BASE, row.view(np.int64)
 
     def distribution(self, k: int, before: np.ndarray, row: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Probabilities of all outcomes of the k-th digit: [token, outcome]."""
@@ -146,8 +148,12 @@ class Model:
             error = np.ascontiguousarray(z.T, np.float64)
             for f in range(FEATURES):
                 g = np.stack([np.bincount(row[f], weights=e, minlength=rows) for e in error], axis=1).astype(np.float32)
-                squares[k, f] += g * g
-                weights[k, f] -= np.float32(RATE) * g / np.sqrt(squares[k, f])
+                square = g * g
+                squares[k, f] += square
+                np.sqrt(squares[k, f], out=square)
+                g /= square
+                g *= np.float32(RATE)
+                weights[k, f] -= g
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -220,8 +226,8 @@ def _trained(docs: DataFrame, model: Model, part: str, share: float) -> np.ndarr
 
     Texts are dealt to lanes by a hash of the row and come in its order, so a lane's steps do not
     depend on how the table was partitioned. A lane starts from the model's weights and takes one
-    step for as many tokens as a table has rows. What lanes return are blocks of weights, summed
-    in two steps, each in order of lanes, so that no task gets all.
+    step for STEP times as many tokens as a table has rows. What lanes return are blocks of weights
+    in half precision, summed in two steps, each in order of lanes, so that no task gets all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = 1 << model.row_bits
@@ -230,13 +236,13 @@ def _trained(docs: DataFrame, model: Model, part: str, share: float) -> np.ndarr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         weights, squares = own.weights.copy(), np.full(own.weights.shape, SQUARE, np.float32)
-        seen, lane, held, n = 0, 0, [], 0
+        seen, lane, held, n, batch_size = 0, 0, [], 0, STEP * rows
 
         def step() -> None:
             leaf, history = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
-            stop = len(leaf) if last else len(leaf) // rows * rows
-            for at in range(0, stop, rows):
-                own.learn(weights, squares, leaf[at : at + rows], history[:, at : at + rows])
+            stop = len(leaf) if last else len(leaf) // batch_size * batch_size
+            for at in range(0, stop, batch_size):
+                own.learn(weights, squares, leaf[at : at + batch_size], history[:, at : at + batch_size])
             held[:] = [(leaf[stop:], history[:, stop:])]
 
         last = False
@@ -247,28 +253,33 @@ def _trained(docs: DataFrame, model: Model, part: str, share: float) -> np.ndarr
                 word, ending, by_row = tokens(batch.column(0)[some])
                 held.append((own.leaves(word, ending), own.histories(word, ending, by_row)))
                 seen, n = seen + len(word), n + len(word)
-                if n >= rows:
+                if n >= batch_size:
                     step()
                     n = len(held[0][0])
         if seen:
             last = True
             step()
-            data = [x.tobytes() for x in np.split((weights * np.float64(seen)).astype(np.float32).reshape(-1), _BLOCKS)]
+            data = [x.tobytes() for x in np.split(weights.astype(np.float16).reshape(-1), _BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([lane] * _BLOCKS, pa.int64()), pa.array([lane % 32] * _BLOCKS, pa.int64()), pa.array([seen] * _BLOCKS, pa.int64()), pa.array(data, pa.binary())], ["block", "lane", "group", "seen", "data"])
 
-    def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by("lane")
-        total = np.zeros(len(table["data"][0].as_py()) // 4)
-        for x in table["data"]:
-            total += np.frombuffer(x.as_py(), np.float32)
-        return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "group": table["group"][:1], "seen": pa.array([sum(table["seen"].to_pylist())], pa.int64()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    def add(kind: type):
+        def summed(table: pa.Table) -> pa.Table:
+            """Weights of lanes times their tokens, or such sums, added up."""
+            table = table.sort_by("lane")
+            total = 0.0
+            for x, n in zip(table["data"], table["seen"].to_pylist()):
+                own = np.frombuffer(x.as_py(), kind).astype(np.float64)
+                total = total + (own * n if kind is np.float16 else own)
+            return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "group": table["group"][:1], "seen": pa.array([sum(table["seen"].to_pylist())], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+
+        return summed
 
     schema = "block int, lane long, group long, seen long, data binary"
     out = docs.where(part).select("text", F.pmod("h", F.lit(lanes)).alias("lane"), "h").repartitionById(lanes, F.col("lane").cast("int")).sortWithinPartitions("h", "text").select("text", "lane").mapInArrow(run, schema)
-    out = out.groupBy("block", "group").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+    out = out.groupBy("block", "group").applyInArrow(add(np.float16), schema).groupBy("block").applyInArrow(add(np.float64), schema).collect()
     if not out:
         return model.weights
-    return np.concatenate([np.frombuffer(r.data, np.float32) / np.float64(r.seen) for r in sorted(out, key=lambda r: r.block)]).reshape(model.weights.shape).astype(np.float32)
+    return np.concatenate([np.frombuffer(r.data) / r.seen for r in sorted(out, key=lambda r: r.block)]).reshape(model.weights.shape).astype(np.float32)
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -280,7 +291,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     alone. Null texts are empty. Other columns only spread rows that have equal texts.
     """
     own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(*(F.col(c).cast("string") for c in sorted(docs.columns)), F.lit("fit")).alias("h"))
-    counts = cut(word_counts(own))
+    counts = stored(word_counts(own))
     end = int(np.array([END]).view(np.int64)[0])
     total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     depth = next((d for d in range(*DEPTHS) if BASE**d * LEAF_TOKENS >= total), DEPTHS[1])

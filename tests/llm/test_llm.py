@@ -560,8 +560,8 @@ def test_language_model_score_by_a_plain_model(spark):
             before, y = int(leaf) // 16 ** (model.depth - k), int(leaf) // 16 ** (model.depth - 1 - k) % 16
             z = np.array(model.bias[k][before], float)
             for f in range(language_model.FEATURES):
-                h = (int(history[f]) + before * 0x9E3779B97F4A7C15 + 77 * k + 1) % 2**64
-                z += model.weights[k, f, int(language_model.tx.mix(np.array([h], np.uint64))[0]) >> (64 - model.row_bits)]
+                h = (int(history[f]) ^ (before + (k << 32)) * 0x9E3779B97F4A7C15 % 2**64) * 0xD6E8FEB86659FD93 % 2**64
+                z += model.weights[k, f, h >> (64 - model.row_bits)]
             p *= math.exp(z[y]) / sum(map(math.exp, z))
         return p
 
