@@ -70,7 +70,8 @@ def shard_counts(source: DataFrame, tasks: int, slots: int = SLOTS, seed: int =
     shard = source.groupBy("n", "shards", "wide").count().where("n > 0").select("n", "wide", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard")).repartition(tasks, "shard")
     slot = shard.select("shard", "wide", "n", F.explode(F.expr(f"sequence(0L, least({slots}L, n - shard * {slots}L) - 1)")).alias("slot"))
     slot = slot.withColumn("u", F.expr(f"{_hash(repr(str(seed)), 'shard', 'slot')} % n")).withColumn("cell", F.expr("u div wide"))
-    drawn = slot.join(cell, "cell").where("u >= low and u < high").groupBy("shard", "rank").agg(F.count("*").alias("drawn"))
+    # a row for each source and cell
+    drawn = slot.join(F.broadcast(cell), "cell").where("u >= low and u < high").groupBy("shard", "rank").agg(F.count("*").alias("drawn"))
     grid = source.where("slots > 0").select("rank", "blocks", "slots", "shards", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"))
     grid = cut(grid.join(drawn, ["shard", "rank"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("stretch", F.expr(f"shard div {STRETCH}")))
     stretch = grid.groupBy("rank", "stretch").agg(F.sum("drawn").alias("sum"))

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import textops as tx
 from hearsay.llm.components import connected_components, spread_join
-from hearsay.llm.lineage import cut, fresh
+from hearsay.llm.lineage import cut, fresh, stored
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
 #: Bits kept of each signature value, and longs of a set's bit map.
 BITS, MAP = 3, 32
 #: Comparisons a member of a bucket beyond which rare shingles choose the pairs.
-CROSS = 32
+CROSS = 128
+#: Documents that have a shingle before it counts as common, and most shingles that do; most ids of a broadcast.
+RARE, COMMON, FEW = 16, 500_000, 2_000_000
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -137,34 +139,62 @@ def _roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): pairs of documents (doc_id, n, c) of different components c that share a rare shingle, every linked pair among them.
 
-    A document's shingles are ordered by the number of documents that have them, rarest first. Of
-    a linked pair, the larger document has one of the smaller's first 1 - 2p / (1 + p) of its
+    A document's shingles are ordered by the number of documents that have them, rarest first; of
+    that number only the level of the at most COMMON most common ones counts. Of a linked pair, the larger document has one of the smaller's first 1 - 2p / (1 + p) of its
     shingles among its own first 1 - p, and places that leave room for what both must share. So
     documents that are alike in what many others have too never meet. A shingle of many documents
     is split into lanes.
     """
 
-    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = node.join(texts, "doc_id") if node.count() > FEW else texts.join(F.broadcast(node), "doc_id")
+    own = own.select("doc_id", "n", "c", "text")
+
+    def spelt(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and value of the distinct shingles of each row, by row and value."""
+        value, at = tx.shingles(*tx.words(column), shingle)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        return row[new], value[new]
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.row_slices(batch.column(3), 1 << 23):
+                value, n = np.unique(spelt(batch.column(3)[part])[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([tx.signed(value), pa.array(n.astype(np.int64))], ["s", "k"])
+
+    many = stored(own.mapInArrow(tally, "s long, k long").groupBy("s").agg(F.sum("k").alias("df")).where(f"df > {RARE}").withColumn("level", F.expr("cast(floor(log2(df)) as int)")))
+    # any set of shingles may come last in the order, as long as it is the same for all documents
+    level, kept = 64, 0
+    for r in sorted(many.groupBy("level").count().collect(), key=lambda r: -r.level):
+        kept += r["count"]
+        if kept > COMMON:
+            break
+        level = r.level
+    table = many.where(F.col("level") >= level).select("s", "level").toArrow().sort_by("s")
+    shared = node.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), table["level"].to_numpy()))
+
+    def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, level = shared.value
         for batch in batches:
-            for part in tx.row_slices(batch.column(3)):
-                own, at = tx.shingles(*tx.words(batch.column(3)[part]), shingle)
-                # distinct shingles by row: sort by row, then value
-                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                order = np.lexsort((own, row))
-                row, own = row[order], own[order]
-                new = np.ones(len(own), bool)
-                new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1])
-                row = pa.array(row[new])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[part].take(row) for k in range(3)), tx.signed(own[new])], ["doc_id", "n", "c", "s"])
-
-    spelt = cut(node.join(texts, "doc_id").select("doc_id", "n", "c", "text").mapInArrow(spell, "doc_id long, n long, c long, s long"))
-    many = spelt.groupBy("s").agg(F.count("*").alias("n"))
-    total = spelt.count()
-    spread = spread_join(spelt.select("doc_id", F.col("n").alias("size"), "c", "s"), many.select("s", "n", F.col("n").alias("df")), "s", total)
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s")))
-    ranked = cut(ranked.where(f"df > 1 and rank <= size - (size * {percent} + 99) div 100 + 1"))
+            for part in tx.row_slices(batch.column(3), 1 << 23):
+                row, value = spelt(batch.column(3)[part])
+                at = np.minimum(np.searchsorted(common, value.view(np.int64)), max(len(common) - 1, 0))
+                known = np.where(common[at] == value.view(np.int64), level[at], 0) if len(common) else np.zeros(len(value), np.int64)
+                order = np.lexsort((value, known, row))
+                row, value = row[order], value[order]
+                size = np.bincount(row, minlength=part.stop - part.start)[row]
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                first = rank <= size - -(-size * percent // 100) + 1
+                row = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part].take(row), pa.array(size[first]), batch.column(2)[part].take(row), tx.signed(value[first]), pa.array(rank[first])], ["doc_id", "size", "c", "s", "rank"])
+
+    ranked = stored(own.mapInArrow(begin, "doc_id long, size long, c long, s long, rank long"))
+    total = ranked.count()
     lanes = ranked.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "n", F.expr("1 + n div 1000").alias("lanes"))
-    met = spread_join(ranked.drop("df"), lanes, "s", total)
+    met = spread_join(ranked, lanes, "s", total)
     probe = met.withColumn("lane", F.expr("pmod(xxhash64(doc_id), lanes)")).alias("x")
     index = met.where(f"rank <= size - (size * {2 * percent} + {99 + percent}) div {100 + percent} + 1").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y")
     larger = F.expr("x.size > y.size or (x.size = y.size and x.doc_id > y.doc_id)")
@@ -173,6 +203,15 @@ def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return pair.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """similarities of pairs, for which only the texts of their documents are shuffled if a check finds their ids few enough to broadcast."""
+    pairs = stored(pairs)
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    if ids.count() <= FEW:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return stored(similarities(pairs, texts, shingle=shingle))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -199,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text = texts.where("doc_id is not null")
-    sig = cut(signatures(texts, shingle=shingle, rows=rows, bands=bands))
+    sig = stored(signatures(texts, shingle=shingle, rows=rows, bands=bands))
     node = sig.where("doc_id is not null and n_shingles > 0")
     classes = node.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
     first = node.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -218,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = met.select(F.struct("doc_id", F.col("size").alias("n"), "bits").alias("x"), "y").where((F.col("x.doc_id") != F.col("y.doc_id")) & _promising("x", "y", values, percent))
     # the hub comes first, so that its text is read once for all that it meets
     pair = _roomy(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), own, percent)
-    spoke = cut(similarities(pair, text, shingle=shingle))
+    spoke = _confirmed(pair, text, shingle)
     link = spoke.where(_linked(percent)).select("a", "b")
     found = connected_components(link)
 
@@ -235,11 +274,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ]
     pair = near[0].select("x.doc_id", F.col("y.doc_id").alias("other")).union(near[1].select("x.doc_id", F.col("y.doc_id").alias("other")))
     pair = pair.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    crowd = left.where("hot").select("doc_id", "n", "c").distinct()
+    crowd = stored(left.where("hot").select("doc_id", "n", "c").distinct())
     if not crowd.isEmpty():
         pair = pair.union(_rare_pairs(crowd, text, shingle, percent)).distinct()
     pair = _roomy(pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), own, percent)
-    more = cut(similarities(pair, text, shingle=shingle).where(_linked(percent)).select("a", "b"))
+    more = _confirmed(pair, text, shingle).where(_linked(percent)).select("a", "b")
     if not more.isEmpty():
         found = connected_components(link.union(more))
 
