@@ -209,11 +209,6 @@ def f15_z22_review_guard(spark, sf):
     return table(spark, sf, "labels").where("quality is not null").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("eligible"))
 
 
-@query("""SELECT event_id, CASE WHEN n >= 5 THEN 'hidden' ELSE 'shown' END AS status FROM (SELECT event_id, event_id % 8 AS n FROM events)""")
-def d15_reported_comments(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 8 >= 5, "hidden").otherwise("shown").alias("status"))
-
-
 @query("""SELECT source, arg_max(label, (n, label)) AS best FROM (SELECT d.source, e.label, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL) GROUP BY source""")
 def z36_best_overlap(spark, sf):
     pair = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("source", "label").agg(F.count("*").alias("n"))

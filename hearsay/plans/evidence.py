@@ -70,6 +70,19 @@ def collect(hits: DataFrame, known: DataFrame, policy: Policy) -> DataFrame:
     return new.withColumn("scope", scope(F.col("kind"), F.col("host"), F.col("title"), F.col("quote"), policy))
 
 
+def query_specs(queries: DataFrame, providers: Sequence[str], most: int = 10, version: str = "v1") -> DataFrame:
+    """(provider, query, model, max_results, prompt_version): a search for each query (query, and provider, model, max_results or prompt_version where it has its own) and provider.
+
+    A query without a provider goes to all of them. A blank query fails the job, since a search
+    for nothing is a caller's mistake.
+    """
+    have = lambda c, d, kind: F.coalesce(F.col(c).cast(kind), d) if c in queries.columns else d
+    text = F.trim(F.coalesce("query", F.lit("")))
+    named = have("provider", F.lit(None).cast("string"), "string")
+    own = queries.select(F.when(text == "", F.raise_error(F.lit("queries must not contain blank values"))).otherwise(text).alias("query"), F.explode(F.when(named.isNotNull(), F.array(F.lower(F.trim(named)))).otherwise(F.array(*map(F.lit, providers)))).alias("provider"), have("model", F.lit(None).cast("string"), "string").alias("model"), have("max_results", F.lit(most), "int").alias("max_results"), have("prompt_version", F.lit(version), "string").alias("prompt_version"))
+    return own.select("provider", "query", "model", "max_results", "prompt_version")
+
+
 def eligible(items: DataFrame) -> DataFrame:
     """Items that may be delivered: approved, in scope and verified, by id."""
     return items.where("review = 'approved' and scope = 'in_scope' and verification = 'verified'").orderBy("id")

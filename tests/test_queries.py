@@ -1,6 +1,6 @@
 import pytest
 
-from hearsay import event_queries, more_queries, queries
+from hearsay import event_queries, more_queries, queries, read_queries
 from tests.check import assert_same
 
 
@@ -15,7 +15,7 @@ def test_runs(spark, sf, name):
 
 
 def test_registry():
-    assert event_queries.query is more_queries.query is queries.query and len(queries.QUERIES) > 90
+    assert event_queries.query is more_queries.query is read_queries.query is queries.query and len(queries.QUERIES) > 90
 
 
 def test_entry(spark):
