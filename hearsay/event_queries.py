@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
 from hearsay.operators import curation as cu
+from hearsay.plans import reading as rd
 from hearsay.queries import query, table
 
 
@@ -144,10 +145,13 @@ def m08_x03_refined_clusters(spark, sf):
     return cu.refined(table(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), (F.col("vec_id") % 2).cast("string").alias("text")), refine)
 
 
-@query("""SELECT doc_id, list_filter(['the', 'of'], lambda w: contains(text, w)) AS cited, length(text) > 0 AND contains(text, 'the') AS used FROM documents""")
+@query("""SELECT doc_id AS answer_id, CASE WHEN doc_id % 3 = 0 THEN ['second', 'first'] ELSE ['first'] END AS cited, CASE WHEN doc_id % 2 = 0 THEN ['e9'] ELSE [] END AS invented FROM documents""")
 def z30_cited_subset(spark, sf):
-    hits = tx.word_hits(F.col("text"), ("the", "of"))
-    return table(spark, sf, "documents").select("doc_id", hits.alias("cited"), F.arrays_overlap(hits, F.array(F.lit("the"))).alias("used"))
+    """Events that answers cite, in order, and cited ids that stand for none."""
+    d = table(spark, sf, "documents")
+    marks = F.concat(F.when(F.col("doc_id") % 3 == 0, "[来源:e2，E1]").otherwise("【来源：e１】"), F.when(F.col("doc_id") % 2 == 0, " [来源:e9]").otherwise(""))
+    events = d.select(F.col("doc_id").alias("answer_id"), F.explode(F.array(F.struct(F.lit("e1").alias("cite_id"), F.lit("first").alias("event_key")), F.struct(F.lit("e2").alias("cite_id"), F.lit("second").alias("event_key")))).alias("e")).select("answer_id", "e.*")
+    return rd.cited_events(d.select(F.col("doc_id").alias("answer_id"), F.concat("text", marks).alias("text")), events)
 
 
 @query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages) SELECT host, count(*) AS n, count(*) FILTER (host LIKE '%.example.net' OR host = 'example.net') AS official FROM p GROUP BY 1""")

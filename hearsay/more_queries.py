@@ -12,6 +12,7 @@ from hearsay.functions import time as tm
 from hearsay.operators import queue as qu
 from hearsay.plans import evidence as ev
 from hearsay.plans import ingest
+from hearsay.plans import reading as rd
 from hearsay.queries import query, table
 
 
@@ -200,19 +201,27 @@ def z02_event_summary(spark, sf):
 
 @query("""SELECT count(*) AS matched, least(count(*), 300) AS analysed, greatest(count(*) - 300, 0) AS dropped FROM documents WHERE lang = 'en'""")
 def z16_truncation_account(spark, sf):
-    n = table(spark, sf, "documents").where("lang = 'en'").agg(F.count("*").alias("matched"))
-    return n.select("matched", F.least("matched", F.lit(300)).alias("analysed"), F.greatest(F.col("matched") - 300, F.lit(0)).alias("dropped"))
+    return rd.truncation(table(spark, sf, "documents").where("lang = 'en'"), 300)
 
 
-@query("""SELECT l.doc_id, l.quality = 1 AND l.toxic = 0 AS eligible FROM labels l WHERE l.quality IS NOT NULL""")
+@query("""SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 AND o_orderkey % 2 = 0""")
 def f15_z22_review_guard(spark, sf):
-    return table(spark, sf, "labels").where("quality is not null").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("eligible"))
+    """Items that may be delivered, in order: approved, in scope, and verified by their latest verification."""
 
+    from hearsay.operators.relational import latest
+    from hearsay.plans.evidence import eligible
 
-@query("""SELECT source, arg_max(label, (n, label)) AS best FROM (SELECT d.source, e.label, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL) GROUP BY source""")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("review"), F.when(F.col("o_orderkey") % 3 == 0, "in_scope").otherwise("out_of_scope").alias("scope"))
+    checks = o.select("id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("verified").alias("verification")), F.struct(F.lit(2).alias("seq"), F.when(F.col("id") % 2 == 0, "verified").otherwise("rejected").alias("verification")))).alias("v")).select("id", "v.*")
+    own = eligible(o.join(latest(checks, "id", "seq"), "id"))
+    return own.select("id", F.row_number().over(Window.orderBy("id")).alias("place"))
+
+
+@query("""WITH m AS (SELECT d.source AS event_key, e.label AS target, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id % 3 = 0 GROUP BY ALL) SELECT target, arg_min(event_key, (-n, event_key)) AS event_key, max(n) AS shared FROM m GROUP BY 1""")
 def z36_best_overlap(spark, sf):
-    pair = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("source", "label").agg(F.count("*").alias("n"))
-    return pair.groupBy("source").agg(F.max_by("label", F.struct("n", "label")).alias("best"))
+    """For each set of target ids, the event that shares most of them."""
+    members = table(spark, sf, "documents").select(F.col("source").alias("event_key"), F.col("doc_id").alias("note_id"))
+    return rd.best_overlap(members, table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("label").alias("target"), F.col("vec_id").alias("note_id")))
 
 
 @query()

@@ -93,9 +93,9 @@ def decayed(weight: Column, age: Column, half_life: float) -> Column:
     return F.sum(weight * F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / half_life))
 
 
-def normalised(x: str) -> Column:
-    """A column over its greatest value of all rows, 0 where that is 0."""
-    top = F.max(x).over(Window.partitionBy())
+def normalised(df: DataFrame, x: str) -> Column:
+    """A column of df over its greatest value of all rows, 0 where that is 0; the greatest is an aggregate of its own, so no task gets all rows."""
+    top = df.agg(F.max(x)).scalar()
     return F.when(top > 0, F.col(x) / top).otherwise(0.0)
 
 

@@ -43,7 +43,7 @@ def suggestions(queries: DataFrame, content: DataFrame, events: DataFrame, crawl
     told = events.groupBy("keyword").agg(F.max(F.struct("signal", "event_key", "live")).alias("e"))
     seen = crawls.groupBy("keyword").agg(F.min(F.struct("age", "stored")).alias("c"))
     all_of = ask.join(warm, "keyword", "full").join(told, "keyword", "full").join(seen, "keyword", "left").na.fill(0.0, ["asked", "warm"])
-    all_of = all_of.withColumn("demand", normalised("asked")).withColumn("heat", normalised("warm")).withColumn("event", F.coalesce("e.signal", F.lit(0.0)))
+    all_of = all_of.withColumn("demand", normalised(ask, "asked")).withColumn("heat", normalised(warm, "warm")).withColumn("event", F.coalesce("e.signal", F.lit(0.0)))
     gap = F.when(F.coalesce("last_hits", F.lit(99)) < w.few_hits, 1.0).otherwise(0.0)
     barren, recent = F.col("c.stored") == 0, F.col("c.age") < w.recent_days
     penalty = F.when(barren, w.barren_penalty).when(recent, w.recent_penalty).otherwise(1.0)

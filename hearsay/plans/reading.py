@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions import score as sc
+from hearsay.functions import text as tx
 from hearsay.operators.relational import top_per_group
 
 # Platforms in the order that they are shown in, names that tell them, labels of risk levels and their order.
@@ -232,3 +233,32 @@ def cluster_briefs(members: DataFrame, shown: int = 5, chars: int = 60) -> DataF
     titles = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("titles"))
     size = own.groupBy("cluster").agg(F.to_date(F.min("publish_time")).alias("first_day"), F.to_date(F.max("publish_time")).alias("last_day"), F.count("*").alias("size"))
     return size.join(titles, "cluster").select("cluster", F.get("titles", F.lit(0)).alias("title"), "titles", "first_day", "last_day", "size")
+
+
+# --- answers ----------------------------------------------------------------------------------
+
+
+def cited_events(answers: DataFrame, events: DataFrame) -> DataFrame:
+    """(answer_id, cited, invented): event keys that an answer cites, in order, and cited ids that stand for nothing.
+
+    answers: answer_id, text with [来源:...] marks. events: answer_id, cite_id, event_key, what the
+    answer was given.
+    """
+    ids = answers.select("answer_id", F.posexplode(F.array_distinct(tx.citation_ids(F.col("text")))).alias("at", "cite_id"))
+    met = ids.join(events.select("answer_id", "cite_id", "event_key"), ["answer_id", "cite_id"], "left")
+    found = met.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_key", "cite_id"))).alias("c"))
+    own = found.select("answer_id", F.transform(F.filter("c", lambda x: x["event_key"].isNotNull()), lambda x: x["event_key"]).alias("cited"), F.transform(F.filter("c", lambda x: x["event_key"].isNull()), lambda x: x["cite_id"]).alias("invented"))
+    none = F.array().cast("array<string>")
+    return answers.select("answer_id").join(own, "answer_id", "left").select("answer_id", F.coalesce("cited", none).alias("cited"), F.coalesce("invented", none).alias("invented"))
+
+
+def best_overlap(members: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, event_key, shared): for each set of ids (target, note_id) the event (event_key, note_id) that shares most of them; the smaller key wins a tie."""
+    both = targets.distinct().join(members.distinct(), "note_id").groupBy("target", "event_key").agg(F.count("*").alias("shared"))
+    return both.groupBy("target").agg(F.min_by("event_key", F.struct(-F.col("shared"), F.col("event_key"))).alias("event_key"), F.max("shared").alias("shared"))
+
+
+def truncation(rows: DataFrame, most: int) -> DataFrame:
+    """(matched, analysed, dropped): what a limit on the analysed rows leaves out, for the run's log."""
+    n = rows.agg(F.count("*").alias("matched"))
+    return n.select("matched", F.least("matched", F.lit(most)).alias("analysed"), F.greatest(F.col("matched") - most, F.lit(0)).alias("dropped"))

@@ -127,7 +127,7 @@ def a07_daily_series(spark, sf):
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4)) AS w FROM documents), u AS (SELECT unnest(w) AS word FROM w) SELECT word, count(*) AS n FROM u GROUP BY word ORDER BY n DESC, word LIMIT 50""")
 def a08_a30_keyword_cloud(spark, sf):
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 4))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     return table(spark, sf, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
@@ -185,7 +185,7 @@ def a24_a25_decayed_demand(spark, sf):
 @query("""WITH m AS (SELECT user_id, max(value) AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN max(v) OVER () > 0 THEN v / max(v) OVER () ELSE 0 END AS share FROM m""")
 def a26_a27_normalised_signal(spark, sf):
     own = table(spark, sf, "events").groupBy("user_id").agg(F.max("value").alias("v"))
-    return own.select("user_id", rel.normalised("v").alias("share"))
+    return own.select("user_id", rel.normalised(own, "v").alias("share"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (quality = 1) AS good, round(count(*) FILTER (quality = 1) / count(*), 3) AS ratio, round(avg(toxic), 6) AS hit_rate FROM labels""")
