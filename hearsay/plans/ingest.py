@@ -81,3 +81,35 @@ def judged_posts(ranked: DataFrame) -> DataFrame:
     text = tx.clean_text(F.concat_ws(" ", "title", "content", F.array_join("tags", " "), "source_keyword"))
     own = ranked.withColumn("_r", sc.note_risk(text, F.lit("neutral"), F.lit("low"), F.col("comments"), F.col("shares"), F.col("heat_rank"), F.col("heat_score")))
     return own.select(*ranked.columns, "_r.*", sc.concerns(text).alias("concerns"))
+
+
+def agent_rows(processed: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """Processed posts (id, note_id, title, content, tags_json, heat_score and counts) as rows for analysis: tags as distinct words, and the post's comments.
+
+    comments: note_id, texts (the best of them, in order). Posts without any have an empty list.
+    """
+    words = F.transform(F.coalesce(F.from_json("tags_json", "array<string>"), F.array().cast("array<string>")), lambda t: F.trim(t))
+    own = processed.withColumn("keywords", F.array_distinct(F.filter(words, lambda t: t != ""))).drop("tags_json")
+    none = F.array().cast("array<string>")
+    if comments is None:
+        return own.withColumn("top_comments", none)
+    return own.join(comments.select("note_id", F.col("texts").alias("top_comments")), "note_id", "left").withColumn("top_comments", F.coalesce("top_comments", none))
+
+
+def notes(rows: DataFrame, dictionary: tuple[str, ...] = (), shown: int = 3, width: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Rows as notes, and the rows that are none, with a warning each: those without an id, and those without title and text.
+
+    A missing title is the text's beginning; keywords that are not given are those of the
+    dictionary that the text holds; a stored heat stays, and is worked out where there is none.
+    """
+    title, content = tx.clean_text(F.col("title")), tx.clean_text(F.col("content"))
+    own = rows.withColumns({"title": F.when((title == "") & (content != ""), F.substring(content, 1, 30)).otherwise(title), "content": content})
+    warning = F.when(F.col("id").isNull(), "no id").when((F.col("title") == "") & (F.col("content") == ""), "no title and no text")
+    own = own.withColumn("warning", warning)
+    text = F.concat_ws(" ", "title", "content", "source_keyword")
+    words = F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(tx.word_hits(text, dictionary))
+    said = F.slice(F.filter(F.transform("top_comments", lambda c: F.substring(tx.clean_text(c), 1, width)), lambda c: c != ""), 1, shown)
+    counts = [tx.int_count(F.col(c)) for c in COUNTS]
+    good = own.where("warning is null").withColumns({"keywords": words, "top_comments": said, "heat_score": F.coalesce(F.col("heat_score").cast("double"), sc.heat_score(*counts))})
+    good = good.withColumn("source_keyword", tx.first_text(tx.clean_text(F.col("source_keyword")), F.get("keywords", F.lit(0))))
+    return good.drop("warning"), own.where("warning is not null").select("id", "warning")

@@ -91,6 +91,17 @@ def p06_aliased_json(spark, sf):
     return files.aliased(d, {"external_id": ("external_id", "note_id", "id"), "content": ("content", "desc", "summary"), "like_count": ("like_count", "liked_count")})
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS n_keywords, CASE WHEN doc_id % 7 = 0 THEN 'no title and no text' END AS warning, CASE WHEN doc_id % 7 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 5.0 ELSE 4.0 END END::DOUBLE AS heat_score, CASE WHEN doc_id % 7 > 0 THEN CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END END AS n_comments FROM documents""")
+def p09_p10_notes(spark, sf):
+    """Processed posts as notes, beside those that are none."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").select(i.alias("id"), i.cast("string").alias("note_id"), F.lit(" ").alias("title"), F.when(i % 7 == 0, " ").otherwise("some hot water").alias("content"), F.when(i % 5 == 0, '["a ", "b", "a", ""]').otherwise("[]").alias("tags_json"), F.lit(None).cast("string").alias("source_keyword"), F.when(i % 2 == 0, 5.0).alias("heat_score"), F.lit(4).alias("likes"), F.lit(0).alias("collects"), F.lit(0).alias("comments"), F.lit(0).alias("shares"))
+    said = d.where("id % 3 = 0").select("note_id", F.array(F.lit(" "), F.lit("x"), F.lit("y"), F.lit("z"), F.lit("w")).alias("texts"))
+    good, bad = ingest.notes(ingest.agent_rows(d, said), ("water", "exam"))
+    own = good.select(F.col("id").alias("doc_id"), F.size("keywords").alias("n_keywords"), F.lit(None).cast("string").alias("warning"), "heat_score", F.size("top_comments").alias("n_comments"))
+    return own.unionByName(bad.select(F.col("id").alias("doc_id"), "warning"), allowMissingColumns=True)
+
+
 # --- the read side ----------------------------------------------------------------------------
 
 
