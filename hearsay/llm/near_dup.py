@@ -123,17 +123,22 @@ def _promising(x: str, y: str, values: int, percent: int) -> Column:
     return (F.col(f"{x}.n") * percent <= F.col(f"{y}.n") * 100) & (F.col(f"{y}.n") * percent <= F.col(f"{x}.n") * 100) & (differ <= most)
 
 
-def _roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose bit maps leave room for a similarity of percent / 100.
+def _room(x: str, y: str, percent: int) -> Column:
+    """Whether the bit maps of two rows leave room for a similarity of percent / 100.
 
     Cells that only one set has hold shingles that the other lacks, so they bound from above what
     both can share. The bound never rules out a link.
     """
+    alone, other = (sum(F.bit_count(F.col(f"{p}.map")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[i]))) for i in range(MAP)) for p, q in ((x, y), (y, x)))
+    shared = F.least(F.col(f"{x}.n") - alone, F.col(f"{y}.n") - other)
+    return shared * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+
+
+def _roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that _room leaves."""
     known = own.select("doc_id", "n", "map")
     both = pairs.join(known.select(F.col("doc_id").alias("a"), F.struct("n", "map").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.struct("n", "map").alias("y")), "b")
-    alone, other = (sum(F.bit_count(F.col(f"{p}.map")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.map")[i]))) for i in range(MAP)) for p, q in (("x", "y"), ("y", "x")))
-    shared = F.least(F.col("x.n") - alone, F.col("y.n") - other)
-    return both.where(shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent).select("a", "b")
+    return both.where(_room("x", "y", percent)).select("a", "b")
 
 
 def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -264,20 +269,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     group = named.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("alike"), F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
     group = group.where("kinds > 1").select("band", "n", "main", F.expr("1 + n div 10000").alias("lanes"), F.expr(f"(cast(n as double) * n - alike) / 2 > {CROSS} * n").alias("hot"))
-    left = cut(spread_join(named, group, "band", total).join(own.select("doc_id", "n", "bits"), "doc_id"))
+    left = stored(spread_join(named, group, "band", total).join(own.select("doc_id", "n", "bits", "map"), "doc_id"))
     # in a bucket that isn't hot, all but one component have few members; those of the main one are dealt to lanes
     main = left.where("not hot and c = main").withColumn("lane", F.expr("pmod(xxhash64(doc_id), lanes)"))
     rest = left.where("not hot and c <> main")
     near = [
-        main.alias("x").join(rest.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lane") == F.col("y.lane")) & _promising("x", "y", values, percent)),
-        rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent)),
+        main.alias("x").join(rest.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lane") == F.col("y.lane")) & _promising("x", "y", values, percent) & _room("x", "y", percent)),
+        rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent) & _room("x", "y", percent)),
     ]
     pair = near[0].select("x.doc_id", F.col("y.doc_id").alias("other")).union(near[1].select("x.doc_id", F.col("y.doc_id").alias("other")))
     pair = pair.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     crowd = stored(left.where("hot").select("doc_id", "n", "c").distinct())
     if not crowd.isEmpty():
-        pair = pair.union(_rare_pairs(crowd, text, shingle, percent)).distinct()
-    pair = _roomy(pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), own, percent)
+        pair = pair.union(_roomy(_rare_pairs(crowd, text, shingle, percent), own, percent)).distinct()
+    pair = pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(pair, text, shingle).where(_linked(percent)).select("a", "b")
     if not more.isEmpty():
         found = connected_components(link.union(more))
