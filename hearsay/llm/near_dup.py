@@ -20,8 +20,12 @@ SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 5, 40
 BITS, MAP = 3, 32
 #: Comparisons a member of a bucket beyond which rare shingles choose the pairs.
 CROSS = 128
-#: Documents that have a shingle before it counts as common, and most shingles that do; most ids of a broadcast.
-RARE, COMMON, FEW = 16, 500_000, 2_000_000
+#: Documents that have a shingle before it counts as common, and most shingles that do (12 bytes each).
+RARE, COMMON = 16, 500_000
+#: Most rows, of three longs at most, that are broadcast: 6 MB.
+FEW = 250_000
+#: Pairs of one document that get a copy of its text.
+LANE = 64
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -84,10 +88,17 @@ def _planes(value: np.ndarray) -> np.ndarray:
 def similarities(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """(a, b, n_a, n_b, shared) for pairs (a, b): sizes of both full shingle sets and of what they share.
 
-    texts is (doc_id, text). Its shuffle by doc_id serves both sides.
+    texts is (doc_id, text). The pairs of a document are dealt to lanes of about LANE, each of which
+    gets a copy of its text, so a document that meets many others is spread over tasks.
     """
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    total = pairs.count()
+    dealt, sides = pairs.select("a", "b"), {}
+    for side, other in (("b", "a"), ("a", "b")):
+        lanes = pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn(f"lanes_{side}", F.expr(f"1 + n div {LANE}"))
+        dealt = spread_join(dealt, lanes, side, total).withColumn(f"lane_{side}", F.expr(f"pmod(xxhash64({other}), lanes_{side})")).drop(f"lanes_{side}")
+        lanes = lanes.select(F.col(side).alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"lanes_{side}") - 1)).alias(f"lane_{side}"))
+        sides[side] = texts.join(lanes, "doc_id").select(F.col("doc_id").alias(side), f"lane_{side}", F.col("text").alias(f"text_{side}"))
+    two = dealt.join(sides["b"], ["b", "lane_b"]).join(sides["a"], ["a", "lane_a"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
