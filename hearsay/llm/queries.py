@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import chat, language_model, toxicity, warc
+from hearsay.llm import chat, codes, language_model, repair, toxicity, warc
 from hearsay.llm.decontaminate import contamination
 from hearsay.llm.fingerprint import edit_likeness
 from hearsay.llm.html_text import extract_text
@@ -77,7 +77,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model, counts)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op10_language_model": op10_language_model, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.codebook_digest(book)).alias("codebooks_sha256"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans, turns = repair.repair(repair.damage(_table(spark, sf_dir, "conversations")))
+    digest = repair.digests(turns).select(F.col("conv_id").alias("c"), "repaired_sha256")
+    out = plans.join(digest, plans["conv_id"].eqNullSafe(F.col("c")), "left").drop("c")
+    return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op10_language_model": op10_language_model, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity, "op12_vector_codes": op12_vector_codes, "op13_repair": op13_repair}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -98,7 +110,61 @@ def _shuffled(rounds: int) -> str:
     return out
 
 
+#: CRC-32 of k, bit by bit over its characters (ASCII).
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+
+
+def _rounds(rounds: int) -> str:
+    """Nearest entries and new codebooks of so many rounds, then the last assignment as near."""
+    near = "SELECT x.rid, x.part, x.v, min((x.q - 2 * CAST(list_inner_product(x.d, b.d) AS BIGINT) + b.q) * 256 + b.entry) AS m FROM x JOIN book{} b USING (part) GROUP BY ALL"
+    out = ""
+    for r in range(rounds):
+        out += f"""near{r} AS MATERIALIZED ({near.format(r)}),
+sum{r} AS (SELECT part, m % 256 AS entry, pos, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, m, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM near{r}) GROUP BY ALL),
+new{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM sum{r} GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT part, entry, v, CAST(v AS DOUBLE[]) AS d, CAST(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) AS BIGINT) AS q FROM (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM book{r} b LEFT JOIN new{r} n ON n.part = b.part AND n.entry = b.entry)),
+"""
+    return out + f"near AS ({near.format(rounds)})"
+
+
 ORACLE_SQL = {
+    "op12_vector_codes": f"""
+WITH k AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS (SELECT rid, part, w[part * len(w) // 4 + 1 : (part + 1) * len(w) // 4] AS v FROM k, range(4) t(part)),
+x AS MATERIALIZED (SELECT rid, part, v, CAST(v AS DOUBLE[]) AS d, CAST(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) AS BIGINT) AS q FROM p),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v, d, q FROM x WHERE rid <= 256),
+{_rounds(4)},
+c AS (SELECT rid, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM near GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (rid), h
+""",
+    "op13_repair": f"""
+WITH RECURSIVE own AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kind AS (SELECT *, {_CRC} % 20 AS kind FROM own),
+rows_after AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kind, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+n AS (SELECT *, substring(role, 1, 1) AS f, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z, row_number() OVER o AS i, lag(substring(role, 1, 1)) OVER o AS above FROM rows_after WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+fault AS (SELECT *, CASE WHEN z = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN z NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM n),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (above IS NOT NULL AND above || f NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM fault GROUP BY conv_id),
+move(p, r, ins, t) AS (VALUES (0, 's', '', 1), (0, 'u', '', 2), (1, 'u', '', 2), (3, 'u', '', 2), (2, 'u', 'a', 2), (2, 'a', '', 3), (0, 'a', 'u', 3), (1, 'a', 'u', 3), (3, 'a', 'u', 3), (0, '', '', 0), (1, '', '', 1), (2, '', '', 2), (3, '', '', 3)),
+edit AS (SELECT conv_id, i, p, t,
+    CASE WHEN r = '' THEN 3 ELSE len(ins) * 2 + CASE WHEN r = f THEN 0 ELSE 2 END + CASE WHEN fault = 3 THEN 1 ELSE 0 END END AS cost,
+    CASE WHEN r = '' THEN 'D' ELSE CASE WHEN ins <> '' THEN 'I' ELSE '' END || CASE WHEN r = f THEN 'K' ELSE 'R' END END AS code,
+    CASE WHEN r = '' THEN '' ELSE CASE ins WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END || chr(10) || CASE WHEN r = f THEN role WHEN r = 'u' THEN 'user' ELSE 'assistant' END || ':' || text END AS said
+  FROM fault, move WHERE r = '' OR (fault NOT IN (1, 2) AND (r <> 's' OR f = 's'))),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS st, 0 AS cost, '' AS audit, '' AS said FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, st, cost, audit, said FROM (
+    SELECT dp.conv_id, edit.i, edit.t AS st, dp.cost + edit.cost AS cost, dp.audit || edit.code AS audit, dp.said || edit.said AS said, row_number() OVER (PARTITION BY dp.conv_id, edit.t ORDER BY dp.cost + edit.cost, dp.audit || edit.code) AS best
+    FROM dp JOIN edit ON edit.conv_id IS NOT DISTINCT FROM dp.conv_id AND edit.i = dp.i + 1 AND edit.p = dp.st) WHERE best = 1),
+ended AS (SELECT dp.conv_id, cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost, audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    said || CASE st WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END AS said
+  FROM dp LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE i = coalesce(n, 0)),
+best AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, sha256(substring(said, 2)) AS repaired_sha256
+FROM best b LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM b.conv_id
+""",
     "op1_mix": f"""
 WITH size AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM size GROUP BY source),
