@@ -117,7 +117,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long")
 
 
-def _linked(percent: int):
+def linked(percent: int):
     return 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
 
@@ -134,7 +134,7 @@ def _promising(x: str, y: str, values: int, percent: int) -> Column:
     return (F.col(f"{x}.n") * percent <= F.col(f"{y}.n") * 100) & (F.col(f"{y}.n") * percent <= F.col(f"{x}.n") * 100) & (differ <= most)
 
 
-def _room(x: str, y: str, percent: int) -> Column:
+def room_left(x: str, y: str, percent: int) -> Column:
     """Whether the bit maps of two rows leave room for a similarity of percent / 100.
 
     Cells that only one set has hold shingles that the other lacks, so they bound from above what
@@ -145,14 +145,14 @@ def _room(x: str, y: str, percent: int) -> Column:
     return shared * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
 
 
-def _roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that _room leaves."""
+def roomy(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that room_left leaves."""
     known = own.select("doc_id", "n", "map")
     both = pairs.join(known.select(F.col("doc_id").alias("a"), F.struct("n", "map").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.struct("n", "map").alias("y")), "b")
-    return both.where(_room("x", "y", percent)).select("a", "b")
+    return both.where(room_left("x", "y", percent)).select("a", "b")
 
 
-def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): pairs of documents (doc_id, n, c) of different components c that share a rare shingle, every linked pair among them.
 
     A document's shingles are ordered by the number of documents that have them, rarest first; of
@@ -219,7 +219,7 @@ def _rare_pairs(node: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return pair.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """similarities of pairs, for which only the texts of their documents are shuffled if a check finds their ids few enough to broadcast."""
     pairs = stored(pairs)
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hub, the document with most company in all its buckets; then, in buckets whose members still
     belong to different components, members of different components. In a bucket where
     that would be over CROSS comparisons a member, rare shingles choose the pairs (see
-    _rare_pairs), which misses no link. So a large group of near copies needs about a comparison
+    rare_pairs), which misses no link. So a large group of near copies needs about a comparison
     for each member, a large family of texts that are alike but not linked about as little, and
     no link between components is left untested. Before texts are fetched, a pair's sizes,
     signature bits and bit maps must leave room for the threshold; every link is then confirmed
@@ -272,9 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = spread_join(left, hub.select("band", "n", F.struct("y.doc_id", "y.n", "y.bits").alias("y")), "band", total)
     pair = met.select(F.struct("doc_id", F.col("size").alias("n"), "bits").alias("x"), "y").where((F.col("x.doc_id") != F.col("y.doc_id")) & _promising("x", "y", values, percent))
     # the hub comes first, so that its text is read once for all that it meets
-    pair = _roomy(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), own, percent)
-    spoke = _confirmed(pair, text, shingle)
-    link = spoke.where(_linked(percent)).select("a", "b")
+    pair = roomy(pair.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), own, percent)
+    spoke = confirmed(pair, text, shingle)
+    link = spoke.where(linked(percent)).select("a", "b")
     found = connected_components(link)
 
     named = member.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
@@ -285,16 +285,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = left.where("not hot and c = main").withColumn("lane", F.expr("pmod(xxhash64(doc_id), lanes)"))
     rest = left.where("not hot and c <> main")
     near = [
-        main.alias("x").join(rest.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lane") == F.col("y.lane")) & _promising("x", "y", values, percent) & _room("x", "y", percent)),
-        rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent) & _room("x", "y", percent)),
+        main.alias("x").join(rest.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1))).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.lane") == F.col("y.lane")) & _promising("x", "y", values, percent) & room_left("x", "y", percent)),
+        rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _promising("x", "y", values, percent) & room_left("x", "y", percent)),
     ]
     pair = near[0].select("x.doc_id", F.col("y.doc_id").alias("other")).union(near[1].select("x.doc_id", F.col("y.doc_id").alias("other")))
     pair = pair.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     crowd = stored(left.where("hot").select("doc_id", "n", "c").distinct())
     if not crowd.isEmpty():
-        pair = pair.union(_roomy(_rare_pairs(crowd, text, shingle, percent), own, percent)).distinct()
+        pair = pair.union(roomy(rare_pairs(crowd, text, shingle, percent), own, percent)).distinct()
     pair = pair.join(spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _confirmed(pair, text, shingle).where(_linked(percent)).select("a", "b")
+    more = confirmed(pair, text, shingle).where(linked(percent)).select("a", "b")
     if not more.isEmpty():
         found = connected_components(link.union(more))
 

@@ -12,6 +12,7 @@ from hearsay.llm.html_text import extract_text
 from hearsay.llm.line_dedup import LEAST, MARKS, WIDE, drop_repeated_lines
 from hearsay.llm.mixing import mix_sources
 from hearsay.llm.near_dup import near_duplicates
+from hearsay.llm.ngram_join import similar_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model, counts)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, book = codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.codebook_digest(book)).alias("codebooks_sha256"))
@@ -89,7 +94,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op10_language_model": op10_language_model, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity, "op12_vector_codes": op12_vector_codes, "op13_repair": op13_repair}
+QUERIES = {"op1_mix": op1_mix, "op2_chat": op2_chat, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_revisits": op8_revisits, "op9_line_dedup": op9_line_dedup, "op10_language_model": op10_language_model, "op3_decontaminate": op3_decontaminate, "op5_minhash": op5_minhash, "op6_toxicity": op6_toxicity, "op11_ngram_join": op11_ngram_join, "op12_vector_codes": op12_vector_codes, "op13_repair": op13_repair}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -127,6 +132,21 @@ book{r + 1} AS MATERIALIZED (SELECT part, entry, v, CAST(v AS DOUBLE[]) AS d, CA
     return out + f"near AS ({near.format(rounds)})"
 
 
+def _reached(percent: int) -> str:
+    """Shingle sets as s, and all documents that a document reaches over links as reach."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+one AS (SELECT doc_id, unnest(s) AS x FROM s),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM one p JOIN one q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= {percent} * (len(p.s) + len(q.s) - n)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = r)
+"""
+
+
 ORACLE_SQL = {
     "op12_vector_codes": f"""
 WITH k AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
@@ -233,17 +253,6 @@ e AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, gone ORDER BY i) AS above F
 o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CASE WHEN line <> above THEN chr(10) ELSE '' END || p, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM e GROUP BY doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM o
 """,
-    "op5_minhash": f"""
-WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
-  FROM w),
-one AS (SELECT doc_id, unnest(s) AS x FROM s),
-shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM one p JOIN one q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM shared JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)),
-reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = r)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
-FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(s.s)
-""",
+    "op5_minhash": f"{_reached(75)}SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept\nFROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(s.s)",
+    "op11_ngram_join": f"{_reached(80)}SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id\nFROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(s.s)",
 }

@@ -109,7 +109,7 @@ def test_near_duplicates_of_a_crowd(spark):
     assert got == want and len(set(want.values())) > 150
     # the pairs that rare shingles choose hold all links between different components, whatever these are
     node = spark.createDataFrame([(i, len(sets[i]), i) for i, _ in rows], "doc_id long, n long, c long")
-    pairs = {(r.a, r.b) for r in near_dup._rare_pairs(node, documents(spark, rows).select("doc_id", "text"), 5, 75).collect()}
+    pairs = {(r.a, r.b) for r in near_dup.rare_pairs(node, documents(spark, rows).select("doc_id", "text"), 5, 75).collect()}
     links = {(j, i) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert links <= pairs and len(pairs) < len(rows) ** 2 / 8
 
