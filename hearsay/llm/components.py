@@ -9,6 +9,8 @@ from hearsay.llm.lineage import cut
 
 #: A key is hot above this share of all rows, so there are at most HOT hot keys to broadcast.
 HOT = 1000
+#: Edges for each partition that a round reads: a small graph takes few tasks, down to one of at most so many edges.
+SHARE = 100_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
@@ -40,12 +42,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before, total = None, 2 * link.count()
     while True:
-        both = link.union(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = 1 + total // (2 * SHARE)
+        both = link.union(link.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = spread_join(both, low, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low, "u", total)
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(few).distinct()
         link = cut(small)
         now = link.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
