@@ -69,6 +69,14 @@ def growth(times: Column, now: Column, window: float = WINDOW, least: int = LEAS
     return F.struct(recent.alias("recent"), prior.alias("prior"), days.alias("prior_days"), ((recent >= least) & (recent / F.lit(window) >= prior / days)).alias("growing"))
 
 
+def growth_of(at: Column, now: Column, window: float = WINDOW, least: int = LEAST_RECENT) -> Column:
+    """growth as an aggregate over rows with a time each, so that no group's times are gathered."""
+    age = age_days(at, now)
+    recent, prior = F.count_if((age >= 0) & (age <= window)), F.count_if(age > window)
+    days = F.greatest(F.coalesce(F.max(F.when(age >= 0, age)), F.lit(0.0)) - window, F.lit(window))
+    return F.struct(recent.alias("recent"), prior.alias("prior"), days.alias("prior_days"), ((recent >= least) & (recent / F.lit(window) >= prior / days)).alias("growing"))
+
+
 def effective_lifecycle(base: Column, growing: Column) -> Column:
     """An ongoing event that grows escalates; a stored 'escalating' counts as ongoing first."""
     own = F.when(base == "escalating", "ongoing").otherwise(base)

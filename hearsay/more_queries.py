@@ -9,6 +9,7 @@ from hearsay.functions import models as md
 from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.functions import time as tm
+from hearsay.operators import order as od
 from hearsay.operators import queue as qu
 from hearsay.plans import evidence as ev
 from hearsay.plans import ingest
@@ -32,9 +33,8 @@ def a02_a33_overview(spark, sf):
 
 @query("""SELECT p_brand, count(*) AS rows, list(p_retailprice ORDER BY p_retailprice)[count(*) // 2 + 1] AS median, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1""")
 def a31_backfill_preview(spark, sf):
-    w = Window.partitionBy("p_brand")
-    p = table(spark, sf, "part").withColumn("at", F.row_number().over(w.orderBy("p_retailprice"))).withColumn("n", F.count("*").over(w))
-    return p.groupBy("p_brand").agg(F.count("*").alias("rows"), F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("p_retailprice"))).alias("median"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    price = "p_retailprice"
+    return od.order_statistics(table(spark, sf, "part"), ["p_brand"], price, {"median": od.high_middle}, rows=F.sum("n"), low=F.min(price), high=F.max(price))
 
 
 @query("""SELECT DISTINCT lower(c_mktsegment) AS word FROM customer WHERE length(c_mktsegment) BETWEEN 2 AND 9 AND NOT starts_with(c_mktsegment, 'A')""")
@@ -214,7 +214,7 @@ def f15_z22_review_guard(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("review"), F.when(F.col("o_orderkey") % 3 == 0, "in_scope").otherwise("out_of_scope").alias("scope"))
     checks = o.select("id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("verified").alias("verification")), F.struct(F.lit(2).alias("seq"), F.when(F.col("id") % 2 == 0, "verified").otherwise("rejected").alias("verification")))).alias("v")).select("id", "v.*")
     own = eligible(o.join(latest(checks, "id", "seq"), "id"))
-    return own.select("id", F.row_number().over(Window.orderBy("id")).alias("place"))
+    return od.global_places(own.select("id"), F.col("id"), [F.col("id")])
 
 
 @query("""WITH m AS (SELECT d.source AS event_key, e.label AS target, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id % 3 = 0 GROUP BY ALL) SELECT target, arg_min(event_key, (-n, event_key)) AS event_key, max(n) AS shared FROM m GROUP BY 1""")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.operators.order import high_middle, order_statistics
+
 
 def merged_links(links: DataFrame, target: int, sources: Sequence[int]) -> DataFrame:
     """Links (event_id, post_id, rank) after events were merged into one: each post once per event, ranks from 1 on."""
@@ -19,9 +21,9 @@ def merged_links(links: DataFrame, target: int, sources: Sequence[int]) -> DataF
 def linked_totals(links: DataFrame, posts: DataFrame, key: str = "event_id") -> DataFrame:
     """(event_id, n, heat, first_at, last_at, middle_at) of events from their posts; the middle time is the upper one."""
     own = links.join(posts, "post_id")
-    w = Window.partitionBy(key)
-    own = own.withColumn("_p", F.row_number().over(w.orderBy(F.col("at").asc_nulls_last(), "post_id"))).withColumn("_n", F.count("at").over(w))
-    return own.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("heat"), 2).alias("heat"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max(F.when(F.col("_p") == F.floor(F.col("_n") / 2) + 1, F.col("at"))).alias("middle_at"))
+    middle = order_statistics(own, [key], "at", {"middle_at": high_middle}).withColumnRenamed(key, "_key")
+    total = own.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("heat"), 2).alias("heat"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    return total.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def status_change(rows: DataFrame, key: str, chosen: Column, status: str, actor: str, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.operators.order import running_counts, value_bounds, with_values
+
 
 def midrank_percentile(df: DataFrame, group: str, score: str, out: str = "heat_rank") -> DataFrame:
     """Mid-rank percentile of a score in its group: 100 * (rows below + half of equal rows) / rows, two decimals.
 
     A lone row has 50, equal scores have equal ranks, and all values lie strictly between 0 and
-    100. Equal scores are counted before the window, so it sees one row for each distinct score.
+    100. A null score is the least. Rows are counted by ranges of the score (see order), so a group
+    that holds most rows is spread over tasks, and so is a score that many rows have.
     """
-    scores = df.groupBy(group, score).agg(F.count("*").alias("_equal"))
-    below = F.sum("_equal").over(Window.partitionBy(group).orderBy(score)) - F.col("_equal")
-    whole = F.sum("_equal").over(Window.partitionBy(group))
-    ranks = scores.select(group, score, F.round((below + F.col("_equal") / 2) * 100.0 / whole, 2).alias(out))
-    r = ranks.alias("r")
-    return df.alias("d").join(r, F.col(f"d.{group}").eqNullSafe(F.col(f"r.{group}")) & F.col(f"d.{score}").eqNullSafe(F.col(f"r.{score}"))).select("d.*", F.col(f"r.{out}"))
+    total = df.count()
+    counts = running_counts(df, [group], score, value_bounds(df, score, total))
+    ranks = counts.select(group, score, "n", F.round((F.col("below") + F.col("n") / 2) * 100.0 / F.col("whole"), 2).alias(out))
+    return with_values(df, ranks, [group, score], total)
 
 
 def top_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -62,17 +63,6 @@ def daily_trend(df: DataFrame, at: str, days: int = 30) -> DataFrame:
     return calendar.join(by_day, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def low_median(x: Column) -> Column:
-    """The lower middle value, as an aggregate."""
-    return F.percentile_approx(x, 0.5, 1_000_000)
-
-
-def upper_median(x: Column) -> Column:
-    """The upper middle value of a group's collected values; for groups of a bounded size, like an event's posts."""
-    own = F.array_sort(F.collect_list(x))
-    return F.get(own, F.floor(F.size(own) / 2).cast("int"))
-
-
 def half_trend(df: DataFrame, at: str, now: str, days: int = 14) -> DataFrame:
     """One row: rows of the first and the second half of the last days, of unknown time, and whether they grow."""
     age = (F.lit(now).cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double")) / 86400

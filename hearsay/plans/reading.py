@@ -124,12 +124,15 @@ class Recency:
 def annotated(events: DataFrame, now: Column, config: Recency = Recency()) -> DataFrame:
     """events (event_time, member_times, risk_level, lifecycle, lifecycle_judgement) with age_days, recency_weight, growth, lifecycle and priority_score as of now.
 
+    Events with very many posts come with growth as an aggregate (score.growth_of) instead of member_times.
+
     The judgement, or the stored lifecycle where there is none, escalates if posts still come.
     Nothing that was measured or judged, like risk and heat, is touched. An event that was never
     judged stays so and weighs 1.
     """
     own = events.withColumn("age_days", sc.age_days(F.col("event_time"), now)).withColumn("recency_weight", sc.recency_weight(F.col("age_days"), config.half_life))
-    own = own.withColumn("growth", sc.growth(F.col("member_times"), now, config.window, config.least_recent))
+    if "growth" not in events.columns:
+        own = own.withColumn("growth", sc.growth(F.col("member_times"), now, config.window, config.least_recent))
     base = F.lower(F.trim(F.coalesce(F.nullif(F.col("lifecycle_judgement"), F.lit("")), F.col("lifecycle"), F.lit(""))))
     own = own.withColumn("lifecycle", sc.effective_lifecycle(base, F.col("growth.growing")))
     return own.withColumn("priority_score", sc.priority(F.lower(F.trim("risk_level")), F.col("recency_weight"), F.col("lifecycle")))

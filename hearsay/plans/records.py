@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions import score as sc
 from hearsay.functions import text as tx
+from hearsay.operators.order import global_places
 
 #: Seconds between two posts of a user, reports that hide a comment, and the longest texts.
 COOLDOWN, HIDING_REPORTS = 10.0, 5
@@ -123,8 +124,8 @@ def task_records(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
 def delivery_batches(items: DataFrame, size: int = 100) -> DataFrame:
     """Eligible items (id, url_hash, review, scope, verification) dealt to batches of `size` in order of id: (batch, id, url_hash)."""
     own = items.where("review = 'approved' and scope = 'in_scope' and verification = 'verified'")
-    place = F.row_number().over(Window.orderBy("id"))
-    return own.select("id", "url_hash").withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    own = global_places(own.select("id", "url_hash"), F.col("id"), [F.col("id")], "_place")
+    return own.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
 def pending_keywords(queue: DataFrame, platform: str | None = None) -> DataFrame:
@@ -132,7 +133,7 @@ def pending_keywords(queue: DataFrame, platform: str | None = None) -> DataFrame
     own = queue.where("status = 'pending'")
     own = own.where(F.col("platform") == platform) if platform else own
     first = own.where(F.trim("keyword") != "").groupBy(F.trim("keyword").alias("keyword")).agg(F.min("id").alias("id"))
-    return first.select("keyword", F.row_number().over(Window.orderBy("id")).alias("place"))
+    return global_places(first, F.col("id"), [F.col("id"), F.col("keyword")]).select("keyword", "place")
 
 
 def upserted_counts(stored: DataFrame, new: DataFrame, key: str, counts: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
 from hearsay.operators import merge as mg
+from hearsay.operators import order as od
 from hearsay.operators import relational as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,8 +155,7 @@ def a12_event_risk(spark, sf):
 @query("""WITH s AS (SELECT user_id, list(ts ORDER BY ts) AS t FROM events GROUP BY user_id) SELECT user_id, t[(len(t) - 1) // 2 + 1] AS low, t[len(t) // 2 + 1] AS high FROM s""")
 def a14_a17_low_and_upper_median(spark, sf):
     e = table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp_ntz"))
-    own = e.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return own.select("user_id", F.get("t", F.floor((F.size("t") - 1) / 2).cast("int")).alias("low"), F.get("t", F.floor(F.size("t") / 2).cast("int")).alias("high"))
+    return od.order_statistics(e, ["user_id"], "t", {"low": od.low_middle, "high": od.high_middle})
 
 
 @query("""SELECT source, list(lang ORDER BY n DESC, lang)[1:3] AS tags FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
@@ -195,8 +195,9 @@ def a02_a03_a28_health(spark, sf):
 
 @query("""SELECT event_type, quantile_cont(value, 0.5) AS median, list(value ORDER BY value)[greatest(CAST(floor(0.95 * count(*)) AS BIGINT), 1)] AS p95 FROM events GROUP BY 1""")
 def a29_latency_quantiles(spark, sf):
-    own = table(spark, sf, "events").withColumn("p", F.row_number().over(Window.partitionBy("event_type").orderBy("value"))).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    return own.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), F.max(F.when(F.col("p") == F.greatest(F.floor(0.95 * F.col("n")), F.lit(1)), F.col("value"))).alias("p95"))
+    places = {"low": od.low_middle, "high": od.high_middle, "p95": lambda n: F.greatest(F.floor(0.95 * n), F.lit(1)) - 1}
+    own = od.order_statistics(table(spark, sf, "events"), ["event_type"], "value", places)
+    return own.select("event_type", (F.col("low") + (F.col("high") - F.col("low")) / 2).alias("median"), "p95")
 
 
 @query(f"""WITH a AS (SELECT (epoch(TIMESTAMP '2024-01-31') - epoch(ts)) / 86400 AS age FROM events) SELECT count(*) FILTER (age >= 7 AND age < 14) AS first_half, count(*) FILTER (age >= 0 AND age < 7) AS second_half, count(*) FILTER (age IS NULL) AS undated, count(*) FILTER (age >= 0 AND age < 7) > count(*) FILTER (age >= 7 AND age < 14) AS growing FROM a""")
@@ -432,9 +433,8 @@ def c28_c29_c30_recency_priority(spark, sf):
 
 @query("""WITH a AS (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 86400e6 AS age FROM events), g AS (SELECT user_id, count(*) FILTER (age BETWEEN 0 AND 7) AS recent, count(*) FILTER (age > 7) AS prior, greatest(max(age) FILTER (age >= 0) - 7, 7) AS days FROM a GROUP BY 1) SELECT user_id, recent, prior, round(days, 6) AS prior_days, recent >= 2 AND recent / 7 >= prior / days AS growing FROM g""")
 def c31_a43_st08_growth(spark, sf):
-    own = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.col("ts").cast("timestamp")).alias("t"))
-    g = sc.growth(F.col("t"), F.lit("2024-01-31").cast("timestamp"), 7.0)
-    return own.select("user_id", g.alias("g")).select("user_id", F.col("g.recent").cast("long").alias("recent"), F.col("g.prior").cast("long").alias("prior"), F.round("g.prior_days", 6).alias("prior_days"), "g.growing")
+    g = sc.growth_of(F.col("ts").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"), 7.0)
+    return table(spark, sf, "events").groupBy("user_id").agg(g.alias("g")).select("user_id", F.col("g.recent").cast("long").alias("recent"), F.col("g.prior").cast("long").alias("prior"), F.round("g.prior_days", 6).alias("prior_days"), "g.growing")
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars, len(list_filter(['the ', 'of '], lambda w: contains(text, w))) AS n, len(list_filter(['und ', 'que '], lambda w: contains(text, w))) AS p, CASE WHEN contains(text, 'loser') THEN 1 ELSE 0 END AS h FROM documents),

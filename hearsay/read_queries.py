@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
+from hearsay.operators.order import global_places, number_of
 from hearsay.plans import assisted as ai
 from hearsay.plans import evidence as ev
 from hearsay.plans import events as pe
@@ -127,8 +129,8 @@ p AS (SELECT *, CASE risk WHEN 'high' THEN 9 WHEN 'medium' THEN 3 ELSE 1 END * w
 
 def _stored(spark, sf):
     own = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    own = own.groupBy("user_id").agg(F.max("ts").alias("event_time"), F.collect_list("ts").alias("member_times"), F.count("*").alias("n"))
-    return own.select("user_id", "event_time", "member_times", "n", F.expr(_RISK).alias("risk_level"), F.expr(_LIFE).alias("lifecycle_judgement"), F.lit("").alias("lifecycle"))
+    own = own.groupBy("user_id").agg(F.max("ts").alias("event_time"), sc.growth_of(F.col("ts"), _now()).alias("growth"), F.count("*").alias("n"))
+    return own.select("user_id", "event_time", "growth", "n", F.expr(_RISK).alias("risk_level"), F.expr(_LIFE).alias("lifecycle_judgement"), F.lit("").alias("lifecycle"))
 
 
 @query(f"""{_ANNOTATED} SELECT user_id, round(age_days, 6) AS age_days, round(w, 9) AS recency_weight, recent, growing, lifecycle, round(priority_score, 9) AS priority_score FROM p""")
@@ -156,15 +158,15 @@ def o13_listed_events(spark, sf):
 
 def _places(df, orders, n, key):
     """Rows among the first n of any order, with their place in all of them."""
-    from pyspark.sql import Window
-
     own = df.withColumn("risk_order", F.expr("CASE risk_level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END")) if "risk_level" in df.columns else df
     first = None
     for order in orders.values():
         part = rd.ordered(df, order, n).select(key)
         first = part if first is None else first.union(part)
     for name, order in orders.items():
-        own = own.withColumn(name, F.row_number().over(Window.orderBy(*rd.keys(order))))
+        first_key = rd.ORDERS[order][0]
+        number = number_of(own, first_key.removeprefix("-"))
+        own = global_places(own, -number if first_key.startswith("-") else number, rd.keys(order), name)
     return own.join(first.distinct(), key, "left_semi").select(key, *orders)
 
 
@@ -195,7 +197,7 @@ SELECT 'EVT-' || p.user_id AS card_id, CASE risk WHEN 'high' THEN '高风险' WH
 def p11_z12_z15_event_cards(spark, sf):
     """Stored events as they are read now, as cards with their links' posts and platforms."""
     e = table(spark, sf, "events")
-    stored = _stored(spark, sf).select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, F.col("event_time")).alias("event_time"), F.col("event_time").alias("last_seen_at"), "member_times", F.lower(F.trim("risk_level")).alias("risk_level"), "lifecycle_judgement", "lifecycle", F.lit(0.0).alias("heat_score"), F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("n")).alias("source_count"))
+    stored = _stored(spark, sf).select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, F.col("event_time")).alias("event_time"), F.col("event_time").alias("last_seen_at"), "growth", F.lower(F.trim("risk_level")).alias("risk_level"), "lifecycle_judgement", "lifecycle", F.lit(0.0).alias("heat_score"), F.when(F.col("user_id") % 2 == 0, 0).otherwise(F.col("n")).alias("source_count"))
     links = e.select(F.col("user_id").alias("event_id"), (F.col("event_id") % 50).alias("post_id"), F.expr("CASE event_type WHEN 'click' THEN ' XHS' WHEN 'error' THEN '微博' WHEN 'purchase' THEN 'kuaishou' ELSE event_type END").alias("platform"), F.col("event_id").alias("rank"))
     own = rd.event_cards(rd.read_events(stored, _now()), links)
     return own.select("card_id", "risk_label", "platforms", "post_ids", F.col("source_count").cast("long").alias("source_count"), F.round("priority_score", 9).alias("priority_score"), "lifecycle")
