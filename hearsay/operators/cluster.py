@@ -105,23 +105,3 @@ def greedy_clusters(posts: DataFrame, block: str, *, threshold: float = THRESHOL
 
     kind = posts.schema[block].dataType.simpleString()
     return posts.select(block, "id", "rank_key", "at_days", "vector").groupBy(block).applyInPandas(run, f"{block} {kind}, id long, cluster long")
-
-
-def align(new: DataFrame, old: DataFrame, threshold: float = ALIGN, bound: int = 5_000) -> list[tuple]:
-    """Pairs (new key, old key, similarity) of two short lists of centroids (key, centroid), best first, each key once.
-
-    Only pairs above the threshold come to the driver, at most `bound` of them: the lists are
-    events of two runs, whose pairs are found by a join on Spark.
-    """
-    x, y = new.alias("x"), old.alias("y")
-    pair = x.join(y, dot(F.col("x.centroid"), F.col("y.centroid")) >= threshold).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), dot(F.col("x.centroid"), F.col("y.centroid")).alias("s"))
-    rows = pair.orderBy(F.desc("s"), "a", "b").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("too many pairs to align")
-    out, used_a, used_b = [], set(), set()
-    for r in rows:
-        if r.a not in used_a and r.b not in used_b:
-            out.append((r.a, r.b, r.s))
-            used_a.add(r.a)
-            used_b.add(r.b)
-    return out

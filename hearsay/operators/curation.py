@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.operators.order import high_middle, order_statistics
+from hearsay.operators.vectors import similar_pairs
 
 
 def merged_links(links: DataFrame, target: int, sources: Sequence[int]) -> DataFrame:
@@ -77,10 +78,6 @@ def refined(members: DataFrame, refine: Callable[[list[str]], list[list[int]]],
 
 
 def grey_pairs(centroids: DataFrame, low: float = 0.70, high: float = 0.86, n: int = 12) -> DataFrame:
-    """(a, b, similarity) of the n most similar pairs of clusters (key, centroid) that are neither surely one nor surely two."""
-    from hearsay.operators.cluster import dot
-
-    x, y = centroids.alias("x"), centroids.alias("y")
-    s = F.round(dot(F.col("x.centroid"), F.col("y.centroid")), 9)
-    pair = x.join(y, F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), s.alias("similarity"))
+    """(a, b, similarity) of the n most similar pairs of clusters (key, centroid of length one) that are neither surely one nor surely two."""
+    pair = similar_pairs(centroids, None, low - 1e-9).withColumn("similarity", F.round("similarity", 9))
     return pair.where((F.col("similarity") >= low) & (F.col("similarity") < high)).orderBy(F.desc("similarity"), "a", "b").limit(n)

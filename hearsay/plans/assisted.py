@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from hearsay.functions import models as md
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
+from hearsay.operators.lineage import cut
+from hearsay.operators.vectors import similar_pairs
 
 #: States that a model may name, and the longest reason.
 JUDGED = ("resolved", "ongoing", "not_applicable")
@@ -107,17 +109,17 @@ def aligned(new: DataFrame, old: DataFrame, threshold: float = cl.ALIGN, rounds:
 
     In each round, pairs that are the best of both their sides are taken, and all other pairs of
     those sides go. That is the greedy choice over the sorted pairs, without a sorted list
-    anywhere. Keys decide ties. The centroids are the events of two runs.
+    anywhere. Keys decide ties. Pairs above the threshold come from cells of near vectors (see
+    similar_pairs), and each round is cut off from those before.
     """
-    near = new.select(F.col("key").alias("a"), F.col("centroid").alias("x")).join(old.select(F.col("key").alias("b"), F.col("centroid").alias("y")), cl.dot(F.col("x"), F.col("y")) >= threshold)
-    left, taken = near.select("a", "b", cl.dot(F.col("x"), F.col("y")).alias("s")).cache(), []
+    left, taken = cut(similar_pairs(new, old, threshold).withColumnRenamed("similarity", "s")), []
     for _ in range(rounds):
         if left.isEmpty():
             break
         order = F.struct("s", "a", "b")
-        best = left.groupBy("a").agg(F.max(order).alias("m")).select("m.*").join(left.groupBy("b").agg(F.max(order).alias("m")).select("m.*"), ["a", "b", "s"]).cache()
+        best = cut(left.groupBy("a").agg(F.max(order).alias("m")).select("m.*").join(left.groupBy("b").agg(F.max(order).alias("m")).select("m.*"), ["a", "b", "s"]))
         taken.append(best)
-        left = left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").cache()
+        left = cut(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
     else:
         raise ValueError("the pairs were not matched in the rounds given")
     out = left.limit(0)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
+from hearsay.operators.lineage import folder
 from hearsay.operators.order import global_places, number_of
 from hearsay.plans import assisted as ai
 from hearsay.plans import evidence as ev
@@ -19,6 +21,7 @@ from hearsay.plans import records as rc
 from hearsay.queries import NOW, query, table
 from hearsay.sources import files
 from hearsay.sources import state as st
+from hearsay.sources import vector_index as vi
 
 
 def _now():
@@ -314,6 +317,17 @@ def m05_j11_aligned(spark, sf):
     return ai.aligned(c.where("key % 2 = 0"), c.where("key % 2 = 1"), -0.1).select("key", "old_key")
 
 
+@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, round(list_dot_product(v, embedding::DOUBLE[]), 9) AS s FROM q, embeddings) SELECT query, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM s WHERE s >= 0.05 QUALIFY rank <= 30""")
+def s15_m11_stored_index(spark, sf):
+    """An index of two thirds of the vectors, written, extended by the rest and read again: the thirty nearest to every fiftieth vector."""
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    vi.build(e.where("vec_id % 3 <> 0"), path)
+    vi.extend(e, path, 1)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return vi.search(asked, path, 30, 0.05, version=1).select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query()
 def m06_semantic_events(spark, sf):
     """Events of posts by meaning: clusters of two posts and more, with key and title from the last run where one lies near."""

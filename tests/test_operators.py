@@ -7,6 +7,7 @@ from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
 from hearsay.operators import merge as mg
 from hearsay.operators import relational as rel
+from hearsay.plans import assisted as ai
 
 
 def test_midrank(spark):
@@ -54,7 +55,7 @@ def test_merges_can_run_again(spark):
     assert sorted(map(tuple, mg.upsert(old, new.distinct(), ["k"], ["v"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
-def test_align_takes_each_key_once(spark):
+def test_aligned_takes_each_key_once(spark):
     new = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.9, 0.436])], "key string, centroid array<double>")
     old = spark.createDataFrame([("o", [1.0, 0.0])], "key string, centroid array<double>")
-    assert [p[:2] for p in cl.align(new, old)] == [("x", "o")]
+    assert [(r.key, r.old_key) for r in ai.aligned(new, old).collect()] == [("x", "o")]
