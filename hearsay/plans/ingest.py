@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,21 @@ from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.operators.relational import midrank_percentile
 
-# Native columns of each platform, by the column of a raw post that they fill.
-NATIVE: dict[str, dict[str, str]] = {
-    "xhs": {"external_id": "note_id", "title": "title", "content": "desc", "url": "note_url", "published": "time", "author": "nickname", "likes": "liked_count", "collects": "collected_count", "comments": "comment_count", "shares": "share_count", "keyword": "source_keyword"},
-    "weibo": {"external_id": "note_id", "content": "content", "url": "note_url", "published": "create_time", "author": "nickname", "likes": "liked_count", "comments": "comments_count", "shares": "shared_count", "keyword": "source_keyword"},
-    "tieba": {"external_id": "note_id", "title": "title", "content": "desc", "url": "note_url", "published": "publish_time", "author": "user_nickname", "comments": "total_replay_num", "keyword": "source_keyword"},
-    "zhihu": {"external_id": "content_id", "title": "title", "content": "content_text", "url": "content_url", "published": "created_time", "author": "user_nickname", "likes": "voteup_count", "comments": "comment_count", "keyword": "source_keyword"},
-    "ks": {"external_id": "video_id", "title": "title", "content": "desc", "url": "video_url", "published": "create_time", "author": "nickname", "likes": "liked_count", "keyword": "source_keyword"},
+# Native columns of each platform, by the column of a raw post that they fill; of several, the first that holds something.
+NATIVE: dict[str, dict[str, str | tuple[str, ...]]] = {
+    "xhs": {"external_id": "note_id", "title": "title", "content": "desc", "url": "note_url", "published": ("publish_timestamp_ms", "time"), "author": "nickname", "likes": "liked_count", "collects": "collected_count", "comments": "comment_count", "shares": "share_count", "keyword": "source_keyword", "tags": "tag_list"},
+    "weibo": {"external_id": "note_id", "content": "content", "url": "note_url", "published": ("create_time", "create_date_time"), "author": "nickname", "likes": "liked_count", "comments": "comments_count", "shares": "shared_count", "keyword": "source_keyword", "tags": "content"},
+    "tieba": {"external_id": "note_id", "title": "title", "content": "desc", "url": "note_url", "published": "publish_time", "author": "user_nickname", "comments": "total_replay_num", "keyword": "source_keyword", "tags": "tieba_name"},
+    "zhihu": {"external_id": "content_id", "title": "title", "content": "content_text", "url": "content_url", "published": ("created_time", "add_ts"), "author": "user_nickname", "likes": "voteup_count", "comments": "comment_count", "keyword": "source_keyword"},
+    "ks": {"external_id": "video_id", "title": "title", "content": "desc", "url": "video_url", "published": ("create_time", "add_ts"), "author": "nickname", "likes": "liked_count", "comments": "comment_count", "keyword": "source_keyword"},
 }
 COUNTS = ("likes", "collects", "comments", "shares")
+#: How a platform's tags are read: names of a list, topics within the text, or one forum's name.
+_TAGS: dict[str, Callable[[Column], Column]] = {
+    "xhs": tx.tag_names,
+    "weibo": tx.topics,
+    "tieba": lambda x: F.when(tx.stripped(x) != "", F.array(tx.stripped(x))).otherwise(F.array().cast("array<string>")),
+}
 
 
 def published_at(x: Column) -> Column:
@@ -27,23 +35,46 @@ def published_at(x: Column) -> Column:
     return F.coalesce(stamp, F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
 
 
+def _first_time(native: DataFrame, platform: str) -> Column:
+    """The first native time that holds something: neither empty nor, as a number, 0; a zhihu text has to be a number over 0."""
+    names = NATIVE[platform]["published"]
+    found = []
+    for c in (names,) if isinstance(names, str) else names:
+        if c not in native.columns:
+            continue
+        x = tx.stripped(F.col(c))
+        good = x != ""
+        if native.schema[c].dataType.typeName() != "string":
+            good = good & (F.col(c).try_cast("double") != 0)
+        elif platform == "zhihu" and c == "created_time":
+            good = good & (F.coalesce(x.try_cast("long"), F.lit(0)) > 0)
+        found.append(F.when(good, x))
+    return published_at(F.coalesce(*found) if found else F.lit(None).cast("string"))
+
+
 def raw_posts(native: DataFrame, platform: str) -> DataFrame:
-    """Native rows as raw posts: counters that a platform lacks are 0, a missing title is the text's beginning, a missing id a hash."""
+    """Native rows as raw posts.
+
+    Counters that a platform lacks are 0, a missing title is the text's beginning, a missing id a
+    hash. A time that is missing or 0 gives way to the next one, with zhihu and ks in the end to
+    when the row was added. Tags are the names of xhs's list, weibo's topics and tieba's forum.
+    """
     names = NATIVE[platform]
     get = lambda c: F.col(names[c]).cast("string") if names.get(c) in native.columns else F.lit(None).cast("string")
-    ident = F.coalesce(F.nullif(F.trim(get("external_id")), F.lit("")), tx.fallback_id(F.lit(platform), get("url"), get("title"), get("content")))
-    title = tx.first_text(get("title"), F.substring(get("content"), 1, 80), ident)
+    ident = F.coalesce(F.nullif(tx.stripped(get("external_id")), F.lit("")), tx.fallback_id(F.lit(platform), get("url"), get("title"), get("content")))
+    content = tx.stripped(get("content"))
+    title = tx.first_text(tx.stripped(get("title")), F.substring(content, 1, 80), ident)
     return native.select(
         F.lit(platform).alias("platform"),
         F.substring(ident, 1, 255).alias("external_id"),
         F.substring(title, 1, 500).alias("title"),
-        F.coalesce(get("content"), F.lit("")).alias("content"),
-        get("url").alias("url"),
-        F.substring(get("author"), 1, 100).alias("author"),
-        published_at(get("published")).alias("publish_time"),
+        content.alias("content"),
+        F.substring(tx.stripped(get("url")), 1, 500).alias("url"),
+        F.substring(tx.stripped(get("author")), 1, 100).alias("author"),
+        _first_time(native, platform).alias("publish_time"),
         *(tx.int_count(get(c)).alias(c) for c in COUNTS),
-        tx.first_text(get("keyword"), F.lit(platform)).alias("source_keyword"),
-        F.when(F.lit(platform == "weibo"), tx.topics(get("content"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.substring(tx.first_text(tx.stripped(get("keyword")), F.lit(platform)), 1, 255).alias("source_keyword"),
+        (_TAGS[platform](get("tags")) if platform in _TAGS else F.array().cast("array<string>")).alias("tags"),
         F.lit("normal").alias("status"),
     )
 

@@ -391,20 +391,17 @@ def u05_u06_membership(spark, sf):
 
 # --- scalar functions -------------------------------------------------------------------------
 
-_RAW = "CASE event_id % 7 WHEN 0 THEN (event_id % 97)::VARCHAR || '.5万' WHEN 1 THEN (event_id % 89)::VARCHAR || 'k+' WHEN 2 THEN '1,' || (100 + event_id % 900)::VARCHAR WHEN 3 THEN '赞 ' || event_id::VARCHAR WHEN 4 THEN '' WHEN 5 THEN (event_id % 50)::VARCHAR || '千' ELSE NULL END"
-
-
-def _raw() -> Column:
-    return F.expr("CASE event_id % 7 WHEN 0 THEN concat(event_id % 97, '.5万') WHEN 1 THEN concat(event_id % 89, 'k+') WHEN 2 THEN concat('1,', 100 + event_id % 900) WHEN 3 THEN concat('赞 ', event_id) WHEN 4 THEN '' WHEN 5 THEN concat(event_id % 50, '千') ELSE NULL END")
+# A count as text, written alike for both engines.
+_RAW = "CASE event_id % 13 WHEN 0 THEN concat(event_id % 97, '.5万') WHEN 1 THEN concat(event_id % 89, 'k+') WHEN 2 THEN concat('1,', 100 + event_id % 900) WHEN 3 THEN concat('赞 ', event_id) WHEN 4 THEN '' WHEN 5 THEN concat(event_id % 50, '千') WHEN 6 THEN concat('点赞 ', event_id % 9, '.2万') WHEN 7 THEN concat('-', event_id) WHEN 8 THEN concat(event_id % 7, '，', 100 + event_id % 900, '+') WHEN 9 THEN concat(event_id % 5, '.7亿播放') WHEN 10 THEN concat('-', event_id % 9, '.55百') WHEN 11 THEN concat(event_id % 60, 'k') ELSE NULL END"
 
 
 @query(f"""WITH r AS (SELECT event_id, {_RAW} AS x FROM events), s AS (SELECT event_id, x, replace(replace(coalesce(x, ''), ',', ''), '+', '') AS s FROM r),
-n AS (SELECT *, TRY_CAST(regexp_extract(s, '([0-9]+([.][0-9]+)?)', 1) AS DOUBLE) AS n FROM s)
-SELECT event_id, coalesce(CAST(floor(n * CASE WHEN regexp_matches(s, '[万w]') THEN 10000 WHEN regexp_matches(s, '[千k]') THEN 1000 ELSE 1 END) AS BIGINT), 0) AS anywhere, coalesce(CAST(floor(n * CASE WHEN s LIKE '%万' THEN 10000 WHEN s LIKE '%k' THEN 1000 ELSE 1 END) AS BIGINT), 0) AS suffix,
-CASE WHEN regexp_matches(replace(x, ',', ''), '^-?[0-9]+([.][0-9]+)?[亿万千百]?$') THEN CAST(floor(n * CASE WHEN s LIKE '%万' THEN 10000 WHEN s LIKE '%千' THEN 1000 ELSE 1 END) AS BIGINT) END AS whole,
+n AS (SELECT *, regexp_replace(trim(regexp_replace(x, '[,，]|次赞|点赞|收藏|评论|分享|阅读|浏览|播放', '', 'g')), '[+]+$', '') AS w, TRY_CAST(regexp_extract(s, '([0-9]+([.][0-9]+)?)', 1) AS DOUBLE) AS n FROM s)
+SELECT event_id, coalesce(CAST(floor(n * CASE WHEN regexp_matches(s, '[万w]') THEN 10000 WHEN regexp_matches(s, '[千k]') THEN 1000 ELSE 1 END) AS BIGINT), 0) AS anywhere, coalesce(CAST(floor(n * CASE WHEN x LIKE '%万' THEN 10000 WHEN x LIKE '%k' THEN 1000 ELSE 1 END) AS BIGINT), 0) * CASE WHEN x LIKE '-%' THEN 0 ELSE 1 END AS suffix,
+CASE WHEN regexp_matches(w, '^-?[0-9]+([.][0-9]+)?[亿万千百]?$') THEN CAST(trunc(TRY_CAST(regexp_extract(w, '(-?[0-9]+([.][0-9]+)?)', 1) AS DOUBLE) * CASE WHEN w LIKE '%亿' THEN 100000000 WHEN w LIKE '%万' THEN 10000 WHEN w LIKE '%千' THEN 1000 WHEN w LIKE '%百' THEN 100 ELSE 1 END) AS BIGINT) END AS whole,
 TRY_CAST(regexp_extract(x, '([0-9]+)', 1) AS BIGINT) AS digits FROM n""")
 def c02_c03_c04_c05_counts(spark, sf):
-    e = table(spark, sf, "events").select("event_id", _raw().alias("x"))
+    e = table(spark, sf, "events").select("event_id", F.expr(_RAW).alias("x"))
     return e.select("event_id", tx.parse_int(F.col("x")).alias("anywhere"), tx.int_count(F.col("x")).alias("suffix"), tx.count_value(F.col("x")).alias("whole"), tx.first_digits(F.col("x")).alias("digits"))
 
 

@@ -30,69 +30,88 @@ def _now():
 
 # --- ingest: native rows of each platform to raw posts, processed posts and their ranks --------
 
-# Documents as native rows: the first five sources by their number are the platforms.
-_PLATFORM = "CASE substring(source, 4) WHEN '0' THEN 'xhs' WHEN '1' THEN 'weibo' WHEN '2' THEN 'tieba' WHEN '3' THEN 'zhihu' WHEN '4' THEN 'ks' END"
-_SQUEEZED = r"trim(regexp_replace({}, '[\s]+', ' ', 'g'))"
-_RAW_SQL = rf"""
-WITH d AS (SELECT {_PLATFORM} AS platform, doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substring(text, 1, 30) END AS t, text, n_chars, 1704067200 + doc_id AS tm FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')),
-r AS (SELECT platform, 'p' || doc_id AS external_id, substring(coalesce(CASE WHEN platform <> 'weibo' THEN nullif(t, '') END, nullif(substring(text, 1, 80), ''), 'p' || doc_id), 1, 500) AS title, text AS content, tm,
-  CASE WHEN platform = 'tieba' THEN 0 ELSE n_chars % 1000 END AS likes, CASE WHEN platform = 'xhs' THEN n_chars % 7 ELSE 0 END AS collects, CASE WHEN platform = 'ks' THEN 0 ELSE n_chars % 11 END AS comments, CASE WHEN platform IN ('xhs', 'weibo') THEN n_chars % 5 ELSE 0 END AS shares FROM d)
-"""
+# All documents as native rows, dealt to the platforms by doc_id.
+_WHITE = r"[\s\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _stripped(x):
+    return f"regexp_replace(coalesce({x}, ''), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
 
 
-def _native(spark, sf, platform, source):
-    """Rows with a platform's own column names, made of the documents of one source."""
-    names = ingest.NATIVE[platform]
-    d = table(spark, sf, "documents").where(F.col("source") == source)
-    made = {
-        "external_id": F.concat(F.lit("p"), F.col("doc_id").cast("string")),
-        "title": F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 30)),
-        "content": F.col("text"),
-        "published": (F.col("doc_id") + 1704067200).cast("string"),
-        "likes": (F.col("n_chars") % 1000).cast("string"),
-        "collects": (F.col("n_chars") % 7).cast("string"),
-        "comments": (F.col("n_chars") % 11).cast("string"),
-        "shares": (F.col("n_chars") % 5).cast("string"),
-    }
-    return d.select(*(c.alias(names[k]) for k, c in made.items() if k in names))
+def _squeezed(x):
+    return f"trim(regexp_replace({x}, '{_WHITE}+', ' ', 'g'))"
+
+
+_RAW_SQL = rf"""
+WITH d AS (SELECT ['xhs', 'weibo', 'tieba', 'zhihu', 'ks'][doc_id % 5 + 1] AS platform, doc_id, lang, source, n_chars, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substring(text, 1, 30) END AS t, CASE WHEN doc_id % 5 = 1 THEN '#' || source || '[超话]# ' || text || ' #' || lang || '##' || source || '#' ELSE text END AS text FROM documents),
+e AS (SELECT *, {_stripped('text')} AS content, {_stripped("CASE WHEN platform = 'weibo' THEN '' ELSE t END")} AS own,
+  list_filter(list_transform(regexp_extract_all(text, '#([^#\r\n]{{1,32}})#', 1), lambda x: trim(regexp_replace(trim(x), '\[超话\]$', ''))), lambda x: length(x) BETWEEN 2 AND 20) AS l FROM d),
+r AS (SELECT platform, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'generated:' || substring(sha1(platform || '|' || '' || '|' || CASE WHEN platform = 'weibo' THEN '' ELSE coalesce(t, '') END || '|' || text), 1, 20) ELSE 'p' || doc_id END AS external_id, own, content,
+  1704067200 + doc_id + CASE WHEN platform IN ('zhihu', 'ks') AND doc_id % 3 > 0 THEN 86400 WHEN platform IN ('xhs', 'weibo') AND doc_id % 3 = 0 THEN 3600 ELSE 0 END - CASE WHEN platform = 'tieba' THEN (1704067200 + doc_id) % 60 ELSE 0 END AS tm,
+  CASE platform WHEN 'xhs' THEN list_distinct_kept([lang, source, lang]) WHEN 'weibo' THEN list_filter(l, lambda x, i: list_position(l, x) = i) WHEN 'tieba' THEN CASE WHEN doc_id % 2 = 0 THEN [source] ELSE [] END ELSE [] END AS tags,
+  CASE WHEN platform = 'tieba' THEN 0 WHEN doc_id % 6 = 0 THEN (n_chars % 50) * 10000 ELSE n_chars % 1000 END AS likes, CASE WHEN platform = 'xhs' THEN n_chars % 7 ELSE 0 END AS collects, n_chars % 11 AS comments, CASE WHEN platform IN ('xhs', 'weibo') THEN n_chars % 5 ELSE 0 END AS shares FROM e),
+raw AS (SELECT *, substring(CASE WHEN own <> '' THEN own WHEN substring(content, 1, 80) <> '' THEN substring(content, 1, 80) ELSE external_id END, 1, 500) AS title FROM r)
+""".replace("list_distinct_kept([lang, source, lang])", "[lang, source]")
+
+
+def _native(spark, sf, platform, k):
+    """Rows with a platform's own column names, made of every fifth document, with holes in titles, ids and times."""
+    i, at = F.col("doc_id"), F.col("doc_id") + 1704067200
+    holes = i % 3
+    d = table(spark, sf, "documents").where(i % 5 == k)
+    likes = F.when(i % 6 == 0, F.concat((F.col("n_chars") % 50).cast("string"), F.lit("万"))).otherwise((F.col("n_chars") % 1000).cast("string"))
+    ident = F.when(i % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("p"), i.cast("string")))
+    title, text, comments, shares = F.when(i % 4 != 0, F.substring("text", 1, 30)), F.col("text"), (F.col("n_chars") % 11).cast("string"), (F.col("n_chars") % 5).cast("string")
+    if platform == "xhs":
+        tags = F.when(i % 2 == 0, F.to_json(F.array(*(F.struct(F.col(c).alias("name")) for c in ("lang", "source", "lang"))))).otherwise(F.to_json(F.array("lang", "source")))
+        return d.select(ident.alias("note_id"), title.alias("title"), text.alias("desc"), F.when(holes > 0, at * 1000).alias("publish_timestamp_ms"), ((at + 3600) * 1000).alias("time"), likes.alias("liked_count"), (F.col("n_chars") % 7).alias("collected_count"), comments.alias("comment_count"), shares.alias("share_count"), tags.alias("tag_list"))
+    if platform == "weibo":
+        topics = F.concat(F.lit("#"), "source", F.lit("[超话]# "), "text", F.lit(" #"), "lang", F.lit("##"), "source", F.lit("#"))
+        return d.select(ident.alias("note_id"), topics.alias("content"), F.when(holes > 0, at).otherwise(0).alias("create_time"), F.date_format(F.timestamp_seconds(at + 3600), "yyyy-MM-dd HH:mm:ss").alias("create_date_time"), likes.alias("liked_count"), comments.alias("comments_count"), shares.alias("shared_count"))
+    if platform == "tieba":
+        return d.select(ident.alias("note_id"), title.alias("title"), text.alias("desc"), F.date_format(F.timestamp_seconds(at), "yyyy/MM/dd HH:mm").alias("publish_time"), comments.alias("total_replay_num"), F.when(i % 2 == 0, F.col("source")).otherwise(" ").alias("tieba_name"))
+    later = ((at + 86400) * 1000).alias("add_ts")
+    if platform == "zhihu":
+        created = F.when(holes == 0, at.cast("string")).when(holes == 1, "0").otherwise("unknown")
+        return d.select(ident.alias("content_id"), title.alias("title"), text.alias("content_text"), created.alias("created_time"), later, likes.alias("voteup_count"), comments.alias("comment_count"))
+    return d.select(ident.alias("video_id"), title.alias("title"), text.alias("desc"), F.when(holes == 0, at * 1000).when(holes == 1, 0).alias("create_time"), later, likes.alias("liked_count"), comments.alias("comment_count"))
 
 
 def _raw(spark, sf):
-    parts = [ingest.raw_posts(_native(spark, sf, p, f"src{k}"), p) for k, p in enumerate(("xhs", "weibo", "tieba", "zhihu", "ks"))]
+    parts = [ingest.raw_posts(_native(spark, sf, p, k), p) for k, p in enumerate(ingest.NATIVE)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-@query(f"""{_RAW_SQL} SELECT platform, external_id, md5(title) AS title, length(content) AS n, likes::BIGINT AS likes, collects::BIGINT AS collects, comments::BIGINT AS comments, shares::BIGINT AS shares, tm AS published FROM r""")
+@query(f"""{_RAW_SQL} SELECT platform, external_id, md5(title) AS title, md5(content) AS content, array_to_string(tags, '|') AS tags, likes::BIGINT AS likes, collects::BIGINT AS collects, comments::BIGINT AS comments, shares::BIGINT AS shares, tm AS published FROM raw""")
 def p01_p02_p03_p04_p05_raw_posts(spark, sf):
     """Native rows of five platforms as raw posts."""
     raw = _raw(spark, sf)
-    return raw.select("platform", "external_id", F.md5(F.col("title").cast("binary")).alias("title"), F.length("content").cast("long").alias("n"), *(F.col(c).cast("long").alias(c) for c in ingest.COUNTS), F.unix_seconds("publish_time").alias("published"))
+    return raw.select("platform", "external_id", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("title", "content")), F.array_join("tags", "|").alias("tags"), *(F.col(c).cast("long").alias(c) for c in ingest.COUNTS), F.unix_seconds("publish_time").alias("published"))
 
 
-@query(f"""{_RAW_SQL} SELECT platform || ':' || external_id AS note_id, round(likes + collects * 1.5 + comments * 3.0 + shares * 2.5, 2)::DOUBLE AS heat_score, CASE WHEN {_SQUEEZED.format('content')} = '' THEN md5(substring({_SQUEEZED.format('title')}, 1, 40)) ELSE md5(substring({_SQUEEZED.format('content')}, 1, 40)) END AS content FROM r WHERE NOT regexp_matches(title || content, '<|&|[^\\x00-\\x7f]')""")
+@query(f"""{_RAW_SQL}, c AS (SELECT *, {_squeezed('title')} AS t, {_squeezed('content')} AS s FROM raw) SELECT platform || ':' || external_id AS note_id, round(likes + collects * 1.5 + comments * 3.0 + shares * 2.5, 2)::DOUBLE AS heat_score, md5(CASE WHEN s = '' THEN t ELSE s END) AS content, md5(CASE WHEN t = '' THEN substring(s, 1, 30) ELSE t END) AS title FROM c""")
 def p08_processed_posts(spark, sf):
     """Raw posts as cleaned posts with heat; titles and texts stand in for each other."""
-    raw = _raw(spark, sf).where(~F.concat("title", "content").rlike(r"<|&|[^\x00-\x7f]"))
-    return ingest.processed_posts(raw).select("note_id", "heat_score", F.md5(F.substring("content", 1, 40).cast("binary")).alias("content"))
+    return ingest.processed_posts(_raw(spark, sf)).select("note_id", "heat_score", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("title", "content")))
 
 
-@query(f"""{_RAW_SQL}, h AS (SELECT platform, external_id, round(likes + collects * 1.5 + comments * 3.0 + shares * 2.5, 2) AS heat FROM r)
+@query(f"""{_RAW_SQL}, h AS (SELECT platform, external_id, round(likes + collects * 1.5 + comments * 3.0 + shares * 2.5, 2) AS heat FROM raw)
 SELECT platform || ':' || external_id AS note_id, round((rank() OVER (PARTITION BY platform ORDER BY heat) - 1 + count(*) OVER (PARTITION BY platform, heat) / 2) * 100.0 / count(*) OVER (PARTITION BY platform), 2) AS heat_rank FROM h""")
 def d02_processed_and_ranked(spark, sf):
     """The whole chain: new raw posts cleaned, beside those processed before, and all of them ranked anew within their platform."""
     raw = _raw(spark, sf)
-    old = ingest.processed_posts(raw.where("substring(external_id, 2) % 2 = 0"))
+    old = ingest.processed_posts(raw.where("likes % 2 = 0"))
     new = ingest.processed_posts(raw, old)
     return ingest.ranked_posts(old.unionByName(new)).select("note_id", "heat_rank")
 
 
-@query("""SELECT doc_id::VARCHAR AS external_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a' || doc_id END, 'b' || doc_id) AS content, CASE WHEN doc_id % 5 = 0 THEN n_chars::VARCHAR ELSE doc_id::VARCHAR END AS like_count FROM documents WHERE doc_id > 0""")
+@query("""SELECT doc_id::VARCHAR AS external_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a' || doc_id END, 'b' || doc_id) AS content, CASE WHEN doc_id % 5 = 0 THEN n_chars::VARCHAR ELSE doc_id::VARCHAR END AS like_count FROM documents""")
 def p06_aliased_json(spark, sf):
-    """Loose JSON rows: the first of a field's names that is there and neither empty nor 0."""
-    d = table(spark, sf, "documents").where("doc_id > 0").select(F.lit("").alias("external_id"), F.lit(None).cast("string").alias("note_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("a"), "doc_id")).otherwise("").alias("content"), F.concat(F.lit("b"), "doc_id").alias("desc"), F.when(F.col("doc_id") % 5 == 0, F.lit(0)).otherwise(F.col("doc_id")).alias("like_count"), F.col("n_chars").alias("liked_count"))
+    """Loose JSON rows: the first of a field's names that is there and neither empty nor 0, else the last one as it is."""
+    d = table(spark, sf, "documents").select(F.lit("").alias("external_id"), F.lit(None).cast("string").alias("note_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("a"), "doc_id")).otherwise("").alias("content"), F.concat(F.lit("b"), "doc_id").alias("desc"), F.when(F.col("doc_id") % 5 == 0, F.lit(0)).otherwise(F.col("doc_id")).alias("like_count"), F.col("n_chars").alias("liked_count"))
     return files.aliased(d, {"external_id": ("external_id", "note_id", "id"), "content": ("content", "desc", "summary"), "like_count": ("like_count", "liked_count")})
 
 

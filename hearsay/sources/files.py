@@ -28,10 +28,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, *, lines:
 
 
 def aliased(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One column for each name, the first of its aliases that is there and neither empty nor 0."""
+    """One column for each name, the first of its aliases that is there and neither empty nor 0; where none is, the last one's value as it is."""
 
     def pick(name: str, names: Sequence[str]) -> Column:
-        there = [F.nullif(F.nullif(F.col(n).cast("string"), F.lit("")), F.lit("0")) for n in names if n in df.columns]
+        there = [F.nullif(F.nullif(F.col(n).cast("string"), F.lit("")), F.lit("0")) for n in names[:-1] if n in df.columns]
+        there += [F.col(names[-1]).cast("string")] if names[-1] in df.columns else []
         return (F.coalesce(*there) if there else F.lit(None).cast("string")).alias(name)
 
     return df.select(*(pick(k, v) for k, v in columns.items()))
