@@ -11,8 +11,8 @@ from hearsay.functions import score as sc
 from hearsay.functions import text as tx
 from hearsay.operators.order import global_places
 
-#: Seconds between two posts of a user, reports that hide a comment, and the longest texts.
-COOLDOWN, HIDING_REPORTS = 10.0, 5
+#: Reports that hide a comment, and the longest texts.
+HIDING_REPORTS = 5
 COMMENT_CHARS, TITLE_CHARS, CONTENT_CHARS, IMAGES = 300, 100, 5000, 9
 
 
@@ -22,24 +22,6 @@ def rule_mood(text: Column) -> Column:
     return sc.note_risk(tx.clean_text(text), F.lit("neutral"), F.lit("low"), zero, zero, F.lit(0.0), F.lit(0.0))["sentiment"]
 
 
-def let_through(rows: DataFrame, user: str = "user_id", at: str = "ts", order: str = "event_id", seconds: float = COOLDOWN) -> DataFrame:
-    """rows with `allowed`: whether at least `seconds` have passed since the user's last row that was allowed.
-
-    A refused row does not move the clock, so each row depends on all before it: tries at 0, 6
-    and 12 seconds allow the first and the third. A user's times are gathered in order (one
-    array of numbers a user), walked once, and joined back.
-    """
-    time = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("kept"))
-
-    def walk(state: Column, x: Column) -> Column:
-        ok = state["last"].isNull() | (x["t"] - state["last"] >= int(seconds * 1_000_000))
-        return F.struct(F.when(ok, x["t"]).otherwise(state["last"]).alias("last"), F.when(ok, F.array_append(state["kept"], x["o"])).otherwise(state["kept"]).alias("kept"))
-
-    kept = rows.groupBy(user).agg(F.array_sort(F.collect_list(time)).alias("times")).select(F.col(user), F.explode(F.aggregate("times", start, walk)["kept"]).alias(order))
-    return rows.join(kept.withColumn("allowed", F.lit(True)), [user, order], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
-
-
 def checked_comments(comments: DataFrame, events: DataFrame, known: DataFrame) -> DataFrame:
     """New comments (id, event_id, user_id, username, content, parent_id) with content as stored, sentiment, and error, null if a comment may be stored.
 

@@ -16,6 +16,7 @@ from hearsay.operators import cluster as cl
 from hearsay.operators import merge as mg
 from hearsay.operators import order as od
 from hearsay.operators import relational as rel
+from hearsay.operators.chains import let_through
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -593,8 +594,6 @@ w AS (SELECT user_id, event_id, i, t AS last, true AS allowed FROM e WHERE i = 1
 SELECT user_id, event_id, allowed FROM w""")
 def st06_cooldown(spark, sf):
     """At most one post in ten seconds, counted from the last that was let through."""
-    from hearsay.plans.records import let_through
-
     return let_through(table(spark, sf, "events").select("user_id", "event_id", "ts")).select("user_id", "event_id", "allowed")
 
 

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def distinct_writes(stream: DataFrame, keys: list[str], at: str = "ts", late: str = "1 day") -> DataFrame:
-    """Each key once within the watermark; rows without an id pass."""
-    known = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
-    return known
+def write_id(item_type: Column, note_id: Column, comment_id: Column) -> Column:
+    """The id that a written item goes by: a comment's own one, or else its post's, and the other way round for posts; null where both are null or empty."""
+    note, comment = (F.nullif(x.cast("string"), F.lit("")) for x in (note_id, comment_id))
+    return F.when(item_type == "comments", F.coalesce(comment, note)).otherwise(F.coalesce(note, comment))
+
+
+def distinct_writes(stream: DataFrame, scope: Sequence[str], id_col: str, at: str = "ts", late: str = "1 day") -> DataFrame:
+    """Each id once within the watermark for each combination of the scope (platform, crawl and item type); rows without an id, null or empty, all pass."""
+    known = stream.where(F.coalesce(F.col(id_col).cast("string"), F.lit("")) != "")
+    passing = stream.where(F.coalesce(F.col(id_col).cast("string"), F.lit("")) == "")
+    return known.withWatermark(at, late).dropDuplicatesWithinWatermark([*scope, id_col]).union(passing)
 
 
 def windowed_counts(stream: DataFrame, label: str, at: str = "ts", late: str = "1 hour", wide: str = "1 day", slide: str | None = None) -> DataFrame:

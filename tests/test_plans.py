@@ -66,7 +66,7 @@ def test_streams(spark, sf, tmp_path):
         return spark.table(name)
 
     n = source.count()
-    assert run(st.distinct_writes(stream, ["event_id"], late="60 days"), "d").count() == n
+    assert run(st.distinct_writes(stream, [], "event_id", late="60 days"), "d").count() == n
     assert run(st.windowed_counts(stream, "event_type"), "w", "complete").agg(F.sum("n")).first()[0] == n
     got = {r.event_id for r in run(st.cooled_down(stream, seconds=600.0), "c").collect()}
     last, want = {}, set()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearsay.operators import cluster as cl
+from hearsay.operators.chains import let_through
 from hearsay.plans import assisted as ai
 from hearsay.plans import evidence as ev
 from hearsay.plans import reading as rd
@@ -13,8 +14,8 @@ from hearsay.sources import state as st
 
 def test_cooldown_counts_from_the_last_that_was_let_through(spark):
     rows = spark.sql("select * from values (1, 1, timestamp '2024-01-01 00:00:00'), (1, 2, timestamp '2024-01-01 00:00:06'), (1, 3, timestamp '2024-01-01 00:00:12'), (2, 4, timestamp '2024-01-01 00:00:01') t(user_id, event_id, ts)")
-    assert {r.event_id: r.allowed for r in rc.let_through(rows).collect()} == {1: True, 2: False, 3: True, 4: True}
-    assert rc.let_through(rows.limit(0)).count() == 0
+    assert {r.event_id: r.allowed for r in let_through(rows).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert let_through(rows.limit(0)).count() == 0
 
 
 def test_recency_options_and_unjudged_events(spark):
