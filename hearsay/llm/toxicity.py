@@ -1,4 +1,13 @@
-"""Toxic text by a support vector machine over a gap-weighted subsequence string kernel with Nyström landmarks."""
+"""Toxic text by a support vector machine over a gap-weighted subsequence string kernel with Nyström landmarks.
+
+The kernel compares words, and a text is what its most similar words are: for each landmark the
+greatest kernel value of any of its words, taken relative to the landmark's own and cut at 1.25
+(so a word that holds an insult among other letters keeps the insult's whole value), then whitened
+by the landmarks' kernel matrix as in a Nyström map. Whitening such maxima is a max-pooled word
+kernel, not the exact Nyström map of a kernel between texts. Beside it stand the amounts of near
+matches by landmark. Texts of any length are taken apart in pieces of CHUNK bytes and more, the
+longest single text at once; a null or empty text has no words, so all its features are 0.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +19,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.llm import textops as tx
 from hearsay.llm.lineage import cut
 
 ORDER, DECAY, LONGEST = 3, 0.6, 32
 #: Labelled rows that the classifier is fitted on at most, and landmarks: those most tied to the label, and common words beside them.
 MAX_LABELLED, TIED, COMMON = 12_000, 56, 8
-#: Tasks that the sample is dealt to.
-PARTS = 24
+#: Tasks that the sample is dealt to, and bytes of text that a task takes apart at a time.
+PARTS, CHUNK = 24, 1 << 18
 THRESHOLD = 0.7
+#: Begins a piece of a word that isn't its beginning; white space, so no word has it.
+LATER = "\x1f"
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def units(text: str) -> set[str]:
     """The distinct strings of a text that the kernel compares: lower-cased words without punctuation at their ends.
 
-    Letters set apart by spaces are joined to one unit; a longer word gives overlapping pieces.
+    Letters set apart by spaces are joined to one unit; a longer word gives overlapping pieces, of
+    which all but the first begin with LATER.
     """
     low = text.lower().split()
     out = set(low)
@@ -40,14 +53,14 @@ def units(text: str) -> set[str]:
     long = [w for w in out if len(w) > LONGEST]
     for w in long:
         out.discard(w)
-        out.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
+        out.update((LATER if i else "") + w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
     return out
 
 
 def unit(word: str) -> str:
     """A word as the kernel sees it: a mark for its beginning, no punctuation at its ends; empty if too short to compare."""
-    v = word.strip(_EDGE)
-    return f"^{v}" if len(v) >= ORDER else ""
+    v = word.removeprefix(LATER).strip(_EDGE)
+    return "" if len(v) < ORDER else v if word.startswith(LATER) else f"^{v}"
 
 
 def candidates(words: Iterable[str]) -> set[str]:
@@ -57,7 +70,7 @@ def candidates(words: Iterable[str]) -> set[str]:
 
 
 def codes(words: list[str]) -> np.ndarray:
-    return np.array(words, dtype=f"U{LONGEST}").view(np.uint32).reshape(len(words), LONGEST)
+    return np.array(words, dtype=f"U{LONGEST + 1}").view(np.uint32).reshape(len(words), LONGEST + 1)
 
 
 def kernel(left: np.ndarray, right: np.ndarray, paired: bool = False) -> np.ndarray:
@@ -146,20 +159,20 @@ def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.hstack([features[:, :n] @ whiten, features[:, n:]])
 
 
-def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 200_000) -> Iterator[np.ndarray]:
+def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 100_000) -> Iterator[np.ndarray]:
     """For each array of texts, by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
 
     Words met before in the task are looked up, in a table of at most `keep` words at a time; all
     words that are like no landmark share a line of it.
     """
-    code = codes(landmarks) if landmarks else np.zeros((0, LONGEST), np.uint32)
+    code = codes(landmarks) if landmarks else np.zeros((0, LONGEST + 1), np.uint32)
     norm = kernel(code, code, paired=True) if landmarks else np.zeros(0, np.float32)
     place: dict[str, int] = {}
     table = np.zeros((1, len(landmarks)), np.float32)
     for column in columns:
         out = np.zeros((len(column), 2 * len(landmarks)))
-        for first in range(0, len(column), 1000):
-            texts = [units(t or "") for t in column[first : first + 1000].to_pylist()]
+        for part in tx.row_slices(column, CHUNK):
+            texts = [units(t or "") for t in column[part].to_pylist()]
             new = list(set().union(*texts) - place.keys())
             if len(place) + len(new) > keep:
                 place, table, new = {}, table[:1], list(set().union(*texts))
@@ -174,7 +187,7 @@ def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 200_
                 near = [p for w in t if (p := place[w])]
                 if near:
                     own = table[near]
-                    out[first + i] = np.concatenate([own.max(axis=0), np.log1p(np.maximum(own - 0.75, 0).sum(axis=0) * 4)])
+                    out[part.start + i] = np.concatenate([own.max(axis=0), np.log1p(np.maximum(own - 0.75, 0).sum(axis=0) * 4)])
         yield out
 
 
@@ -259,8 +272,8 @@ def fit_sample(sample: DataFrame, *, tied: int = TIED, common: int = COMMON) ->
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in tx.row_slices(batch.column(0), CHUNK):
+                part = batch.slice(at.start, at.stop - at.start)
                 rows = [(w, label) for t, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in candidates(units(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["w", "label"])
 
