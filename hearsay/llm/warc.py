@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.operators.order import range_of
+
 #: Header fields that a 304 response may set anew (fixed values of RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Stretches of time that the captures of one URL are searched in side by side: at least, and captures of one beyond that.
-PARTS, PART_ROWS = 1024, 1 << 20
+#: Stretches of captures that those of one URL are searched in side by side: at least, captures of one beyond that, and at most.
+PARTS, PART_ROWS, MOST_PARTS = 1024, 1 << 20, 16_384
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,14 +33,15 @@ def _lower_names(headers: Column) -> Column:
 def latest_response(records: DataFrame) -> DataFrame:
     """(record_id, response_id) of each revisit: the latest full response to the same canonical URL before it.
 
-    An as-of join by windows. The time line is cut into stretches, PARTS or more; within a stretch a
-    window finds the last response, and across stretches the last one of any stretch before, of
-    which a URL has one row each. So a URL's captures, however many, are spread over tasks.
+    An as-of join by windows. All captures in order of time are cut into stretches of about as many
+    rows, PARTS or more, by a sketch of the times; a moment that fills stretches of its own, as in a
+    burst, is cut by record_id. Within a stretch a window finds the last response, and across
+    stretches the last one of any stretch before, of which a URL has one row each. So a URL's
+    captures, however many and whenever, are spread over tasks, and a wrong date changes no
+    other's stretch. Rows that share a record_id give one row.
     """
     own = records.where("ts is not null and url_key is not null").select("record_id", "url_key", "ts", "full")
-    low, high, n = own.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-    width = (high - low) // max(PARTS, n // PART_ROWS) + 1 if low is not None else 1
-    own = own.withColumn("part", F.floor((F.col("ts") - F.lit(low)) / F.lit(width)))
+    own = own.withColumn("part", _stretch(own))
     response = F.when(F.col("full"), F.col("record_id"))
     along = Window.partitionBy("url_key", "part").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = own.withColumn("near", F.last(response, ignorenulls=True).over(along))
@@ -46,7 +49,21 @@ def latest_response(records: DataFrame) -> DataFrame:
     stretch = own.groupBy("url_key", "part").agg(F.count("*").alias("n")).join(last, ["url_key", "part"], "left")
     carried = F.last("last.record_id", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     stretch = stretch.select("url_key", "part", carried.alias("far"))
-    return near.where("not full").join(stretch, ["url_key", "part"]).select("record_id", F.coalesce("near", "far").alias("response_id"))
+    found = near.where("not full").join(stretch, ["url_key", "part"]).select("record_id", F.coalesce("near", "far").alias("response_id"))
+    return found.groupBy("record_id").agg(F.max("response_id").alias("response_id"))
+
+
+def _stretch(own: DataFrame) -> Column:
+    """The number of a row's stretch; it grows along (ts, record_id)."""
+    parts = min(MOST_PARTS, max(PARTS, own.count() // PART_ROWS))
+    cuts = [F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts).alias(c) for c in ("ts", "record_id")]
+    times, ids = own.agg(*cuts).first()
+    if not times:
+        return F.lit(0)
+    crowded = sorted({a for a, b in zip(times, times[1:], strict=False) if a == b})
+    bounds = sorted({*times, *crowded, *(t + 1 for t in crowded)})
+    within = F.when(F.col("ts").isin(crowded), range_of(F.col("record_id").cast("double"), sorted(set(ids)))).otherwise(0) if crowded else F.lit(0)
+    return range_of(F.col("ts").cast("double"), bounds).cast("long") * (parts + 1) + within
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -60,11 +77,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     PERMITTED that the revisit sets; others have nulls there.
 
     Nulls: without url or ts a record is never resolved nor stands for another; null headers are
-    none. record_id is a key; at equal ts the smaller is earlier. Other columns are ignored.
+    none. record_id is a key, so k rows of a revisit give k rows, and rows of a response stand for
+    one; at equal ts the smaller is earlier. Payloads of any length go through one shuffle. Other
+    columns are ignored.
     """
     own = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False)).alias("full"), F.coalesce(F.col("type") == "revisit", F.lit(False)).alias("revisit"), _lower_names(F.col("headers")).alias("headers"), "payload")
     pair = latest_response(own.where("full or revisit").drop("headers", "payload"))
-    response = own.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload")
+    response = own.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["response_id"])
     found = own.where("revisit").drop("payload").join(pair, "record_id", "left")
     # revisits without a response are spread by their own hash; what they may meet there is dropped
     met = F.coalesce("found_id", F.xxhash64("record_id", F.lit("none")))
