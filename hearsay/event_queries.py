@@ -9,6 +9,7 @@ from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
 from hearsay.operators import curation as cu
 from hearsay.plans import reading as rd
+from hearsay.plans import refine as rf
 from hearsay.queries import query, table
 
 
@@ -137,12 +138,28 @@ def d16_replace_partition(spark, sf):
     return kept.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")).union(c.select("c_custkey", "c_acctbal"))
 
 
-@query("""SELECT label AS cluster, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS part, vec_id AS id FROM embeddings""")
+@query("""WITH RECURSIVE m AS (SELECT label, vec_id AS id, vec_id % 7 AS r, 40.0 * label + vec_id % 30 AS days FROM embeddings),
+n AS (SELECT label, count(*) AS n, count(*) FILTER (r = 6) AS gone, count(*) FILTER (r < 5) AS told FROM m GROUP BY 1),
+ok AS (SELECT label, n BETWEEN 6 AND 5000 AND label <> 3 AND told > 0 AND gone * 3 <= n AS ok FROM n),
+p AS (SELECT m.*, CASE WHEN NOT ok THEN 'kept' WHEN r = 6 THEN 'ejected' WHEN r = 5 THEN 'leftover' ELSE 'topic' END AS kind, CASE WHEN ok AND r < 5 THEN CASE WHEN r % 2 = 0 THEN 'even' ELSE 'odd' END END AS title FROM m JOIN ok USING (label)),
+g AS (SELECT title, label, min(days) AS low, max(days) AS high FROM p WHERE kind = 'topic' GROUP BY title, label),
+t AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY low, label) AS i FROM g),
+b AS (SELECT title, label, i, low AS begun, 0 AS bin FROM t WHERE i = 1
+  UNION ALL SELECT t.title, t.label, t.i, CASE WHEN t.high - b.begun <= 90 THEN b.begun ELSE t.low END, CASE WHEN t.high - b.begun <= 90 THEN b.bin ELSE b.bin + 1 END FROM b JOIN t ON t.title = b.title AND t.i = b.i + 1),
+c AS (SELECT p.*, CASE kind WHEN 'topic' THEN p.title || b.bin WHEN 'ejected' THEN 'x' || id ELSE kind || p.label END AS into_, p.title = 'odd' AND p.label % 2 = 1 AS misc FROM p LEFT JOIN b ON b.title = p.title AND b.label = p.label)
+SELECT min(id) OVER (PARTITION BY into_) AS cluster, id, title, coalesce(bool_or(misc) OVER (PARTITION BY into_), false) AS miscellaneous, kind FROM c""")
 def m08_x03_refined_clusters(spark, sf):
-    def refine(texts):
-        return [[i for i, t in enumerate(texts) if t == "0"] + [-1, 10**6], [i for i, t in enumerate(texts) if t == "1"]]
+    """Clusters that a model takes apart by their texts: two topics, some ejected, some left over; one cluster whose answer can't be used. Topics of one title come together within 90 days."""
 
-    return cu.refined(table(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), (F.col("vec_id") % 2).cast("string").alias("text")), refine)
+    def refine(texts):
+        label, rest = texts[0].split(" ")[0], [int(t.split(" ")[1]) for t in texts]
+        if label == "3":
+            return [{"title": "even", "members": [1, 10**6]}]
+        at = lambda *kinds: [i for i, r in enumerate(rest, 1) if r in kinds]
+        return [{"title": "even", "members": at(0, 2, 4)}, {"title": " odd ", "members": at(1, 3), "miscellaneous": int(label) % 2 == 1}, {"unrelated": True, "members": at(6)}]
+
+    m = table(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), F.concat_ws(" ", F.col("label").cast("string"), (F.col("vec_id") % 7).cast("string")).alias("text"), (40.0 * F.col("label") + F.col("vec_id") % 30).alias("at_days"))
+    return rf.refined_clusters(m, refine, most=5000)[0]
 
 
 @query("""SELECT doc_id AS answer_id, CASE WHEN doc_id % 3 = 0 THEN ['second', 'first'] ELSE ['first'] END AS cited, CASE WHEN doc_id % 2 = 0 THEN ['e9'] ELSE [] END AS invented FROM documents""")

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: calls to a model that a task has waiting at once.
+CONCURRENCY = 8
+
 
 def hash_embedder(size: int = 64) -> Callable[[Sequence[str]], np.ndarray]:
     """Unit vectors from hashed character triples: a stand-in for an embedding model that gives the same vectors everywhere."""
@@ -61,18 +66,28 @@ def classified(text: Column, classify: Callable[[Sequence[str]], Sequence[str |
     return F.coalesce(run(text), fallback)
 
 
-def mapped_calls(df: DataFrame, key: str, text: str, call: Callable[[str], str]) -> DataFrame:
-    """(key, answer, error) of a call for each row, spread over tasks; a call that raises leaves its message and no answer."""
+def at_once(call: Callable[[Any], Any], items: Sequence[Any], concurrency: int = CONCURRENCY) -> list[tuple[Any, str | None]]:
+    """(answer, error) of a call for each item, in order, so many at once; a call that raises leaves its message and no answer."""
+
+    def tried(item: Any) -> tuple[Any, str | None]:
+        try:
+            return call(item), None
+        except Exception as e:  # noqa: BLE001  recorded beside the item
+            return None, f"{type(e).__name__}: {e}"
+
+    if concurrency <= 1 or len(items) < 2:
+        return [tried(item) for item in items]
+    with ThreadPoolExecutor(min(concurrency, len(items))) as pool:
+        return list(pool.map(tried, items))
+
+
+def mapped_calls(df: DataFrame, key: str, text: str, call: Callable[[str], str], concurrency: int = CONCURRENCY) -> DataFrame:
+    """(key, answer, error) of a call for each row, spread over tasks, of which each waits for so many at once; a call that raises leaves its message and no answer."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for k, t in zip(part[key], part[text], strict=True):
-                try:
-                    rows.append((k, call(t), None))
-                except Exception as e:  # noqa: BLE001  recorded beside the row
-                    rows.append((k, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[key, "answer", "error"])
+            told = at_once(call, list(part[text]), concurrency)
+            yield pd.DataFrame({key: part[key], "answer": [a for a, _ in told], "error": [e for _, e in told]})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, answer string, error string")
