@@ -22,6 +22,7 @@ from hearsay.queries import NOW, query, table
 from hearsay.sources import files
 from hearsay.sources import state as st
 from hearsay.sources import vector_index as vi
+from hearsay.streaming import memory as mm
 
 
 def _now():
@@ -508,6 +509,22 @@ def st07_remembered(spark, sf):
     return st.remembered(last, _now(), 36.0).select("user_id", "last_keyword")
 
 
+_TURN = "CASE event_id % 5 WHEN 0 THEN 'switch' WHEN 4 THEN 'global' ELSE 'continue' END"
+
+
+@query(f"""WITH t AS (SELECT user_id, event_id AS turn_id, ts, CASE {_TURN} WHEN 'switch' THEN event_type WHEN 'global' THEN '' END AS said, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 24 * 3600000000 AS anew FROM events),
+s AS (SELECT *, count(*) FILTER (anew) OVER (PARTITION BY user_id ORDER BY ts, turn_id) AS part FROM t),
+k AS (SELECT *, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY ts, turn_id), '') AS keyword, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, turn_id) AS n FROM s),
+l AS (SELECT *, list_reverse(coalesce(list(keyword) FILTER (keyword <> '') OVER (PARTITION BY user_id, part ORDER BY ts, turn_id), [])) AS l FROM k)
+SELECT user_id, turn_id, keyword, turn_id::VARCHAR AS last_question, least(n, 6)::BIGINT AS n_history, array_to_string(list_reverse(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5]), '|') AS trail FROM l""")
+def st07_st12_streamed_memory(spark, sf):
+    """What a chat remembers after each turn, by a stream whose state expires after a day."""
+    schema = table(spark, sf, "events").schema
+    # a pattern, as a stream reads folders or patterns only
+    turns = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select("user_id", F.col("event_id").alias("turn_id"), "ts", F.expr(_TURN).alias("topic"), F.col("event_type").alias("keyword"), F.col("event_id").cast("string").alias("question"))
+    return mm.run_to_table(mm.remembered(turns), folder(spark))
+
+
 @query("""SELECT p_partkey AS id, nullif(p_retailprice, 900.0) AS price FROM part ORDER BY 1 LIMIT 0""")
 def s05_first_rows(spark, sf):
     """Rows of a file as a preview; here none of them, with the columns that a preview has."""
