@@ -16,6 +16,7 @@ from hearsay.operators import cluster as cl
 from hearsay.operators import merge as mg
 from hearsay.operators import order as od
 from hearsay.operators import relational as rel
+from hearsay.operators import words as wd
 from hearsay.operators.chains import let_through
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,6 +317,25 @@ def j17_c35_dictionary_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.word_hits(F.col("text"), WORDS).alias("hits"), sc.event_class(F.col("text"), F.col("source"), rules).alias("category"))
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]{3,}')) AS word FROM benchmark), m AS (SELECT doc_id, word, instr(lower(text), word) AS pos FROM documents, w WHERE contains(lower(text), word))
+SELECT doc_id, count(*) AS hits, arg_min(word, (-length(word), word)) AS longest, arg_min(word, (pos, -length(word))) AS first FROM m GROUP BY 1""")
+def j17_c14_z31_many_words(spark, sf):
+    """Every document against all words of the benchmark's items: how many it holds, the longest, and the one that comes first."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]{3,}"), F.lit(0))).alias("word"))
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return wd.answers(wd.matched(docs, words, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def a30_z38_segmented_words(spark, sf):
+    """The most frequent words of conversations from which all blanks were taken, split by the dictionary of the documents' words; the twenty most frequent of those are stop words."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    dictionary = table(spark, sf, "documents").select(word).groupBy("word").agg(F.count("*").alias("n"))
+    stop = dictionary.orderBy(F.desc("n"), "word").limit(20)
+    said = table(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.regexp_replace(F.lower("text"), r"[^\p{L}.!?]", "").alias("text"))
+    return wd.word_frequencies(wd.segmented(said, dictionary, "id", "text", characters=r"^\W\d_"), stop, 50)
+
+
 @query("""WITH c AS (SELECT event_id AS comment_id, CASE WHEN event_id % 4 > 0 THEN event_id - event_id % 4 END AS parent_id FROM events) SELECT p.comment_id, coalesce(list(r.comment_id ORDER BY r.comment_id) FILTER (r.comment_id IS NOT NULL), []) AS replies FROM c p LEFT JOIN c r ON r.parent_id = p.comment_id WHERE p.parent_id IS NULL GROUP BY p.comment_id""")
 def j18_comment_tree(spark, sf):
     c = table(spark, sf, "events").select(F.col("event_id").alias("comment_id"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") - F.col("event_id") % 4).alias("parent_id"))
