@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearsay.functions import text as tx
 from hearsay.operators import cluster as cl
 from hearsay.operators import curation as cu
+from hearsay.plans import pages as pg
 from hearsay.plans import reading as rd
 from hearsay.plans import refine as rf
 from hearsay.queries import query, table
@@ -82,9 +83,36 @@ def c39_tag_weights(spark, sf):
     return t.withColumn("top", F.max("n").over(Window.partitionBy("source"))).where("n >= 2").select("source", "tag", F.round(F.col("n") / F.col("top"), 6).alias("weight"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', '', 'g') AS title, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS links FROM pages""")
-def s21_p13_page_rows(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "<[^>]*>", "").alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).cast("long").alias("links"))
+_ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+
+
+@query(rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', 2) AS t FROM pages),
+l AS (SELECT page_id, url, unnest(h) AS h, trim(regexp_replace(regexp_replace(unnest(t), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title, generate_subscripts(h, 1) AS i FROM a),
+r AS (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h ELSE {_ORIGIN} || h END AS link, title, i FROM l WHERE title <> ''),
+f AS (SELECT page_id, link, arg_min(title, i) AS title, min(i) AS i FROM r GROUP BY 1, 2)
+SELECT page_id, link AS url, title, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM f""")
+def s21_p13_page_links(spark, sf):
+    """Every page's links, resolved against its address, each once in order of the page."""
+    return pg.links(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("""WITH p AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+i AS (SELECT page_id, unnest([page_id * 10 + 1, page_id * 10 + 2, page_id * 10 + 1, 0, page_id * 10 + 3]) AS tid, unnest([trim(t), 'second } ' || page_id, 'again', 'no id', CASE WHEN page_id % 2 = 0 THEN '' ELSE 'third' END]) AS title, unnest(range(5)) AS k FROM p),
+f AS (SELECT page_id, tid, arg_min(title, k) AS title, min(k) AS k FROM i WHERE tid > 0 AND title <> '' GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place FROM f)
+SELECT page_id, 'tieba_' || tid AS post_id, title, CASE WHEN k = 1 THEN '贴吧主题帖 tid=' || tid ELSE 'text "{' || tid || '}"' END AS content, CASE k WHEN 0 THEN 'ann' WHEN 1 THEN 'bob' ELSE '' END AS author, 'https://t.example/p/' || tid AS url, place FROM q""")
+def s21_c54_embedded_posts(spark, sf):
+    """Posts of the state that a script of each page holds: brackets within strings, ids that repeat or lack, titles that lack."""
+    p = table(spark, sf, "pages")
+    i = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    said = lambda tid: F.concat(F.lit('text "{'), tid.cast("string"), F.lit('}"'))
+    item = lambda tid, title, content, author: F.to_json(F.named_struct(F.lit("tid"), tid, F.lit("title"), title, F.lit("abstract"), content, F.lit("author"), author))
+    ann, bob, none = F.struct(F.lit("ann").alias("name")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("bob").alias("display_name")), F.lit(None).cast("string")
+    items = [item(i * 10 + 1, title, said(i * 10 + 1), ann), item(i * 10 + 2, F.concat(F.lit("second } "), i.cast("string")), none, bob), item(i * 10 + 1, F.lit("again"), none, none), item(F.lit(0), F.lit("no id"), none, none), item(i * 10 + 3, F.when(i % 2 == 0, "").otherwise("third"), said(i * 10 + 3), none)]
+    state = F.concat(F.lit('<script>window.__STATE__ = {"x": "}", "data": {"thread_list": ['), F.concat_ws(",", *items), F.lit("]}};</script>"))
+    found = pg.state_of(p.select("page_id", F.concat("html", state).alias("html")), '"thread_list"')
+    return pg.threads(found, "https://t.example").withColumnRenamed("id", "page_id")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'answer' WHEN 'view' THEN 'article' ELSE 'video' END AS kind, CASE WHEN event_type = 'click' THEN 'https://a/' || event_id::VARCHAR WHEN event_type = 'view' THEN 'https://b/' || event_id::VARCHAR ELSE 'https://v/' || event_id::VARCHAR END AS url FROM events""")
