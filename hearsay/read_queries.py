@@ -13,11 +13,13 @@ from hearsay.operators import cluster as cl
 from hearsay.operators.lineage import folder
 from hearsay.operators.order import global_places, number_of
 from hearsay.plans import assisted as ai
+from hearsay.plans import catalog as ct
 from hearsay.plans import evidence as ev
 from hearsay.plans import events as pe
 from hearsay.plans import ingest, planner
 from hearsay.plans import reading as rd
 from hearsay.plans import records as rc
+from hearsay.plans import runs as rn
 from hearsay.queries import NOW, query, table
 from hearsay.sources import files
 from hearsay.sources import state as st
@@ -509,6 +511,32 @@ def st07_remembered(spark, sf):
     return st.remembered(last, _now(), 36.0).select("user_id", "last_keyword")
 
 
+@query("""WITH w(t, c) AS (VALUES ('orders', 'o_orderkey'), ('orders', 'o_custkey'), ('documents', 'doc_id'), ('documents', 'source'), ('customer', 'c_custkey'), ('part', 'p_colour'), ('nowhere', 'id'), ('events', 'value'), ('events', 'event_type')),
+d AS (SELECT 'orders' AS t, 'o_custkey' AS c, CAST(o_custkey AS VARCHAR) AS v, o_custkey AS k FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'orders', 'o_orderkey', CAST(o_orderkey AS VARCHAR), o_orderkey FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'documents', 'doc_id', CAST(doc_id AS VARCHAR), doc_id FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'documents', 'source', source, row_number() OVER (ORDER BY source) FROM (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'events', 'event_type', event_type, row_number() OVER (ORDER BY event_type) FROM (SELECT event_type FROM events GROUP BY 1 HAVING count(*) > 1)),
+g AS (SELECT t, c, count(*) AS n, list(v ORDER BY k)[1:5] AS samples FROM d GROUP BY 1, 2)
+SELECT t AS "table", c AS "column", CASE WHEN t = 'nowhere' THEN 'skip_missing_table' WHEN c = 'p_colour' THEN 'add_column' WHEN c = 'value' THEN 'change_type' WHEN c = 'c_custkey' THEN 'skip_exists' WHEN n > 0 THEN 'refuse_duplicates' ELSE 'create' END AS action, coalesce(n, 0) AS n, array_to_string(coalesce(samples, []), '|') AS samples FROM w LEFT JOIN g USING (t, c)""")
+def z34_catalog_plan(spark, sf):
+    """What would make columns of the given tables unique, present and of a type; refused where values repeat."""
+    tables = {n: table(spark, sf, n) for n in ("orders", "documents", "customer", "part", "events")}
+    wanted = [ct.Wanted(t, c, True) for t, c in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("documents", "doc_id"), ("documents", "source"), ("customer", "c_custkey"), ("nowhere", "id"), ("events", "event_type"))]
+    wanted += [ct.Wanted("part", "p_colour"), ct.Wanted("events", "value", type="bigint")]
+    return ct.plan(spark, wanted, tables, [("customer", "c_custkey")]).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("""SELECT 'run' AS run_id, CASE WHEN count(*) FILTER (value < 1) = count(*) THEN 'failed' WHEN count(*) FILTER (value < 1) > 0 THEN 'partial' ELSE 'success' END AS status, count(*) AS total, count(*) FILTER (value >= 1) AS success, count(*) FILTER (value < 1) AS failed, count(*) FILTER (value >= 1) AS stored, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM events""")
+def z39_a34_observed_run(spark, sf):
+    """Events written with their counts observed on the way, and the run's row of the log beside what was stored."""
+    path = f"{folder(spark)}/run-{uuid.uuid4().hex}"
+    rn.observed_write(table(spark, sf, "events"), f"{path}/rows", f"{path}/log", "run", ok=F.col("value") >= 1, counts={"clicks": F.count_if(F.col("event_type") == "click")})
+    stored = spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("stored"))
+    log = spark.read.parquet(f"{path}/log")
+    return log.select("run_id", "status", "total", "success", "failed", F.get_json_object("detail", "$.clicks").cast("long").alias("clicks")).crossJoin(stored)
+
+
 _TURN = "CASE event_id % 5 WHEN 0 THEN 'switch' WHEN 4 THEN 'global' ELSE 'continue' END"
 
 
