@@ -27,11 +27,18 @@ def f13_f14_f18_dataset_filters(spark, sf):
     return table(spark, sf, "documents").where((F.col("lang") == "en") & F.contains("text", F.lit("\n")) & F.coalesce(day >= F.lit("2024-01-01").cast("date"), F.lit(True))).select("doc_id")
 
 
-@query("""SELECT conv_id, list(turn ORDER BY turn) FILTER (role = 'user' AND length(text) > 20) AS cards FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user' AND length(text) > 20) > 0""")
-def f23_filtered_cards(spark, sf):
-    own = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("c"))
-    cards = F.transform(F.filter("c", lambda c: (c["role"] == "user") & (c["n"] > 20)), lambda c: c["turn"])
-    return own.select("conv_id", cards.alias("cards")).where(F.size("cards") > 0)
+@query("""WITH d AS (SELECT doc_id, unnest([1, 2, 3, 4, 5]) AS k FROM documents)
+SELECT doc_id AS id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place, doc_id * 10 + k AS mid FROM d WHERE CASE k WHEN 1 THEN doc_id % 2 = 0 WHEN 2 THEN true WHEN 3 THEN doc_id % 3 = 0 WHEN 4 THEN false ELSE doc_id % 5 > 0 END""")
+def f23_note_cards(spark, sf):
+    """Cards of search results that are notes, those within groups of cards, too, in order."""
+    i = F.col("doc_id")
+    card = lambda k, kind, *more: F.struct(kind.alias("card_type"), (i * 10 + k).alias("mid"), *more)
+    nine, other = F.lit(9), F.lit(11)
+    group = F.array(card(2, nine), card(3, F.when(i % 3 == 0, nine).otherwise(other))).alias("card_group")
+    cards = F.to_json(F.struct(card(1, F.when(i % 2 == 0, nine).otherwise(other), group).alias("a"), card(4, other).alias("b"), card(5, F.when(i % 5 > 0, nine)).alias("c")))
+    whole = F.concat(F.lit('{"cards":['), *(x for k in "abc" for x in (F.get_json_object(cards, f"$.{k}"), F.lit("," if k != "c" else ',"junk",{"card_group":null}]}'))))
+    found = pg.note_cards(table(spark, sf, "documents").select(i.alias("id"), whole.alias("body")))
+    return found.select("id", "place", F.try_variant_get("card", "$.mid", "long").alias("mid"))
 
 
 @query("""WITH c AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, sum(v) AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY ALL) GROUP BY 1), n AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c)

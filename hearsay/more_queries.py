@@ -226,7 +226,6 @@ def z36_best_overlap(spark, sf):
 
 @query()
 def c50_explored_selection(spark, sf):
-    """Most items from the head of the list and some from the rest, drawn by a seeded hash; the list's order stays."""
-    d = table(spark, sf, "documents").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) / 1000.0).alias("u"))
-    head = d.withColumn("explore", (F.col("doc_id") >= 50) & (F.col("u") < 0.01))
-    return head.where((F.col("doc_id") < 50) | F.col("explore")).select("doc_id", "explore").orderBy("doc_id")
+    """Fifty documents, the longest first, of which every place is given to a random later one with a chance of a fifth."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return qu.explored(d, -F.col("n_chars"), [F.desc("n_chars"), F.col("doc_id")], 50, 0.2, 7)

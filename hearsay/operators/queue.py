@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import random
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.operators.order import global_places
+
 
 def leased(tasks: DataFrame, now: Column, worker: str, n: int = 1, minutes: int = 30) -> DataFrame:
     """Tasks (id, status, priority, lease_until, owner) after expired leases fell back to pending and the n first pending ones were claimed."""
@@ -33,3 +39,30 @@ def caught_up(page: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """One row: how many ids of a page are new, and whether none is."""
     new = page.select(key).distinct().join(stored.select(key), key, "left_anti")
     return new.agg(F.count("*").alias("fresh"), (F.count("*") == 0).alias("caught_up"))
+
+
+def explored_places(n: int, quota: int, chance: float, seed: int) -> list[int]:
+    """The places, from 1, that an exploring choice of `quota` out of n takes: each time the first that is left, or, with `chance`, any of the others alike."""
+    if n <= quota:
+        return list(range(1, n + 1))
+    rng, taken = random.Random(seed), []
+    for k in range(max(quota, 0)):
+        place = rng.randrange(1, n - k) if n - k > 1 and rng.random() < chance else 0
+        # the place-th of those that are left
+        for t in taken:
+            if t > place:
+                break
+            place += 1
+        bisect.insort(taken, place)
+    return [t + 1 for t in taken]
+
+
+def explored(items: DataFrame, lead: Column, order: Sequence[Column], quota: int, chance: float, seed: int) -> DataFrame:
+    """`quota` rows of items with their place in the order (whose first key is `lead`, ascending): mostly the first ones, and some from anywhere behind, so that none starves.
+
+    Only places are drawn, on the driver, `quota` of them; rows are numbered by ranges, so neither
+    all of them nor their order come together anywhere. Equal seeds choose alike.
+    """
+    places = explored_places(items.count(), quota, chance, seed)
+    chosen = items.sparkSession.createDataFrame([(p,) for p in places], "place long")
+    return global_places(items, lead, order).join(F.broadcast(chosen), "place").select(*items.columns, "place")

@@ -132,3 +132,14 @@ def posts_among(found: DataFrame, platform: str = "tieba", pattern: str = r"/p/(
     own = found.withColumn("tid", F.regexp_extract("url", pattern, 1)).where("tid <> ''")
     first = own.groupBy("id", "tid").agg(F.min_by(F.struct("title", "url", "place"), "place").alias("r"))
     return first.select("id", F.concat_ws("_", F.lit(platform), "tid").alias("post_id"), "r.title", "r.url", F.row_number().over(Window.partitionBy("id").orderBy("r.place")).cast("long").alias("place")).where(F.col("place") <= limit)
+
+
+def note_cards(answers: DataFrame, wanted: int = 9, cards: str = "$.cards", group: str = "$.card_group", kind: str = "$.card_type") -> DataFrame:
+    """(id, place, card): of search answers (id, body), the cards of the wanted kind as VARIANT, in order: a card ahead of those in its group.
+
+    Cards without a kind, and what is no object, are passed over; a card of another kind may hold a group.
+    """
+    outer = answers.select("id", F.posexplode(F.try_variant_get(F.try_parse_json("body"), cards, "array<variant>")).alias("i", "card"))
+    inner = outer.select("id", "i", F.posexplode(F.try_variant_get("card", group, "array<variant>")).alias("k", "card"))
+    both = outer.select("id", "i", F.lit(-1).alias("k"), "card").unionByName(inner).where(F.try_variant_get("card", kind, "int") == wanted)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("i", "k")).cast("long")).select("id", "place", "card")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearsay.operators import order as od
+from hearsay.operators import queue as qu
 from hearsay.operators import relational as rel
 
 
@@ -81,3 +82,25 @@ def test_hot_values_are_spread(spark):
     found = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     out = od.with_values(df, found, ["k"], 4000)
     assert out.count() == 4000 and out.where("k = 0").select("top").distinct().collect()[0][0] == 2999
+
+
+def chosen_one_by_one(n, quota, chance, seed):
+    rng, left, out = random.Random(seed), list(range(1, n + 1)), []
+    if n <= quota:
+        return left
+    for _ in range(quota):
+        out.append(left.pop(rng.randrange(1, len(left)) if len(left) > 1 and rng.random() < chance else 0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, quota", [(0, 5), (3, 5), (5, 5), (40, 0), (40, -1), (40, 12), (41, 40)])
+@pytest.mark.parametrize("chance", [0.0, 0.3, 1.0])
+def test_explored_places(n, quota, chance):
+    for seed in range(20):
+        assert qu.explored_places(n, quota, chance, seed) == (chosen_one_by_one(n, quota, chance, seed) if quota > 0 else [])
+
+
+def test_explored(spark):
+    items = spark.range(100).selectExpr("id", "id * 7 % 100 at")
+    got = {r.place: r["at"] for r in qu.explored(items, -F.col("at"), [F.desc("at")], 10, 0.5, 3).collect()}
+    assert sorted(got) == chosen_one_by_one(100, 10, 0.5, 3) and all(at == 100 - place for place, at in got.items())

@@ -50,3 +50,10 @@ def test_links_and_posts(spark):
     assert got == {1: ("https://t.example/p/11?fr=1", "first post"), 2: ("https://t.example/p/12", "second & more"), 3: ("https://t.example/p/11", "again"), 4: ("https://o.example/p/13", "third"), 5: ("https://t.example/f/next", "next")}
     posts = sorted((r.place, r.post_id, r.title) for r in pg.posts_among(links, limit=2).collect())
     assert posts == [(1, "tieba_11", "first post"), (2, "tieba_12", "second & more")]
+
+
+def test_note_cards(spark):
+    cards = [{"card_type": 9, "id": "a", "card_group": [{"card_type": 9, "id": "b"}, {"card_type": 1, "id": "c"}]}, {"card_type": 11, "card_group": [{"card_type": 9, "id": "d"}, "junk"]}, {"id": "e"}, {"card_type": 9, "id": "f", "card_group": []}, None]
+    rows = pg.note_cards(spark.createDataFrame([(1, json.dumps({"cards": cards})), (2, "{}"), (3, None), (4, "x")], "id long, body string"))
+    got = rows.select("id", "place", F.try_variant_get("card", "$.id", "string").alias("c")).collect()
+    assert sorted((r.id, r.place, r.c) for r in got) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (1, 4, "f")]
