@@ -30,19 +30,26 @@ ROUNDS = 4
 _NAMES = [f"p{i}" for i in range(len(ORDERS))]
 
 
-def _ranked(column: pa.Array, shingle: int, seed: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _shingled(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows, with repeats, and where each row's begin (n + 1)."""
+    return tx.shingles(*tx.words(column), shingle)
+
+
+def _ranked(shingled: tuple[np.ndarray, np.ndarray], seed: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and place value of the distinct shingles of each row, in the order that seed names; those in last (sorted) come last."""
-    value, at = tx.shingles(*tx.words(column), shingle)
-    value = tx.mix(value + tx.constants(1, seed))
+    value, at = tx.mix(shingled[0] + tx.constants(1, seed)), shingled[1]
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a > 1:
+            value[a:b].sort()
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    late = np.zeros(len(value), bool)
-    if last is not None and len(last):
-        late = last[np.minimum(np.searchsorted(last, value), len(last) - 1)] == value
-    order = np.lexsort((value, late, row))
-    row, value = row[order], value[order]
     new = np.ones(len(value), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[new], value[new]
+    row, value = row[new], value[new]
+    if last is not None and len(last) and len(value):
+        late = last[np.minimum(np.searchsorted(last, value), len(last) - 1)] == value
+        order = np.argsort(2 * row + late, kind="stable")
+        row, value = row[order], value[order]
+    return row, value
 
 
 def _prefix(row: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +74,7 @@ def profiles(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT)
         for batch in batches:
             for part in tx.row_slices(batch.column(1)):
                 ids, rows = batch.column(0)[part], part.stop - part.start
-                row, value = _ranked(batch.column(1)[part], shingle, ORDERS[0])
+                row, value = _ranked(_shingled(batch.column(1)[part], shingle), ORDERS[0])
                 first, most = _prefix(row, rows, percent)
                 size = np.bincount(row, minlength=rows)
                 at = np.concatenate([[0], np.cumsum(size)])
@@ -87,7 +94,7 @@ def _reordered(docs: DataFrame, shingle: int, percent: int, last: np.ndarray) ->
         for batch in batches:
             for part in tx.row_slices(batch.column(1)):
                 rows = part.stop - part.start
-                row, value = _ranked(batch.column(1)[part], shingle, ORDERS[0], shared.value)
+                row, value = _ranked(_shingled(batch.column(1)[part], shingle), ORDERS[0], shared.value)
                 first, _ = _prefix(row, rows, percent)
                 size = np.bincount(row, minlength=rows)[row]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -106,9 +113,9 @@ def filters(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.row_slices(batch.column(1)):
-                rows, lists = part.stop - part.start, []
+                rows, lists, own = part.stop - part.start, [], _shingled(batch.column(1)[part], shingle)
                 for seed in ORDERS:
-                    row, value = _ranked(batch.column(1)[part], shingle, seed)
+                    row, value = _ranked(own, seed)
                     first, most = _prefix(row, rows, percent)
                     lists.append(_lists(most, pa.array((value[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))))
                 cells = np.zeros((rows, 64 * MAP), np.uint8)
