@@ -26,7 +26,7 @@ ORDER, DECAY, LONGEST = 3, 0.6, 32
 #: Labelled rows that the classifier is fitted on at most, and landmarks: those most tied to the label, and common words beside them.
 MAX_LABELLED, TIED, COMMON = 12_000, 56, 8
 #: Tasks that the sample is dealt to, and bytes of text that a task takes apart at a time.
-PARTS, CHUNK = 24, 1 << 18
+PARTS, CHUNK = 24, 1 << 19
 THRESHOLD = 0.7
 #: Begins a piece of a word that isn't its beginning; white space, so no word has it.
 LATER = "\x1f"
@@ -59,8 +59,11 @@ def units(text: str) -> set[str]:
 
 def unit(word: str) -> str:
     """A word as the kernel sees it: a mark for its beginning, no punctuation at its ends; empty if too short to compare."""
-    v = word.removeprefix(LATER).strip(_EDGE)
-    return "" if len(v) < ORDER else v if word.startswith(LATER) else f"^{v}"
+    v = word.strip(_EDGE)
+    if v[:1] == LATER:
+        v = v[1:].lstrip(_EDGE)
+        return v if len(v) >= ORDER else ""
+    return f"^{v}" if len(v) >= ORDER else ""
 
 
 def candidates(words: Iterable[str]) -> set[str]:
@@ -159,7 +162,7 @@ def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.hstack([features[:, :n] @ whiten, features[:, n:]])
 
 
-def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 100_000) -> Iterator[np.ndarray]:
+def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 150_000) -> Iterator[np.ndarray]:
     """For each array of texts, by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
 
     Words met before in the task are looked up, in a table of at most `keep` words at a time; all
