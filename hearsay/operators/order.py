@@ -66,12 +66,13 @@ def with_values(df: DataFrame, found: DataFrame, keys: Sequence[str], total: int
     """df with the other columns of found, which has one row for each combination of keys in df (nulls equal each other) and in n how many of df's total rows have it.
 
     The at most HOT combinations with over a share of 1 / HOT of all rows are broadcast, and their
-    rows go on by a hash of the whole row; all others meet theirs by the keys.
+    rows go on by a hash of the whole row; all others meet theirs by the keys. Up to SHARE rows, which
+    one task holds, all do.
     """
     rest = [c for c in found.columns if c not in (*keys, n)]
-    side = lambda rows, name: rows.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*rest).alias(f"_{name}"))
-    hot = F.broadcast(side(found.where(F.col(n) * HOT > total), "hot"))
-    cold = side(found.where(F.col(n) * HOT <= total), "cold").withColumn("_own", F.lit(0))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*rest).alias(f"_{name}"))
 
     def same(name: str) -> Column:
         out = F.lit(True)
@@ -79,6 +80,10 @@ def with_values(df: DataFrame, found: DataFrame, keys: Sequence[str], total: int
             out = out & F.col(k).eqNullSafe(F.col(f"_{name}_{k}"))
         return out
 
+    if total <= SHARE:
+        return df.join(side(found, "cold"), same("cold"), "left").select(*df.columns, *(F.col("_cold")[c].alias(c) for c in rest))
+    hot = F.broadcast(side(found.where(F.col(n) * HOT > total), "hot"))
+    cold = side(found.where(F.col(n) * HOT <= total), "cold").withColumn("_own", F.lit(0))
     spread = df.join(hot, same("hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.hash(*df.columns), F.lit(1 << 20))))
     met = spread.join(cold, same("cold") & (F.col("_salt") == F.col("_own")), "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return met.select(*df.columns, *(F.col("_found")[c].alias(c) for c in rest))

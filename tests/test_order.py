@@ -77,7 +77,9 @@ def test_no_window_over_a_whole_group(spark, rows, monkeypatch):
     assert windows and all("_range" in line or "_in" in line for line in windows)
 
 
-def test_hot_values_are_spread(spark):
+@pytest.mark.parametrize("share", [50, 10**9])
+def test_hot_values_are_spread(spark, monkeypatch, share):
+    monkeypatch.setattr(od, "SHARE", share)
     df = spark.range(4000).selectExpr("if(id < 3000, 0, id) k", "id")
     found = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     out = od.with_values(df, found, ["k"], 4000)
