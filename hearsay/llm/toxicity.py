@@ -303,9 +303,12 @@ def fit_sample(sample: DataFrame, *, tied: int = TIED, common: int = COMMON) ->
         for x in features(landmarks, column(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())), labels.pop(0)], ["x", "label"])
 
-    # in a fixed order, since the folds depend on it
-    rows = sorted((tuple(r.x), r.label) for r in sample.mapInArrow(mapped, "x array<double>, label int").collect())
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    # as Arrow, which the driver holds without an object for each number; in a fixed order, since the folds depend on it
+    rows = sample.mapInArrow(mapped, "x array<double>, label int").toArrow().combine_chunks()
+    y = rows["label"].to_numpy().astype(float)
+    x = pa.concat_arrays(rows["x"].chunks).flatten().to_numpy().reshape(len(y), -1)
+    order = np.lexsort((y, *x.T[::-1]))
+    x, y = x[order], y[order]
     code = codes(landmarks)
     norm = kernel(code, code, paired=True).astype(np.float64)
     own_kernel = kernel(code, code).astype(np.float64) / np.sqrt(np.outer(norm, norm))
