@@ -306,7 +306,7 @@ def fit_sample(sample: DataFrame, *, tied: int = TIED, common: int = COMMON) ->
     # as Arrow, which the driver holds without an object for each number; in a fixed order, since the folds depend on it
     rows = sample.mapInArrow(mapped, "x array<double>, label int").toArrow().combine_chunks()
     y = rows["label"].to_numpy().astype(float)
-    x = pa.concat_arrays(rows["x"].chunks).flatten().to_numpy().reshape(len(y), -1)
+    x = pa.concat_arrays(rows["x"].chunks).flatten().to_numpy().reshape(len(y), 2 * len(landmarks))
     order = np.lexsort((y, *x.T[::-1]))
     x, y = x[order], y[order]
     code = codes(landmarks)
