@@ -13,13 +13,14 @@ from hearsay.operators.order import running_counts, value_bounds, with_values
 def midrank_percentile(df: DataFrame, group: str, score: str, out: str = "heat_rank") -> DataFrame:
     """Mid-rank percentile of a score in its group: 100 * (rows below + half of equal rows) / rows, two decimals.
 
+    Hundredths are rounded as the double that they are: 0.575 lies below the half and becomes 0.57.
     A lone row has 50, equal scores have equal ranks, and all values lie strictly between 0 and
     100. A null score is the least. Rows are counted by ranges of the score (see order), so a group
     that holds most rows is spread over tasks, and so is a score that many rows have.
     """
     total = df.count()
     counts = running_counts(df, [group], score, value_bounds(df, score, total))
-    ranks = counts.select(group, score, "n", F.round((F.col("below") + F.col("n") / 2) * 100.0 / F.col("whole"), 2).alias(out))
+    ranks = counts.select(group, score, "n", (F.round((F.col("below") + F.col("n") / 2) * 100.0 / F.col("whole") * 100.0) / 100.0).alias(out))
     return with_values(df, ranks, [group, score], total)
 
 
