@@ -28,3 +28,9 @@ def test_equal_texts_without_an_id_are_all_ranked(same_on):
 def test_percentile_just_below_half_a_hundredth(same_on):
     rows = [(i, "a", float(i)) for i in range(2000)] + [(2000 + i, "b", float(i // 2)) for i in range(2000)]
     same_on("w01_midrank_percentile", "events", "event_id long, event_type string, value double", rows)
+
+
+def test_quote_is_cut_from_what_a_page_shows(same_on):
+    heads = ["Die&amp;&amp;&amp; der&amp;&amp;&amp; teberheit", "plain heading of a page that goes on", "a &lt;b&gt; c", ""]
+    pages = [(9 * i + 2, "https://a.example/x", f"<html><h1>{h}</h1><p>text</p></html>") for i, h in enumerate(heads) for i in range(4 * i, 4 * i + 4)]
+    same_on("z28_c41_fetch_verdict", "pages", "page_id long, url string, html string", pages)
