@@ -98,8 +98,16 @@ def memory_trend(now: Column, before: Column, ratio: float = 0.05, least: float
 
 
 def note_risk(text: Column, sentiment: Column, risk: Column, comments: Column, shares: Column, heat_rank: Column, heat: Column, *, negative: Sequence[str] = NEGATIVE, positive: Sequence[str] = POSITIVE, high_risk: Sequence[str] = HIGH_RISK, topic: Sequence[str] = RISK_TOPIC) -> Column:
-    """struct(sentiment, sentiment_score, risk_level, risk_score, reasons) of a post by rules over words, counts and given hints."""
-    n, p, h, t = (F.size(word_hits(text, words)) for words in (negative, positive, high_risk, topic))
+    """struct(sentiment, sentiment_score, risk_level, risk_score, reasons) of a post by rules over words, counts and given hints.
+
+    The text is worked out once, and so are its hits, however often the rules use them.
+    """
+    lists = {"n": negative, "p": positive, "h": high_risk, "t": topic}
+    hits = F.transform(F.array(text), lambda x: F.struct(*(F.size(word_hits(x, words)).alias(k) for k, words in lists.items())))
+    return F.get(F.transform(hits, lambda c: _risk_of(*(c[k] for k in lists), sentiment, risk, comments, shares, heat_rank, heat)), F.lit(0))
+
+
+def _risk_of(n: Column, p: Column, h: Column, t: Column, sentiment: Column, risk: Column, comments: Column, shares: Column, heat_rank: Column, heat: Column) -> Column:
     mood = weight(sentiment, {"positive": 2.0, "neutral": 0.0, "negative": -2.0, "controversial": -1.0}, 0.0) + p - n
     label = F.when((n > 0) & (p > 0) & (F.abs(mood) <= 1), "controversial").when(mood <= -2, "negative").when(mood >= 2, "positive").when(n > 0, "negative").when(p > 0, "positive").otherwise("neutral")
     hot = F.when(F.coalesce(heat_rank, F.lit(0.0)) != 0, heat_rank >= 80.0).otherwise(F.coalesce(heat, F.lit(0.0)) >= 150.0)

@@ -71,8 +71,8 @@ def with_values(df: DataFrame, found: DataFrame, keys: Sequence[str], total: int
     """
     rest = [c for c in found.columns if c not in (*keys, n)]
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*rest).alias(f"_{name}"))
+    def side(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+        return rows.select(*more, *(F.col(k).alias(f"_{name}_{k}") for k in keys), F.struct(*rest).alias(f"_{name}"))
 
     def same(name: str) -> Column:
         out = F.lit(True)
@@ -83,12 +83,25 @@ def with_values(df: DataFrame, found: DataFrame, keys: Sequence[str], total: int
     if total <= SHARE:
         return df.join(side(found, "cold"), same("cold"), "left").select(*df.columns, *(F.col("_cold")[c].alias(c) for c in rest))
     hot = F.broadcast(side(found.where(F.col(n) * HOT > total), "hot"))
-    cold = side(found.where(F.col(n) * HOT <= total), "cold").withColumn("_own", F.lit(0))
+    # always 0, but no literal: Spark would leave it out of the join's keys, and hot rows would go by theirs alone
+    cold = side(found.where(F.col(n) * HOT <= total), "cold", F.when(F.col(n) < 0, 1).otherwise(0).alias("_own"))
     spread = df.join(hot, same("hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.hash(*df.columns), F.lit(1 << 20))))
     met = spread.join(cold, same("cold") & (F.col("_salt") == F.col("_own")), "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return met.select(*df.columns, *(F.col("_found")[c].alias(c) for c in rest))
 
 
+def looked_up(df: DataFrame, rows: DataFrame, key: str, out: str, keys_of: DataFrame | None = None) -> DataFrame:
+    """df with a column `out`: the struct of rows' other columns whose key is that of df, null where there is none; rows has a key once.
+
+    Keys that many rows of df have, null among them, are looked up by a broadcast (see with_values). keys_of:
+    rows with the same keys as df that cost less to make, to count them by.
+    """
+    keys_of = df if keys_of is None else keys_of
+    many = keys_of.groupBy(key).agg(F.count("*").alias("n"))
+    held = rows.select(F.col(key).alias("_key"), F.struct(*(c for c in rows.columns if c != key)).alias(out))
+    return with_values(df, many.join(held, F.col(key) == F.col("_key"), "left").select(key, "n", out), [key], keys_of.count())
+
+
 def order_statistics(df: DataFrame, group: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]], **more: Column) -> DataFrame:
     """(group, name, ...): for each name the value at a place of the group's sorted values, counted from 0; a place beyond them is null.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions import score as sc
 from hearsay.functions import text as tx
-from hearsay.operators.order import global_places
+from hearsay.operators.order import global_places, looked_up
 
 #: Reports that hide a comment, and the longest texts.
 HIDING_REPORTS = 5
@@ -29,19 +29,21 @@ def checked_comments(comments: DataFrame, events: DataFrame, known: DataFrame) -
     comment breaks is its error: the event has to exist and be published, the text not be blank
     nor too long, and an answer go to a top-level comment of the same event.
     """
-    own = comments.join(events.select(F.col("id").alias("event_id"), F.col("status").alias("event_status")), "event_id", "left")
-    parent = known.select(F.col("id").alias("parent_id"), F.struct(F.col("event_id"), F.col("parent_id").alias("above")).alias("parent"))
-    own = own.join(parent, "parent_id", "left").withColumn("content", tx.sanitized(F.trim(F.coalesce("content", F.lit("")))))
+    # texts are judged where they are read, before a much commented event's rows move
+    own = comments.withColumn("content", tx.sanitized(F.trim(F.coalesce("content", F.lit("")))))
+    own = own.withColumn("sentiment", rule_mood(F.col("content")))
+    own = looked_up(own, events.select(F.col("id").alias("event_id"), "status"), "event_id", "event", comments)
+    own = looked_up(own, known.select(F.col("id").alias("parent_id"), "event_id", F.col("parent_id").alias("above")), "parent_id", "parent", comments)
     error = (
-        F.when(F.col("event_status").isNull(), "no such event")
-        .when(F.col("event_status") != "published", "not published")
+        F.when(F.col("event.status").isNull(), "no such event")
+        .when(F.col("event.status") != "published", "not published")
         .when(F.col("content") == "", "empty")
         .when(F.length("content") > COMMENT_CHARS, "too long")
         .when(F.col("parent_id").isNotNull() & ~F.col("parent.event_id").eqNullSafe(F.col("event_id")), "no such comment")
         .when(F.col("parent.above").isNotNull(), "only one level")
     )
     name = F.coalesce(F.nullif("username", F.lit("")), F.concat(F.lit("用户"), F.col("user_id").cast("string")))
-    return own.select("id", "event_id", "user_id", name.alias("username"), "parent_id", "content", rule_mood(F.col("content")).alias("sentiment"), error.alias("error"))
+    return own.select("id", "event_id", "user_id", name.alias("username"), "parent_id", "content", "sentiment", error.alias("error"))
 
 
 def reported(comments: DataFrame, reports: DataFrame) -> DataFrame:
