@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,10 @@ def test_segmented_texts(spark):
 def test_a_long_text_takes_a_time_in_proportion():
     cutter = wd.Segmenter({"热水": 5, "水": 2, "热": 1})
     assert len(cutter.words("热水" * 100_000)) == 100_000
+
+
+def test_texts_are_taken_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(wd, "HELD", 10)
+    batch = pa.record_batch([pa.array(range(7)), pa.array(["aaaa", None, "热水", "b" * 50, "", "c", "d"])], ["id", "text"])
+    assert list(wd._held(batch)) == [(0, ["aaaa", None, "热水"]), (3, ["b" * 50]), (4, ["", "c", "d"])]
+    assert list(wd._held(batch.slice(0, 0))) == []
