@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hearsay.functions import score as sc
@@ -59,3 +61,20 @@ def test_aligned_takes_each_key_once(spark):
     new = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.9, 0.436])], "key string, centroid array<double>")
     old = spark.createDataFrame([("o", [1.0, 0.0])], "key string, centroid array<double>")
     assert [(r.key, r.old_key) for r in ai.aligned(new, old).collect()] == [("x", "o")]
+
+
+def test_a_large_block_takes_memory_by_its_posts():
+    # 3,000 clusters in one place that only their times keep apart: all pairs of them as objects took over a gigabyte
+    vec, ids = np.tile([1.0, 0.0], (3000, 1)), np.arange(3000)
+    own = cl._Clusters(2, 0.5)
+    tracemalloc.start()
+    cl._join(own, vec, ids * 1.0, ids * 1.0, 0.65)
+    name = cl._merge(own, vec, ids, 0.86)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.live.sum() == 3000 and name.tolist() == ids.tolist() and peak < 20 << 20
+
+
+def test_blocks_of_any_size_are_clustered(spark):
+    rows = spark.range(20_500).selectExpr("1 as block", "id", "1.0D as rank_key", "double(id % 2 * 200) as at_days", "array(1.0D, 0.0D) as vector")
+    assert sorted(tuple(r) for r in cl.greedy_clusters(rows, "block").groupBy("cluster").count().collect()) == [(0, 10_250), (1, 10_250)]
