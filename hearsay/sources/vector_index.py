@@ -7,12 +7,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.operators.cluster import dot
+from hearsay.operators.lineage import cut
 from hearsay.operators.relational import top_per_group
-from hearsay.operators.vectors import some_centres, with_cells
+from hearsay.operators.vectors import matrix, some_centres, with_cells
+
+#: Queries and stored vectors of a pair of blocks: its products are 8 MB.
+ASKED, HELD = 256, 4096
 
 
 def _moved(cells: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -85,11 +89,62 @@ def _tried(queries: DataFrame, cells: list, k: int, bounded: bool) -> DataFrame:
                 rows += [i] * len(take)
                 found += cell[take].tolist()
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int32())], ["query", "vec", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(found, pa.int32())], ["query", "vec", "least", "cell"])
 
     kinds = dict(queries.dtypes)
     least = F.col("least") if bounded else F.lit(None).cast("double")
-    return queries.select("query", "vec", least.alias("least")).mapInArrow(run, f"query {kinds['query']}, vec {kinds['vec']}, cell int")
+    return queries.select("query", "vec", least.alias("least")).mapInArrow(run, f"query {kinds['query']}, vec {kinds['vec']}, least double, cell int")
+
+
+def _packed(rows: DataFrame, key: str, size: int, *more: str) -> DataFrame:
+    """(cell, keys, vecs, ...): the rows of each cell in blocks of about `size`, dealt by a hash of the key."""
+    lanes = F.broadcast(rows.groupBy("cell").agg(F.expr(f"1 + count(*) div {size}").alias("lanes")))
+    own = rows.join(lanes, "cell").groupBy("cell", F.expr(f"pmod(xxhash64({key}), lanes)").alias("lane"))
+    own = own.agg(F.collect_list(F.struct(key, *more)).alias("r"))
+    return own.select("cell", *(F.col("r")[c].alias(c) for c in (key, *more)))
+
+
+def _met(tried: DataFrame, stored: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(query, id, similarity): the k best of each block of stored vectors for each query that looks into its cell, where they reach the query's `least` and the threshold.
+
+    Blocks of both meet by their cell, and a pair of blocks is one matrix product in a task.
+    What it leaves is worked out once more by itself, from the first component on.
+    """
+    left = _packed(tried.select("query", "vec", "cell", "least"), "query", ASKED, "vec", "least")
+    pairs = left.join(_packed(stored, "id", HELD, "other"), "cell").select("query", "vec", "least", "id", "other")
+    kinds = dict(tried.dtypes) | dict(stored.dtypes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                query, vec, least, key, other = (batch.column(c)[n].values for c in range(5))
+                width = len(vec[0])
+                x, y = matrix(vec, width), matrix(other, width)
+                near = x @ y.T
+                low = np.maximum(np.nan_to_num(least.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf, neginf=-np.inf), threshold)[:, None]
+                if k < near.shape[1]:
+                    # a bit less, so that all whose nine decimals may reach the k-th best's go on
+                    low = np.maximum(low, -np.partition(-near, k - 1, axis=1)[:, k - 1 : k])
+                place = pc.rank(key).to_numpy()
+                reached = near >= low - 1e-8
+                rows, found, said = [], [], []
+                for a in np.flatnonzero(reached.any(axis=1)):
+                    b = np.flatnonzero(reached[a])
+                    # added up in order, as a sum over the components one by one is
+                    value = np.add.accumulate(x[a] * y[b], axis=1)[:, -1]
+                    order = np.lexsort((place[b], -value))
+                    b, value = b[order], value[order]
+                    # of copies the k least ids
+                    new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+                    few = np.arange(len(b)) - np.repeat(new, np.diff(np.append(new, len(b)))) < k
+                    rows.append(np.full(few.sum(), a))
+                    found.append(b[few])
+                    said.append(value[few])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([query.take(pa.array(np.concatenate(rows))), key.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(said))], ["query", "id", "similarity"])
+
+    met = pairs.mapInArrow(run, f"query {kinds['query']}, id {kinds['id']}, similarity double")
+    return met.select("query", "id", F.round("similarity", 9).alias("similarity"))
 
 
 def search(queries: DataFrame, path: str, k: int = 30, threshold: float = -math.inf, version: int = 0) -> DataFrame:
@@ -103,10 +158,9 @@ def search(queries: DataFrame, path: str, k: int = 30, threshold: float = -math.
     stored = spark.read.parquet(f"{path}/vectors").select("id", F.col("vec").alias("other"), "cell")
 
     def best(tried: DataFrame) -> DataFrame:
-        met = tried.join(stored, "cell").select("query", "id", F.round(dot(F.col("vec"), F.col("other")), 9).alias("similarity"))
-        return top_per_group(met, "query", [F.desc("similarity"), F.col("id")], k)
+        return top_per_group(_met(tried, stored, k, threshold), "query", [F.desc("similarity"), F.col("id")], k)
 
-    first = best(_tried(queries, cells, k, False))
+    first = cut(best(_tried(queries, cells, k, False)))
     least = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("least")).withColumnRenamed("query", "_q")
     more = queries.join(least, F.col("query") == F.col("_q"), "left")
     rest = best(_tried(more, cells, k, True))

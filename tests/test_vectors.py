@@ -82,3 +82,10 @@ def test_edges_of_an_index(spark, tmp_path):
     got = {(r["query"], r.id, r.rank) for r in vi.search(queries, path, 5).collect()}
     assert got == {("a", 1, 1), ("a", 3, 2), ("b", 3, 1), ("b", 1, 2)}
     assert {(r["query"], r.id) for r in vi.search(queries, path, 5, 0.5).collect()} == {("a", 1)}
+
+
+def test_copies_of_a_vector_give_k_rows_a_block(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0], None, 0)], "query long, vec array<double>, least double, cell int")
+    held = spark.range(500).selectExpr("id", "array(1.0D, 0.0D) as other", "0 as cell")
+    rows = vi._met(asked, held, 3, -1.0).collect()
+    assert sorted((r.id, r.similarity) for r in rows) == [(0, 1.0), (1, 1.0), (2, 1.0)]
