@@ -57,7 +57,7 @@ def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     new = [F.startswith(x, F.lit("\n")) for x in near]
     whole = ((F.col("pos") == 0) | new[0]) & functools.reduce(lambda p, q: p & q, new[1:lines]) & ((F.col("pos") + lines == F.col("n")) | new[lines])
     length = functools.reduce(lambda p, q: p + q, (F.octet_length(x) for x in own))
-    return line.where((length > 0) & (whole | (length >= LEAST))).select("id", "t", "pos", F.xxhash64(*own).alias("a"), F.hash(F.lit(7), *own).alias("b"))
+    return line.where((length > 0) & (whole | (length >= LEAST))).select("id", "t", "pos", F.xxhash64(*own).alias("a"), F.hash(F.xxhash64(F.lit(7), *own)).alias("b"))
 
 
 def _split(right: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
