@@ -24,8 +24,6 @@ SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".sp
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Levels of tables within tables that are laid out, and of lists that are indented; deeper ones are blocks, or stand at the last indent.
 DEEPEST, INDENTS = 500, 100
-#: Lines of inner tables that are moved into cells; tables around even more are blocks.
-MOVES = 1_000_000
 #: Kinds of input whose value shows as text.
 _SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "reset", "button"))
 #: Elements that can stand in a head; any other start tag, or text, ends it.
@@ -53,6 +51,8 @@ _NOTES = re.compile(r"/\*(?:(?!\*/).)*+(?:\*/)?", re.DOTALL)
 
 def _effects(style: str) -> tuple[bool | None, bool | None]:
     """Whether declarations say that an element has a box, and that it is visible; None where they don't say. The last one counts."""
+    if not style:
+        return None, None
     box, seen = _DISPLAY.findall(style), _VISIBILITY.findall(style)
     return box[-1].lower() != "none" if box else None, seen[-1].lower() not in ("hidden", "collapse") if seen else None
 
@@ -99,7 +99,7 @@ class Node:
     __slots__ = ("tag", "shown", "seen", "children", "span", "down", "lines", "attrs")
 
     def __init__(self, tag: str, shown: bool = True, span: int = 1, down: int = 1, seen: bool = True, attrs: dict[str, str] | None = None) -> None:
-        self.tag, self.shown, self.seen, self.children, self.span, self.down, self.lines, self.attrs = tag, shown, seen, [], span, down, [], attrs or {}
+        self.tag, self.shown, self.seen, self.children, self.span, self.down, self.lines, self.attrs = tag, shown, seen, [], span, down, None, attrs or {}
 
 
 def _spanned(value: str, most: int) -> int:
@@ -204,7 +204,7 @@ def build(source: str) -> Node:
         shown = tag not in UNSEEN and (box if box is not None else "hidden" not in attrs)
         if top.tag == "details" and "open" not in top.attrs and (tag != "summary" or any(not isinstance(c, str) and c.tag == "summary" for c in top.children)):
             shown = False
-        kept = {k: attrs[k] for k in ("open", "selected", "multiple", "size", "label") if k in attrs}
+        kept = {k: attrs[k] for k in ("open", "selected", "multiple", "size", "label") if k in attrs} if attrs else None
         # a rowspan of nought reaches to the table's end
         node = Node(tag, shown, max(_spanned(attrs.get("colspan", ""), MOST_COLUMNS), 1), _spanned(attrs.get("rowspan", ""), MOST_ROWS) or MOST_ROWS, top.seen if seen is None else seen, kept)
         top.children.append(node)
@@ -220,8 +220,47 @@ def build(source: str) -> Node:
     return root
 
 
+class _Laid:
+    """Lines laid out, to be read once from the first on.
+
+    They are parts, (text, width) or (other laid lines, columns they move right), so a table within
+    a table moves as one part and no line of it is touched until it meets a line of another cell.
+    """
+
+    __slots__ = ("open", "left", "wide", "blank")
+
+    def __init__(self, parts: list[tuple[str | _Laid, int]]) -> None:
+        self.left, self.wide, self.blank = 0, 0, False
+        for what, n in parts:
+            if isinstance(what, str):
+                self.left, self.wide, self.blank = self.left + 1, max(self.wide, n), self.blank or not what
+            else:
+                self.left, self.wide, self.blank = self.left + what.left, max(self.wide, what.wide + n), self.blank or what.blank
+        # parts begun and not ended, the inner ones last, each with the columns that it moves
+        self.open = [(parts[::-1], 0)] if parts else []
+
+    def __len__(self) -> int:
+        return self.left
+
+    def take(self) -> tuple[str, int]:
+        """The next line and its width; there has to be one."""
+        while True:
+            parts, right = self.open[-1]
+            what, n = parts.pop()
+            if not parts:
+                self.open.pop()
+            if isinstance(what, str):
+                self.left -= 1
+                return " " * right + what, right + n
+            self.open += [(inner, right + n + more) for inner, more in what.open]
+
+    def rest(self) -> Iterator[tuple[str, int]]:
+        while self.left:
+            yield self.take()
+
+
 class _Page:
-    """Lines of output; a break or a blank line takes effect before the next text."""
+    """Lines of output, or tables' laid out lines among them; a break or a blank line takes effect before the next text."""
 
     def __init__(self) -> None:
         self.lines, self.now, self.gap, self.mark = [], [], 0, ""
@@ -249,12 +288,15 @@ class _Page:
             self.now = []
         self.gap = max(self.gap, gap)
 
-    def whole(self, lines: list[str]) -> None:
+    def whole(self, lines: _Laid | list[str]) -> None:
         self.end(2)
         if lines:
             if self.lines:
                 self.lines.append("")
-            self.lines += [self.mark + lines[0] if self.mark else lines[0], *lines[1:]]
+            if isinstance(lines, _Laid):
+                self.lines += [(self.mark + lines.take()[0]).rstrip(" "), lines] if self.mark else [lines]
+            else:
+                self.lines += [(self.mark + lines[0]).rstrip(" "), *lines[1:]]
             self.mark, self.gap = "", 2
 
 
@@ -278,16 +320,18 @@ def render(root: Node) -> list[str]:
             if depth > DEEPEST and x.tag in _CELLS:
                 x.tag = "cell"
             work += [(c, depth) for c in x.children]
-    moved = [0]
     for table in reversed(tables):
-        if moved[0] > MOVES:
-            table.tag = "div"
+        table.lines = _table(table)
+    out = []
+    for x in _flow(root):
+        if isinstance(x, str):
+            out.append(x)
         else:
-            table.lines = _table(table, moved)
-    return _flow(root, moved)
+            out += (line for line, _ in x.rest())
+    return out
 
 
-def _flow(node: Node, moved: list[int]) -> list[str]:
+def _flow(node: Node) -> list[str | _Laid]:
     """The lines of a tree whose tables are laid out, walked without recursion."""
     page, counters, depth = _Page(), [], 0
     work: list = [(node, False)]
@@ -315,7 +359,6 @@ def _flow(node: Node, moved: list[int]) -> list[str]:
             page.end(2)
             continue
         if tag == "table":
-            moved[0] += len(x.lines)
             page.whole(x.lines)
             continue
         if tag == "select":
@@ -372,23 +415,37 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
-def _table(table: Node, moved: list[int]) -> list[str]:
+def _table(table: Node) -> _Laid:
     """Rows with cells padded to the columns' widths; a cell of several lines takes several lines; captions and stray text above.
 
     A cell that spans rows keeps its columns free in the rows below. Columns that no cell begins
-    at take no room, and only cells of one column set a width.
+    at take no room, and only cells of one column set a width. Where one cell of a row has lines
+    left, they go on as one part, so each line is joined to others at most once and moved never.
     """
     above, rows = [], []
 
-    def cell(x: Node) -> tuple[list[str], int, int]:
-        return [line for line in _flow(x, moved) if line] or [""], x.span, x.down
+    def filled(lines: list[str | _Laid]) -> list[tuple[str | _Laid, int]]:
+        """Lines as parts, without the blank ones, which only captions have within a table."""
+        out = []
+        for x in lines:
+            if isinstance(x, str):
+                if x:
+                    out.append((x, _wide(x)))
+            elif x.blank:
+                out += [part for part in x.rest() if part[0]]
+            elif x:
+                out.append((x, 0))
+        return out
+
+    def cell(x: Node) -> tuple[_Laid, int, int]:
+        return _Laid(filled(_flow(x)) or [("", 0)]), x.span, x.down
 
     work = list(reversed(table.children))
     while work:
         x = work.pop()
         if isinstance(x, str):
             if x.strip():
-                above.append(_SPACES.sub(" ", x).strip(" "))
+                above += filled([_SPACES.sub(" ", x).strip(" ")])
         elif not x.shown:
             continue
         elif x.tag in ("tbody", "thead", "tfoot"):
@@ -397,15 +454,14 @@ def _table(table: Node, moved: list[int]) -> list[str]:
             row = []
             for c in x.children:
                 if isinstance(c, str) or c.tag not in ("td", "th"):
-                    lines = [_SPACES.sub(" ", c).strip(" ")] if isinstance(c, str) else _flow(c, moved) if c.tag != "table" else c.lines
-                    above += [line for line in lines if line]
+                    above += filled([_SPACES.sub(" ", c).strip(" ")] if isinstance(c, str) else _flow(c))
                 elif c.shown:
                     row.append(cell(c))
             rows.append(row)
         elif x.tag in ("td", "th"):
             rows.append([cell(x)])
         else:
-            above += _flow(x, moved)
+            above += [(line, _wide(line) if isinstance(line, str) else 0) for line in _flow(x)]
     placed, held = [], []
     for row in rows:
         at, own, k = 0, [], 0
@@ -424,20 +480,25 @@ def _table(table: Node, moved: list[int]) -> list[str]:
     for row in placed:
         for at, stop, _, lines in row:
             if stop - at == 1:
-                width[column[at]] = max(width[column[at]], *map(_wide, lines))
+                width[column[at]] = max(width[column[at]], lines.wide)
     place = [0, *itertools.accumulate(w + 2 for w in width)]
-    out = []
+    out = above
     for row in placed:
-        for k in range(max((len(c[3]) for c in row), default=0)):
+        # beyond the most columns cells are set apart, not aligned, or a page could be laid out to its square
+        left = [(place[column[at]] if column[at] < MOST_COLUMNS else None, lines) for at, _, _, lines in row]
+        while len(left) > 1:
             line, wide = [], 0
-            for at, _, _, lines in row:
-                if k < len(lines):
-                    # beyond the most columns cells are set apart, not aligned, or a page could be laid out to its square
-                    gap = place[column[at]] - wide if column[at] < MOST_COLUMNS else 2 * bool(line)
-                    line.append(" " * gap + lines[k])
-                    wide += max(gap, 0) + _wide(lines[k])
-            out.append("".join(line).rstrip(" "))
-    return above + [line for line in out if line]
+            for start, lines in left:
+                text, n = lines.take()
+                gap = start - wide if start is not None else 2 * bool(line)
+                line.append(" " * gap + text)
+                wide += max(gap, 0) + n
+            text = "".join(line)
+            if kept := text.rstrip(" "):
+                out.append((kept, wide - len(text) + len(kept)))
+            left = [x for x in left if x[1]]
+        out += [(lines, start or 0) for start, lines in left if not lines.blank]
+    return _Laid(out)
 
 
 def visible_text(source: str | None) -> str:
@@ -457,9 +518,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     A null page has an empty text; ids may be null or repeat. Broken markup never fails: what opens
     no tag is text, and a tag that the page's end cuts off is not. A page of any length or depth
     takes time and memory in proportion to its length (tests: a megabyte of unclosed tags, nested
-    lists, blocks, tables and spans): cells of tables within DEEPEST others follow each other on a
-    line, tables around inner ones of MOVES lines in all are blocks, lists are indented
-    INDENTS levels at most, and columns beyond MOST_COLUMNS are not aligned. Other columns are ignored.
+    lists, blocks, tables and spans) and that of its text, where lines to the right of others begin
+    with spaces: cells of tables within DEEPEST others follow each other on a line, lists are
+    indented INDENTS levels at most, and columns beyond MOST_COLUMNS are not aligned. Other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,18 @@ def test_many_lines_within_many_tables():
     began = time.process_time()
     text = show("<table><tr><td>a<td>" * 400 + "line<br>" * 50_000)
     assert time.process_time() - began < 10 and text.count("line") == 50_000 and text.count("a") == 400
+
+
+def test_layout_does_not_depend_on_the_lines_of_inner_tables():
+    began = time.process_time()
+    for levels, rows in ((2, 3), (400, 20_000)):
+        page = "<table><tr><td>a<td>" * levels + "<table>" + "<tr><td>r" * rows + "</table>" * (levels + 1) + "<table><tr><td>long<td>x<tr><td>b<td>y"
+        assert show(page).split("\n") == ["a  " * levels + "r", *[" " * 3 * levels + "r"] * (rows - 1), "", "long  x", "b     y"]
+    assert time.process_time() - began < 10
+
+
+def test_lines_of_tables_side_by_side():
+    inner = "<table><tr><td>a<td>b<br>c<br>d<tr><td>文</table>"
+    assert show(f"<table><tr><td>{inner}<td>1<br>2<td>{inner}<br>e") == "a   b  1  a   b\n    c  2      c\n    d         d\n文        文\n          e"
+    assert show(f"<ul><li>{inner}") == "- a   b\n    c\n    d\n文"
+    assert show("<table><tr><td><table><caption><p>a<p>b</caption><tr><td>c</table><td>d") == "a  d\nb\nc"
