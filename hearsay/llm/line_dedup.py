@@ -26,16 +26,22 @@ def _marked(text: Column) -> Column:
     Lines are cut at marks that belong to the content, so that a passage is cut alike wherever
     it stands.
     """
-    out = F.coalesce(text, F.lit(""))
-    for m in (*(f"{m} " for m in MARKS), *WIDE):
-        out = F.replace(out, F.lit(m), F.lit(m + CUT))
+    text = F.coalesce(text, F.lit(""))
+    wide = text
+    for m in WIDE:
+        wide = F.replace(wide, F.lit(m), F.lit(m + CUT))
+    # ASCII alone has no wide marks to look for
+    out = F.when(F.octet_length(text) == F.length(text), text).otherwise(wide)
+    for m in MARKS:
+        out = F.replace(out, F.lit(f"{m} "), F.lit(f"{m} {CUT}"))
     # a mark at the end of a line leaves nothing behind it
     return F.replace(F.replace(out, F.lit("\n"), F.lit(f"{CUT}\n")), F.lit(CUT + CUT), F.lit(CUT))
 
 
 def _number(marked: Column) -> Column:
     """How many lines, counting the parts of one as such; nothing is left behind a mark at the end."""
-    return F.size(F.split(marked, CUT, -1)) - F.endswith(marked, F.lit(CUT)).cast("int")
+    cuts = (F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit(CUT), F.lit("")))) / len(CUT.encode())
+    return cuts.cast("int") + 1 - F.endswith(marked, F.lit(CUT)).cast("int")
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -49,8 +55,9 @@ def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     for c in "\t\r":
         plain = F.replace(plain, F.lit(c), F.lit(" "))
     # one row for each line, with all lines at hand, so that windows are worked out by generated code
-    text = docs.select("id", "t", plain.alias("m")).select("id", "t", F.split("m", CUT, -1).alias("l"), _number(F.col("m")).alias("n"))
-    line = text.select("id", "t", "l", "n", F.posexplode("l").alias("pos", "x")).where(F.col("pos") <= F.col("n") - lines)
+    text = docs.select("id", "t", plain.alias("m")).select("id", "t", F.split("m", CUT, -1).alias("l"), F.endswith("m", F.lit(CUT)).cast("int").alias("none"))
+    # there is always a line; without "outer", Spark marks and splits each text once more in a filter for those with any
+    line = text.select("id", "t", "l", (F.size("l") - F.col("none")).alias("n"), F.posexplode_outer("l").alias("pos", "x")).where(F.col("pos") <= F.col("n") - lines)
     near = [F.col("x"), *(F.get("l", F.col("pos") + k) for k in range(1, lines + 1))]
     own = [F.trim(F.ltrim(x, F.lit("\n"))) for x in near[:lines]]
     # a line is whole if it and the next begin with a newline; the first of all needs none
@@ -108,9 +115,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that agree in doc_id and text are one document: they repeat nothing of each other, and
     get the same result. Rows with a null doc_id come last in order.
     """
-    gone_id, gone_t, gone = fresh(docs, "gone_id", "gone_t", "gone")
+    gone_id, gone_t, gone, marked = fresh(docs, "gone_id", "gone_t", "gone", "marked")
     found = repeated_windows(docs, id_col, text_col, lines=lines).select(F.col("id").alias(gone_id), F.col("t").alias(gone_t), F.col("removed").alias(gone))
-    own = docs.join(found, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_t)), "left")
+    own = docs.join(found, docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_t)), "left").withColumn(marked, _marked(F.col(text_col)))
     covered = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p, p + (lines - 1)))))
 
     def bound(value: Column, use) -> Column:
@@ -123,8 +130,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         kept = bound(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), covered), lambda k: F.transform(k, lambda i, j: F.struct(F.get(a, i).alias("x"), (i > F.get(k, j - 1) + 1).alias("apart"), F.slice(a, F.get(k, j - 1) + 2, i - F.get(k, j - 1) - 1).alias("between"))))
         return F.array_join(F.transform(kept, lambda x, j: F.when(j == 0, F.ltrim(x["x"], F.lit("\n"))).when(x["apart"] & ~F.startswith(x["x"], F.lit("\n")) & F.exists(x["between"], lambda y: F.startswith(y, F.lit("\n"))), F.concat(F.lit("\n"), x["x"])).otherwise(x["x"])), "")
 
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(bound(F.filter(F.split(_marked(F.col(text_col)), CUT, -1), lambda x, i: (x != "") | (i == 0)), rest))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(bound(F.filter(F.split(marked, CUT, -1), lambda x, i: (x != "") | (i == 0)), rest))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
-        out += [_number(_marked(F.col(text_col))).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
+        out += [_number(F.col(marked)).cast("long").alias(counts[0]), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(counts[1])]
     return own.select(*out)

@@ -253,6 +253,15 @@ def test_lines_edges(spark):
     assert [t for i, t in got if i == 2][0].startswith("\u7532") and len([t for i, t in got if i == 2][0]) < 10
 
 
+def test_lines_are_cut_once(spark, sf):
+    """No filter that Spark adds marks and splits the texts a second time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = line_dedup.line_windows(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    counted = line_dedup.drop_repeated_lines(documents(spark, [(1, ""), (2, "a. "), (3, "a. \nb"), (4, "\u3002\uff0cx\n\ny\uff01")]), counts=("a", "b")).collect()
+    assert {r.doc_id: (r.a, r.b) for r in counted} == {1: (1, 0), 2: (1, 0), 3: (2, 0), 4: (5, 0)}
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 * 50), None if i % 5 == 4 else f"s{i % 5}") for i in range(60)] + [(7, None, "s0"), (None, "a b c", "s1"), (3, "w " * 150, "s3"), (99, "solo", "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit(1))
