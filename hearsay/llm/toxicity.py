@@ -25,8 +25,8 @@ from hearsay.llm.lineage import cut
 ORDER, DECAY, LONGEST = 3, 0.6, 32
 #: Labelled rows that the classifier is fitted on at most, and landmarks: those most tied to the label, and common words beside them.
 MAX_LABELLED, TIED, COMMON = 12_000, 56, 8
-#: Tasks that the sample is dealt to, and bytes of text that a task takes apart at a time.
-PARTS, CHUNK = 24, 1 << 19
+#: Tasks that the sample is dealt to, and bytes of text and rows that a task takes apart at a time.
+PARTS, CHUNK, ROWS = 24, 1 << 19, 1024
 THRESHOLD = 0.7
 #: Begins a piece of a word that isn't its beginning; white space, so no word has it.
 LATER = "\x1f"
@@ -155,6 +155,16 @@ class Model:
         margin = _mapped(features, self.whiten) @ self.weight + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
+    def scores(self, columns: Iterable[pa.Array]) -> Iterator[np.ndarray]:
+        """For each array of texts, their scores, taken chunk by chunk: the features of a whole batch never stand together."""
+        seen = Seen(self.landmarks)
+        for column in columns:
+            out = np.zeros(len(column))
+            for part, x in seen.chunks(column):
+                out[part] = self.score(x)
+            del column
+            yield out
+
 
 def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     """Nyström map of the greatest similarities, beside the amounts of near matches."""
@@ -162,35 +172,67 @@ def _mapped(features: np.ndarray, whiten: np.ndarray) -> np.ndarray:
     return np.hstack([features[:, :n] @ whiten, features[:, n:]])
 
 
-def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 150_000) -> Iterator[np.ndarray]:
-    """For each array of texts, by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
+class Seen:
+    """Features of texts by landmark: the greatest similarity of any of a text's units, then the amount of near matches.
 
     Words met before in the task are looked up, in a table of at most `keep` words at a time; all
-    words that are like no landmark share a line of it.
+    words that are like no landmark share a line of it. Only a chunk's texts and features are held
+    beside the table, whatever the size of the batches that they come in.
     """
-    code = codes(landmarks) if landmarks else np.zeros((0, LONGEST + 1), np.uint32)
-    norm = kernel(code, code, paired=True) if landmarks else np.zeros(0, np.float32)
-    place: dict[str, int] = {}
-    table = np.zeros((1, len(landmarks)), np.float32)
+
+    def __init__(self, landmarks: list[str], keep: int = 150_000) -> None:
+        self.code = codes(landmarks) if landmarks else np.zeros((0, LONGEST + 1), np.uint32)
+        self.norm = kernel(self.code, self.code, paired=True) if landmarks else np.zeros(0, np.float32)
+        self.keep, self.place = keep, {}
+        self.table, self.used = np.zeros((1, len(landmarks)), np.float32), 1
+
+    def _learn(self, new: list[str]) -> None:
+        by_unit: dict[str, list[str]] = {}
+        for w in new:
+            by_unit.setdefault(unit(w), []).append(w)
+        self.place.update(dict.fromkeys(by_unit.pop("", []), 0))
+        known = sorted(by_unit, key=len)
+        for start in range(0, len(known), 8192):
+            value = similarity(known[start : start + 8192], self.code, self.norm)
+            some = np.flatnonzero(value.any(axis=1))
+            if self.used + len(some) > len(self.table):
+                # grown in place by an eighth, so that no second table stands beside it
+                self.table.resize((self.used + len(some) + self.used // 8, self.table.shape[1]), refcheck=False)
+            self.table[self.used : self.used + len(some)] = value[some]
+            at = dict(zip(some.tolist(), range(self.used, self.used + len(some)), strict=True))
+            for k, u in enumerate(known[start : start + 8192]):
+                self.place.update(dict.fromkeys(by_unit[u], at.get(k, 0)))
+            self.used += len(some)
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Of the texts of one chunk."""
+        own_units = [units(t or "") for t in texts]
+        new = list(set().union(*own_units) - self.place.keys())
+        if len(self.place) + len(new) > self.keep:
+            self.place, self.table, self.used, new = {}, np.zeros((1, self.table.shape[1]), np.float32), 1, list(set().union(*own_units))
+        self._learn(new)
+        out = np.zeros((len(texts), 2 * len(self.code)))
+        for i, t in enumerate(own_units):
+            near = [p for w in t if (p := self.place[w])]
+            if near:
+                own = self.table[near]
+                out[i] = np.concatenate([own.max(axis=0), np.log1p(np.maximum(own - 0.75, 0).sum(axis=0) * 4)])
+        return out
+
+    def chunks(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray]]:
+        for part in tx.row_slices(column, CHUNK):
+            for start in range(part.start, part.stop, ROWS):
+                own = slice(start, min(start + ROWS, part.stop))
+                yield own, self.features(column[own].to_pylist())
+
+
+def features(landmarks: list[str], columns: Iterable[pa.Array], keep: int = 150_000) -> Iterator[np.ndarray]:
+    """The features (see Seen) of each array of texts."""
+    seen = Seen(landmarks, keep)
     for column in columns:
         out = np.zeros((len(column), 2 * len(landmarks)))
-        for part in tx.row_slices(column, CHUNK):
-            texts = [units(t or "") for t in column[part].to_pylist()]
-            new = list(set().union(*texts) - place.keys())
-            if len(place) + len(new) > keep:
-                place, table, new = {}, table[:1], list(set().union(*texts))
-            seen = [unit(w) for w in new]
-            known = list(set(seen) - {""})
-            value = similarity(known, code, norm) if known else np.zeros((0, len(landmarks)), np.float32)
-            some = np.flatnonzero(value.any(axis=1))
-            at = {known[i]: len(table) + k for k, i in enumerate(some)}
-            place.update((w, at.get(v, 0)) for w, v in zip(new, seen, strict=True))
-            table = np.concatenate([table, value[some]]) if len(some) else table
-            for i, t in enumerate(texts):
-                near = [p for w in t if (p := place[w])]
-                if near:
-                    own = table[near]
-                    out[part.start + i] = np.concatenate([own.max(axis=0), np.log1p(np.maximum(own - 0.75, 0).sum(axis=0) * 4)])
+        for part, x in seen.chunks(column):
+            out[part] = x
         yield out
 
 
@@ -332,8 +374,8 @@ def toxicity_score(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in features(model.landmarks, columns):
-            yield pa.array(model.score(x))
+        for x in model.scores(columns):
+            yield pa.array(x)
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 

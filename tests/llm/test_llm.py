@@ -4,6 +4,7 @@ import hashlib
 import html.parser
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -702,3 +703,19 @@ def test_toxicity_sample(spark):
     again = docs.select("doc_id", toxicity.toxicity_score(model, F.col("text")).alias("s")).collect()
     assert len(again) == 8 and len({r.s for r in again if r.doc_id == 2} | {again[0].s}) == 1
     assert docs.limit(0).select(toxicity.toxicity_score(model, F.col("text"))).count() == 0
+
+
+def test_toxicity_scores_by_chunks():
+    """Scores take the memory of a chunk, not of a batch's features (128 numbers a text), and are those of the features."""
+    marks = [f"^word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(64)]
+    model = toxicity.Model(marks, np.eye(64), np.linspace(-1, 1, 128), 0.1, 1.0, 0.0)
+    batch = pa.array([None, "", *(f"word{chr(97 + i % 8)}{chr(97 + i % 7)} text{i % 3000}" for i in range(39_998))])
+    whole = model.score(next(toxicity.features(marks, iter([batch]))))
+    tracemalloc.start()
+    got = list(model.scores(iter([batch, batch.slice(0, 0), batch.slice(5, 70)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in got] == [40_000, 0, 70] and len(np.unique(whole)) > 20
+    assert np.allclose(got[0], whole, atol=1e-9) and np.allclose(got[2], whole[5:75], atol=1e-9)
+    # the features alone are 41 MB
+    assert most < 25_000_000, most
