@@ -5,12 +5,15 @@ import math
 import random
 import time
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay import queries
 from hearsay.functions import text as tx
 from hearsay.operators import words as wd
+from tests.check import assert_same
 
 
 @pytest.mark.parametrize("block", [10**6, 300])
@@ -42,6 +45,58 @@ def test_answers(spark):
     assert wd.matched(docs, words.limit(0), "id", "text").count() == 0 and wd.matched(docs.limit(0), words, "id", "text").count() == 0
 
 
+def places(words, text):
+    at = {w: [k for k in range(len(text)) if text.startswith(w, k)] for w in words}
+    return {w: [len(own), own[0]] for w, own in at.items() if own}
+
+
+@pytest.mark.parametrize("block", [10**6, 30])
+def test_words_of_any_length(spark, monkeypatch, block):
+    monkeypatch.setattr(wd, "BLOCK", block)
+    monkeypatch.setattr(wd, "HELD", 500)
+    rng = random.Random(5)
+    stem = "".join(rng.choice("ab热😀") for _ in range(3000))
+    words = {stem[a : a + n] for a in (0, 7, 900) for n in (63, 64, 65, 66, 128, 129, 700, 2000)} | {stem[:100] + "c" * n for n in range(5)} | {"a" * n for n in range(60, 90)} | {"b" * 2500, stem + "c"}
+    texts = [stem, stem[1:] + stem, stem[900:] + " " + stem[:107] + "cc", "a" * 200, "a" * 70 + "b" * 2501, stem[:64], "a" * 64, "", None] + [stem[i : i + 80] + "c" * 3 for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    rows = wd.matched(docs, spark.createDataFrame([(w,) for w in words], "word string"), "id", "text").collect()
+    got = {(r.id, r.word): [r.n, r.first_at] for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(i, w): found for i, text in enumerate(texts) for w, found in places(words, text or "").items()}
+
+
+def test_long_words_of_items_like_the_sql(spark, tmp_path):
+    item = "die一鿿" * 60
+    items = [(1, f"Say {item} and {item[:65]} or {item[:64]}, x{item}."), (2, "=" * 300 + " " + "=" * 65 + " the"), (3, None)]
+    docs = [(1, f"the {item} the"), (2, f"{item[:70]} {'=' * 299}"), (3, f"x{item}.{item}"), (4, "=" * 64), (5, "=" * 400), (6, item[:64].upper()), (7, ""), (8, None)]
+    for name, schema, rows in (("benchmark", "item_id long, text string", items), ("documents", "doc_id long, text string", docs)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    with duckdb.connect() as con:
+        for name in ("benchmark", "documents"):
+            con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        query = "j17_c14_z31_many_words"
+        assert_same(queries.QUERIES[query](spark, str(tmp_path)), con.sql(queries.ORACLE_SQL[query]))
+
+
+def test_long_words_at_random():
+    rng = random.Random(4)
+    for _ in range(300):
+        letters = rng.choice(["a", "ab", "ab热"])
+        stem = rng.choices(letters, k=3) + rng.choices(letters, k=wd.HEAD - 3)
+        words = {"".join(stem + rng.choices(letters, k=rng.randrange(12))) for _ in range(20)} | {"".join(rng.choices(letters, k=wd.HEAD + rng.randrange(4))) for _ in range(20)} | {rng.choice(letters) * rng.randrange(1, 20)}
+        text = "".join(rng.choice([rng.choice(letters + "z"), *words]) for _ in range(12))
+        assert wd.ManyWords(words).found(text) == places(words, text)
+
+
+def test_a_run_takes_a_time_in_proportion_to_it_with_thousands_of_long_words():
+    finder = wd.ManyWords("a" * n for n in range(65, 3000))
+    began = time.process_time()
+    seen = finder.found("a" * 200_000 + "z" + "a" * 100)
+    # every word at every place took 600 million steps
+    assert time.process_time() - began < 5
+    assert seen["a" * 65] == [200_000 - 64 + 36, 0] and seen["a" * 2999] == [200_000 - 2998, 0]
+
+
 def split_by_all_ways(counts, run):
     total = sum(counts.values())
     best = None
