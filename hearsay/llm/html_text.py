@@ -123,7 +123,11 @@ class _Open:
 
     def last(self, tags: Iterable[str]) -> int:
         """The place of the innermost of some tags; 0 if none is open."""
-        return max((at[-1] for t in tags if (at := self.where.get(t))), default=0)
+        last = 0
+        for tag in tags:
+            if (at := self.where.get(tag)) and at[-1] > last:
+                last = at[-1]
+        return last
 
     def close(self, ends: tuple[str, ...], walls: tuple[str, ...]) -> None:
         """Close the innermost of ends, and those of ends right around it, unless one of walls stands in between."""
@@ -174,7 +178,7 @@ def build(source: str) -> Node:
         at = m.end()
         if not m[2]:
             continue
-        read = _attributes(source, at)
+        read = ({}, False, at + 1) if source.startswith(">", at) else _attributes(source, at)
         if read is None:
             break
         attrs, itself, at = read
@@ -200,13 +204,17 @@ def build(source: str) -> Node:
         if tag in _CLOSES:
             held.close(*_CLOSES[tag])
         top = stack[-1]
-        box, seen = ((own if own is not None else of) for own, of in zip(_effects(attrs.get("style", "")), rules.of(tag, attrs), strict=True))
+        box, seen = rules.of(tag, attrs)
+        kept, span, down = None, 1, 1
+        if attrs:
+            box, seen = ((own if own is not None else of) for own, of in zip(_effects(attrs.get("style", "")), (box, seen), strict=True))
+            kept = {k: attrs[k] for k in ("open", "selected", "multiple", "size", "label") if k in attrs}
+            # a rowspan of nought reaches to the table's end
+            span, down = max(_spanned(attrs.get("colspan", ""), MOST_COLUMNS), 1), _spanned(attrs.get("rowspan", ""), MOST_ROWS) or MOST_ROWS
         shown = tag not in UNSEEN and (box if box is not None else "hidden" not in attrs)
         if top.tag == "details" and "open" not in top.attrs and (tag != "summary" or any(not isinstance(c, str) and c.tag == "summary" for c in top.children)):
             shown = False
-        kept = {k: attrs[k] for k in ("open", "selected", "multiple", "size", "label") if k in attrs} if attrs else None
-        # a rowspan of nought reaches to the table's end
-        node = Node(tag, shown, max(_spanned(attrs.get("colspan", ""), MOST_COLUMNS), 1), _spanned(attrs.get("rowspan", ""), MOST_ROWS) or MOST_ROWS, top.seen if seen is None else seen, kept)
+        node = Node(tag, shown, span, down, top.seen if seen is None else seen, kept)
         top.children.append(node)
         if node.seen and shown and (said := attrs.get("alt") if tag == "img" else attrs.get("value") if tag == "input" and attrs.get("type", "").lower() in _SHOWN_INPUTS else None):
             node.children.append(said)
